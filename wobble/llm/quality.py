@@ -61,7 +61,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))).otherwise(0.0)
 
 
-def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.48, least_chars: int = 200, least_words: int = 100) -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.29, least_chars: int = 200, least_words: int = 100) -> DataFrame:
     """docs with the counts of base_counts and base_failed, class_js, common_js, kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. References are the summed

@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .base import Scratch, table
+from .chat import format_reply_trees, read_loss, read_turns
+from .decontaminate import contamination
+from .mixing import mix_sources
+from .quality import quality
+from .sql import ORACLE_SQL  # noqa: F401
 from .tokens import token_file_digest, write_token_files
 
 #: A public tokenizer's file, beside the installed module public_tokenizers.
@@ -26,8 +33,38 @@ def op1_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, path)
 
 
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return c.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    odd = "\\### Assistant: </turn> ok"
+    c = c.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn int, role string, text string"))
+    in_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
+    nodes = c.withColumn("node", F.row_number().over(in_turn)).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
+    out = Scratch(spark, "op9").keep(format_reply_trees(Scratch(spark, "nodes").keep(nodes)))
+    turns = read_turns(F.col("formatted"))
+    loss = F.array_join(read_loss(F.col("formatted"), F.col("loss_spans")), "")
+    return out.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_simple8b_token_files": op1_simple8b_token_files,
+    f.__name__: f for f in (op1_simple8b_token_files, op5_distribution_divergence, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
 }
-
-ORACLE_SQL: dict[str, str] = {}

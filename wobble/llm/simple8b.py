@@ -18,6 +18,20 @@ ESCAPE = 15
 BLOCK = 512
 
 
+_SMALL = np.concatenate([[0], np.floor(np.log2(np.arange(1, 1 << 16))) + 1]).astype(np.uint8)
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    if int(values.max()) < len(_SMALL):
+        return _SMALL[values.astype(np.uint16)]
+    bits = np.zeros(len(values), np.uint8)
+    for shift in (48, 32, 16, 0):
+        part = (values >> np.uint64(shift)).astype(np.uint64)
+        here = (bits == 0) & (part > 0)
+        bits[here] = _SMALL[part[here].astype(np.uint16)] + shift
+    return bits
+
+
 class Coded(NamedTuple):
     """n values; words uint64; offsets int64, where each block's words begin, and the end; escapes uint64."""
 
@@ -34,51 +48,48 @@ def encode(values: np.ndarray, block: int = BLOCK) -> Coded:
     if not n:
         return Coded(0, np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint64))
     nb = -(-n // block)
-    size = nb * block
-    padded = np.zeros(size, np.uint64)
-    padded[:n] = values
-    left = block - np.tile(np.arange(block), nb)  # values from here to the block's end
-    left[-block:] -= size - n
-    left = np.maximum(left, 0)
-    choice = np.full(size, ESCAPE, np.int8)
-    take = np.ones(size, np.int64)
-    at = np.arange(size)
-    most = int(values.max())
-    for s in range(len(COUNTS) - 1, -1, -1):  # the widest count that fits is written last
-        c, w = int(COUNTS[s]), int(WIDTHS[s])
-        if most >> w:
-            wide = np.where(padded >> np.uint64(w), at, size)
-            next_wide = np.minimum.accumulate(wide[::-1])[::-1]
-            fits = next_wide - at >= np.minimum(c, left)
-            choice[fits] = s
-            take[fits] = np.minimum(c, left[fits])
-        else:
-            choice[:] = s
-            take = np.minimum(c, left)
-    pos = np.arange(0, n, block)
-    end = np.minimum(pos + block, n)
-    starts, owners, who = [], [], np.arange(nb)
+    row = block + int(COUNTS[0])  # zeros after each block, so that a last word is padded
+    laid = np.zeros((nb, row), np.uint64)
+    laid[: n // block, :block] = values[: n - n % block].reshape(-1, block)
+    if n % block:
+        laid[-1, : n % block] = values[n - n % block :]
+    laid = laid.reshape(-1)
+    bits = bit_lengths(laid)
+    count = np.zeros(len(laid), np.uint8)
+    widest, done = bits, 1  # widest[i]: the most bits of `done` values from i on
+    for c, w in zip(COUNTS[::-1].tolist(), WIDTHS[::-1].tolist(), strict=True):
+        if c > done:
+            shifted = np.zeros_like(widest)
+            shifted[: done - c] = widest[c - done :]
+            widest, done = np.maximum(widest, shifted), c
+        np.maximum(count, (widest <= w).astype(np.uint8) * np.uint8(c), out=count)
+    take = np.maximum(count, 1).astype(np.int32)
+    pos = np.arange(nb) * row
+    end = pos + block
+    end[-1] = pos[-1] + n - (nb - 1) * block
+    begins = np.zeros(len(laid), bool)
     while len(pos):
-        starts.append(pos)
-        owners.append(who)
+        begins[pos] = True
         pos = pos + take[pos]
         more = pos < end
-        pos, end, who = pos[more], end[more], who[more]
-    per_block = np.bincount(np.concatenate(owners), minlength=nb)
-    start = np.sort(np.concatenate(starts))
-    sel, got = choice[start], take[start]
+        if not more.all():
+            pos, end = pos[more], end[more]
+    start = np.flatnonzero(begins)
+    per_block = np.bincount(start // row, minlength=nb)
+    got = count[start]
     words = np.zeros(len(start), np.uint64)
-    for s in np.unique(sel):
-        rows = np.flatnonzero(sel == s)
-        if s == ESCAPE:
-            words[rows] = np.arange(len(rows), dtype=np.uint64)
-        else:
-            lane = np.arange(COUNTS[s])
-            idx = start[rows][:, None] + lane
-            v = np.where(lane < got[rows][:, None], padded[np.minimum(idx, size - 1)], np.uint64(0))
-            words[rows] = np.bitwise_or.reduce(v << (lane * WIDTHS[s]).astype(np.uint64), axis=1)
-    words |= sel.astype(np.uint64) << np.uint64(60)
-    return Coded(n, words, np.concatenate([[0], np.cumsum(per_block)]).astype(np.int64), values[start[sel == ESCAPE]])
+    for c in np.unique(got).tolist():
+        rows = np.flatnonzero(got == c)
+        if not c:
+            words[rows] = np.arange(len(rows), dtype=np.uint64) | np.uint64(ESCAPE << 60)
+            continue
+        s = int(np.flatnonzero(COUNTS == c)[0])
+        at, w = start[rows], int(WIDTHS[s])
+        word = np.full(len(rows), s << 60, np.uint64)
+        for k in range(c):
+            word |= laid[at + k] << np.uint64(k * w)
+        words[rows] = word
+    return Coded(n, words, np.concatenate([[0], np.cumsum(per_block)]).astype(np.int64), laid[start[got == 0]])
 
 
 def decode(coded: Coded, block: int = BLOCK) -> np.ndarray:

@@ -15,9 +15,11 @@ executors and any file system; the payload columns are binary:
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,47 +37,118 @@ DIGEST_SCHEMA = "shard int, doc_id long, start long, n_tokens long, ids_crc32 lo
 
 
 class WordIds:
-    """Token ids of texts, word by word. A tokenizer whose pre-tokens never span ASCII white space gives a text the ids of its words in order; distinct words are encoded once. At most `most` words are remembered at a time."""
+    """Token ids of texts by a BPE tokenizer that lower-cases, drops white space and never lets a pre-token span ASCII white space.
 
-    def __init__(self, tokenizer_json: str, most: int = 400_000):
+    A text's ids are those of its words in order, and a word's those of its pre-tokens. Each batch's distinct words are cut
+    to pre-tokens; the tokenizer's own model encodes a pre-token once, for all batches of a Python worker. Words with a
+    control string, or with characters beyond Latin, go through the whole tokenizer. At most `most` pre-tokens and words are remembered.
+    """
+
+    PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed values: the tokenizer file's pattern
+
+    def __init__(self, tokenizer_json: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_str(tokenizer_json)
+        if json.loads(tokenizer_json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") != self.PRE:
+            raise ValueError("this tokenizer cuts words in another way")
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cut = regex.compile(self.PRE).findall
+        self.odd = regex.compile(r"[^\x21-\x7E\u00A1-\u00AC\u00AE-\u024F]|<\|").search
         self.most = most
         self.forget()
 
     def forget(self) -> None:
+        """Known pre-tokens and words: their codes, ids and where each one's ids end."""
         self.code: dict[str, int] = {}
-        self.ids = array("I")
-        self.ends = array("q", [0])
+        self.ids, self.ends = array("I"), array("q", [0])
+        self.word_code: dict[str, int] = {}
+        self.word_ids, self.word_ends = array("I"), array("q", [0])
+
+    def learn(self, new: list[str]) -> None:
+        """Pre-tokens, through the model."""
+        for k in range(0, len(new), 256):
+            some = new[k : k + 256]
+            ids = np.array(self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("pre-tokens and ends of words differ in number")
+            self.add(some, ids, ends)
+
+    def add(self, some: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
+        base = len(self.ids)
+        self.ids.frombytes(ids.astype(np.uint32).tobytes())
+        self.ends.frombytes((ends + base).astype(np.int64).tobytes())
 
     def codes(self, distinct: list[str]) -> np.ndarray:
-        if len(self.code) + len(distinct) > self.most:
+        """Codes of words, whose ids word_ids holds between word_ends."""
+        if len(self.code) > self.most:
             self.forget()
-        new = [w for w in distinct if w not in self.code]
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.code[w] = len(self.code)
-            self.ids.extend(e.ids)
-            self.ends.append(len(self.ids))
-        return np.fromiter((self.code[w] for w in distinct), np.int64, len(distinct))
+        new = [w for w in distinct if w not in self.word_code]
+        if new:
+            if len(self.word_code) + len(new) > self.most:
+                self.word_code, self.word_ids, self.word_ends = {}, array("I"), array("q", [0])
+                new = distinct
+            cut, odd = self.cut, self.odd
+            parts = [("\0" + w,) if odd(w) else cut(w.lower()) for w in new]
+            flat = list(chain.from_iterable(parts))
+            unknown = list({p for p in flat if p not in self.code})
+            self.learn([p for p in unknown if p[0] != "\0"])
+            whole = [p for p in unknown if p[0] == "\0"]
+            for p, e in zip(whole, self.tok.encode_batch_fast([p[1:] for p in whole], add_special_tokens=False), strict=True):
+                self.add([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
+            code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
+            bound = np.frombuffer(self.ends, np.int64)
+            ids, lens = gather(np.frombuffer(self.ids, np.uint32), bound[code], bound[code + 1] - bound[code])
+            cum = np.concatenate([[0], np.cumsum(lens)])
+            ends = cum[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
+            base = len(self.word_ids)
+            self.word_ids.frombytes(ids.tobytes())
+            self.word_ends.frombytes((ends + base).tobytes())
+            self.word_code.update(zip(new, range(len(self.word_code), len(self.word_code) + len(new)), strict=True))
+        return np.fromiter(map(self.word_code.__getitem__, distinct), np.int64, len(distinct))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, uint32, and the number of each text's ids. Null counts as empty."""
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         ends = np.asarray(split.offsets)
         coded = split.flatten().dictionary_encode()
-        code = self.codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
-        bound = np.frombuffer(self.ends, np.int64)
-        lens = (bound[1:] - bound[:-1])[code] if len(code) else code
+        if not len(coded):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        code = self.codes(coded.dictionary.to_pylist())
+        bound = np.frombuffer(self.word_ends, np.int64)
+        code = code[coded.indices.to_numpy(zero_copy_only=False)]
+        out, lens = gather(np.frombuffer(self.word_ids, np.uint32), bound[code], bound[code + 1] - bound[code])
         total = np.concatenate([[0], np.cumsum(lens)])
-        flat = np.frombuffer(self.ids, np.uint32) if len(self.ids) else np.zeros(0, np.uint32)
-        out = flat[np.repeat(bound[:-1][code] - total[:-1], lens) + np.arange(total[-1])] if len(code) else np.zeros(0, np.uint32)
-        ends = ends - ends[0]
-        return out, np.diff(total[ends])
+        return out, np.diff(total[ends - ends[0]])
+
+
+def gather(flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs flat[at : at + lens], one after the other."""
+    before = np.cumsum(lens) - lens
+    return flat[np.repeat(at - before, lens) + np.arange(int(lens.sum()))], lens
+
+
+_coders: dict[int, WordIds] = {}
+
+
+def coder_for(tokenizer_json: str) -> WordIds:
+    """A worker's coder, with what it has learnt in earlier tasks."""
+    key = hash(tokenizer_json)
+    if key not in _coders:
+        _coders.clear()
+        _coders[key] = WordIds(tokenizer_json)
+    return _coders[key]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: int | None = 2, segment_ids: int = 1 << 20) -> None:
@@ -88,7 +161,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
     js = spark.sparkContext.broadcast(tokenizer_json)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(js.value)
+        coder = coder_for(js.value)
         shard = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         doc_ids: list = []
@@ -104,7 +177,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
             held, doc_ids, lens, n = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
-        for batch in pieces(batches, "text", 2 << 20):
+        for batch in pieces(batches, "text", 12 << 20):
             ids, each = coder.encode(batch.column(1))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(each), end_id)
