@@ -46,7 +46,7 @@ class WordIds:
 
     PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed values: the tokenizer file's pattern
 
-    def __init__(self, tokenizer_json: str, most: int = 800_000):
+    def __init__(self, tokenizer_json: str, most: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -177,7 +177,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
             held, doc_ids, lens, n = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
-        for batch in pieces(batches, "text", 12 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             ids, each = coder.encode(batch.column(1))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(each), end_id)
