@@ -13,6 +13,7 @@ from .chat import format_reply_trees, read_loss, read_turns
 from .decontaminate import contamination
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .paragraphs import duplicate_paragraphs
 from .quality import quality
 from .sql import ORACLE_SQL  # noqa: F401
 from .tokens import token_file_digest, write_token_files
@@ -38,6 +39,10 @@ def op3_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, percent=85)
 
 
+def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicate_paragraphs(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -71,5 +76,5 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b_token_files, op3_setsketch_near_duplicates, op5_distribution_divergence, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
+    f.__name__: f for f in (op1_simple8b_token_files, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
 }
