@@ -16,6 +16,7 @@ from .neardup import near_duplicates
 from .paragraphs import duplicate_paragraphs
 from .quality import quality
 from .sql import ORACLE_SQL  # noqa: F401
+from .substrings import remove_repeats
 from .tokens import token_file_digest, write_token_files
 
 #: A public tokenizer's file, beside the installed module public_tokenizers.
@@ -47,6 +48,10 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
 def op8_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
     return c.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -76,5 +81,5 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b_token_files, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
+    f.__name__: f for f in (op1_simple8b_token_files, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op7_suffix_buckets, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
 }
