@@ -17,7 +17,9 @@ from .paragraphs import duplicate_paragraphs
 from .quality import quality
 from .sql import ORACLE_SQL  # noqa: F401
 from .substrings import remove_repeats
+from .tokencount import load_pieces, token_counts
 from .tokens import token_file_digest, write_token_files
+from .toxicity import score, train_sample
 
 #: A public tokenizer's file, beside the installed module public_tokenizers.
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +38,12 @@ def op1_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark, path)
 
 
+def op2_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op3_setsketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, percent=85)
 
@@ -48,6 +56,14 @@ def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3
+    model = train_sample(docs, labels.where(third != 1))
+    s = score(docs, model)
+    return s.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
 
@@ -81,5 +97,5 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b_token_files, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op7_suffix_buckets, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
+    f.__name__: f for f in (op1_simple8b_token_files, op2_trie_token_counts, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op6_noisy_or_toxicity, op7_suffix_buckets, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
 }
