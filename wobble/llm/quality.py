@@ -61,19 +61,23 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))).otherwise(0.0)
 
 
-def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.29, least_chars: int = 200, least_words: int = 100) -> DataFrame:
+def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.29, least_chars: int = 200, least_words: int = 100, text_out: bool = True) -> DataFrame:
     """docs with the counts of base_counts and base_failed, class_js, common_js, kept.
 
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. References are the summed
     histograms of all documents of a language that don't fail the base rules. Divergence is judged only above the guards: the classes from
     least_chars characters, the common words (all other words being one bin) from least_words words. kept: neither failed nor divergent.
     Null languages, and those beyond the LANGUAGES with most words, are held against the pooled reference. Columns of docs named like those added are replaced.
+    With text_out=False, the text isn't carried along.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     added = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_counts", "common_counts", "base_failed", "class_js", "common_js", "kept")
     own = [c for c in docs.columns if c.lower() not in added]
     f = base_counts(docs.select(*own)).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    f = scratch.keep(f)
+    if not text_out:
+        own.remove("text")
+        f = f.drop("text")
+    f = scratch.keep(f)  # one pass over the texts, for the references and for the verdicts
     kinds = {"class_counts": len(CLASSES) + 1, "common_counts": len(COMMON_WORDS) + 1}
     fit = f.where(~F.col("base_failed"))
     sums = fit.groupBy("lang").agg(F.sum("n_words").alias("n"), *[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(k)]).alias(f"{c}_ref") for c, k in kinds.items()])

@@ -53,7 +53,7 @@ def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), text_out=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
