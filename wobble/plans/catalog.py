@@ -1,4 +1,356 @@
-"""Queries of the stability engine, and their SQL."""
+"""Queries of the stability engine over the supplied tables, and DuckDB SQL with the same results.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Samples are suppliers, populations their regions, features parts mod 200; a dosage is the number of their line items mod 3, and none is missing.
+A second matrix is the embeddings table: vectors are samples, their 64 numbers features.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from wobble.functions import linalg
+from wobble.operators import compare, distance, embed, genotype, resample
+
+SNPS = 200
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r6(c) -> F.Column:
+    return F.round(c, 6)
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    """sample_idx (dense, by key), sample_id, population."""
+    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return s.select((F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("sample_idx"), F.col("s_suppkey").alias("sample_id"), F.col("n_regionkey").alias("population"))
+
+
+def long(spark: SparkSession, d: str) -> DataFrame:
+    """sample_idx, sample_id, population, snp_idx, dosage: every cell, NULL where there are no line items."""
+    calls = table(spark, d, "lineitem").groupBy("l_suppkey", (F.col("l_partkey") % SNPS).alias("snp_idx")).agg((F.count("*") % 3).cast("int").alias("dosage"))
+    cells = samples(spark, d).withColumn("snp_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SNPS - 1).cast("long"))))
+    return cells.join(calls.withColumnRenamed("l_suppkey", "sample_id"), ["sample_id", "snp_idx"], "left")
+
+
+def packed(spark: SparkSession, d: str) -> DataFrame:
+    rows = long(spark, d).groupBy("snp_idx").agg(F.sort_array(F.collect_list(F.struct("sample_idx", F.col("dosage").cast("double").alias("v")))).alias("s"))
+    return rows.select("snp_idx", F.col("s.v").alias("g"))
+
+
+def embedding_packed(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("snp_idx", "v"))
+    rows = e.groupBy(F.col("snp_idx").cast("long").alias("snp_idx")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("v").cast("double").alias("v")))).alias("s"))
+    return rows.select("snp_idx", F.col("s.v").alias("g"))
+
+
+def genotype_long(spark: SparkSession, d: str) -> DataFrame:
+    return long(spark, d).select("sample_id", "population", "snp_idx", F.coalesce("dosage", F.lit(9)).alias("dosage"))
+
+
+def snp_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = genotype.snp_stats(long(spark, d))
+    return s.select("snp_idx", "n_present", r6("mean_dosage").alias("mean_dosage"), r6("allele_freq").alias("allele_freq"))
+
+
+def missing_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return genotype.missing_fraction(long(spark, d), "sample_id").select("sample_id", r6("missing_fraction").alias("missing_fraction"))
+
+
+def impute_mean(spark: SparkSession, d: str) -> DataFrame:
+    return genotype.impute_long(long(spark, d), "mean").select("snp_idx", "sample_id", r6("dosage").alias("dosage"))
+
+
+def impute_remove(spark: SparkSession, d: str) -> DataFrame:
+    return genotype.impute_long(long(spark, d), "remove").select("snp_idx", "sample_id", "dosage")
+
+
+def monomorphic_snps(spark: SparkSession, d: str) -> DataFrame:
+    return genotype.snp_stats(long(spark, d)).where("allele_freq <= 0.45 or allele_freq >= 0.55").select("snp_idx", r6("allele_freq").alias("allele_freq"))
+
+
+def _distances(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    n = samples(spark, d).count()
+    rows = distance.SAMPLE_METRICS[metric](packed(spark, d), n)
+    s = samples(spark, d).select("sample_idx", "sample_id")
+    a, b = F.broadcast(s.toDF("i", "sample_a")), F.broadcast(s.toDF("j", "sample_b"))  # ids of n samples beside n squared rows
+    return rows.join(a, "i").join(b, "j").select("sample_a", "sample_b", r6("d").alias("d"))
+
+
+def dist_euclidean(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d, "euclidean")
+
+
+def dist_manhattan(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d, "manhattan")
+
+
+def dist_hamming(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d, "hamming")
+
+
+def dist_hamming_corrected(spark: SparkSession, d: str) -> DataFrame:
+    return _distances(spark, d, "missing_corrected_hamming")
+
+
+def _popdist(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    s = samples(spark, d)
+    rows = distance.population_distance(distance.SAMPLE_METRICS[metric](packed(spark, d), s.count()), s)
+    return rows.select(F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), r6("d").alias("d"))
+
+
+def popdist_euclidean(spark: SparkSession, d: str) -> DataFrame:
+    return _popdist(spark, d, "euclidean")
+
+
+def popdist_manhattan(spark: SparkSession, d: str) -> DataFrame:
+    return _popdist(spark, d, "manhattan")
+
+
+def allele_counts(spark: SparkSession, d: str) -> DataFrame:
+    return distance.allele_counts(long(spark, d)).select("population", "snp_idx", F.col("alt").cast("long").alias("alt"), F.col("n").cast("long").alias("n"))
+
+
+def fst_patterson(spark: SparkSession, d: str) -> DataFrame:
+    return distance.fst(distance.allele_counts(long(spark, d))).select("p1", "p2", r6("fst").alias("fst"))
+
+
+def windows(spark: SparkSession, d: str) -> DataFrame:
+    return resample.windows(long(spark, d).select("snp_idx").distinct(), SNPS, 7).select("window_id", "snp_idx")
+
+
+def window_missing(spark: SparkSession, d: str) -> DataFrame:
+    return resample.windows(long(spark, d), SNPS, 7).groupBy("window_id").agg(F.count("*").alias("cells"), F.count_if(F.col("dosage").isNull()).alias("missing"))
+
+
+def _draws(spark: SparkSession, d: str) -> DataFrame:
+    """Five replicates of 200 draws by a fixed rule that both engines can follow."""
+    r = spark.range(5).select(F.col("id").alias("replicate_id"))
+    return r.withColumn("draw_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SNPS - 1).cast("long")))).withColumn("snp_idx", (F.col("draw_pos") * F.col("draw_pos") * 31 + F.col("replicate_id") * 7919 + F.col("draw_pos") * 17) % SNPS)
+
+
+def bootstrap_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _draws(spark, d).groupBy("replicate_id", "snp_idx").agg(F.count("*").alias("w"))
+
+
+def bootstrap_snp_means(spark: SparkSession, d: str) -> DataFrame:
+    w = bootstrap_weights(spark, d)
+    x = long(spark, d).where("dosage is not null").groupBy("snp_idx").agg(F.sum("dosage").alias("s"), F.count("*").alias("n"))
+    return w.join(x, "snp_idx").groupBy("replicate_id").agg(r6(F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean_dosage"))
+
+
+def dedup_snp_ids(spark: SparkSession, d: str) -> DataFrame:
+    draws = _draws(spark, d).withColumn("snp_id", F.concat(F.lit("rs"), F.col("snp_idx").cast("string")))
+    return genotype.deduplicate_snp_ids(draws).select("replicate_id", "draw_pos", "dedup_id")
+
+
+def projected_samples(spark: SparkSession, d: str) -> DataFrame:
+    pops = table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("population"))
+    return genotype.projected_samples(samples(spark, d), pops).select("sample_id", "population")
+
+
+def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d).withColumn("population", F.when(F.col("population") == 2, "IGNORE").otherwise(F.col("population").cast("string")))
+    return genotype.drop_ignored(s).select("sample_id", "population")
+
+
+def pad_missing(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d)
+    e = s.where("sample_id % 3 <> 0").select("sample_id", F.col("population").cast("string").alias("population"), F.array(F.col("sample_id") * 0.5, F.col("sample_id") * 0.25).alias("coords"))
+    return genotype.pad_missing(s, e, 2).select("sample_id", "population", F.col("coords")[0].alias("d0"), F.col("coords")[1].alias("d1"))
+
+
+def sample_union(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d).select("sample_id")
+    return s.where("sample_id % 2 = 0").union(s.where("sample_id % 3 = 0")).distinct()
+
+
+def sample_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Shared samples of two embeddings and the clipping mark."""
+    s = samples(spark, d).select("sample_id")
+    a, b = s.where("sample_id % 4 <> 0"), s.where("sample_id % 5 <> 0")
+    both = a.join(b, "sample_id", "left_semi").agg(F.count("*").alias("shared"))
+    n = a.agg(F.count("*").alias("na")).join(b.agg(F.count("*").alias("nb")), F.lit(True))
+    return both.join(n, F.lit(True)).select("shared", "na", "nb", ((F.col("shared") <= 0.8 * F.col("na")) | (F.col("shared") <= 0.8 * F.col("nb"))).alias("clipped"))
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    """Five two-dimensional replicates: neighbouring columns of the embeddings."""
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.posexplode(F.array(*[F.struct(F.col("embedding")[2 * r].cast("double").alias("x"), F.col("embedding")[2 * r + 1].cast("double").alias("y")) for r in range(5)])).alias("r", "p")).select("vec_id", "r", "p.x", "p.y")
+
+
+def pairwise_ps_2d(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _points(spark, d).alias("a"), _points(spark, d).alias("b")
+    j = a.join(b, (F.col("a.vec_id") == F.col("b.vec_id")) & (F.col("a.r") < F.col("b.r")))
+    p = j.select(F.col("a.r").alias("i"), F.col("b.r").alias("j"), F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+    return compare.stability_2d(p).select("i", "j", r6("stability").alias("stability"))
+
+
+def fmi_labels(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select(F.col("label").alias("a"), (F.array_position(F.slice("embedding", 1, 4), F.array_max(F.slice("embedding", 1, 4))) - 1).alias("b"))
+    return compare.fowlkes_mallows(e).select(r6("fmi").alias("fmi"))
+
+
+def support_summary(spark: SparkSession, d: str) -> DataFrame:
+    s = genotype.missing_fraction(long(spark, d), "sample_id").select((1 - F.col("missing_fraction")).alias("PSV"))
+    return compare.support_summary(s).select(*[r6(c).alias(c) for c in ("min", "max", "mean", "median", "stdev")])
+
+
+def rogue_samples(spark: SparkSession, d: str) -> DataFrame:
+    s = genotype.missing_fraction(long(spark, d), "sample_id").select("sample_id", (1 - F.col("missing_fraction")).alias("PSV"))
+    return s.where("PSV < 0.95").select("sample_id", r6("PSV").alias("PSV"))
+
+
+def replicate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Two score series by pair, joined outer, as in the results file."""
+    pairs = spark.range(6).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).where("i < j")
+    a = pairs.where("(i + j) % 3 <> 0").select("i", "j", (F.col("i") / (F.col("j") + 1)).alias("pandora_stability"))
+    b = pairs.where("(i + j) % 4 <> 0").select("i", "j", (1 / (F.col("j") + F.col("i") + 1)).alias("pandora_cluster_stability"))
+    return a.join(b, ["i", "j"], "full").select(F.format_string("(%d, %d)", "i", "j").alias("pair"), r6("pandora_stability").alias("pandora_stability"), r6("pandora_cluster_stability").alias("pandora_cluster_stability"))
+
+
+def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
+    v = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", r6(F.sqrt(v)).alias("norm"))
+
+
+def normalised_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("c"))
+    n = F.sqrt(F.col("c")[0] * F.col("c")[0] + F.col("c")[1] * F.col("c")[1])
+    return e.select("vec_id", *[r6(F.when(n > 0, F.col("c")[k] / n).otherwise(0.0)).alias(f"d{k}") for k in range(2)])
+
+
+# --- without SQL: eigenproblems, alignment and clustering
+
+
+def _weights(spark: SparkSession, n: int = SNPS, replicates: int = 10, seed: int = 42) -> DataFrame:
+    return resample.bootstrap_weights(spark, n, dict(enumerate(resample.replicate_seeds(seed, replicates))))
+
+
+def _named(spark: SparkSession, d: str) -> list[tuple[str, str]]:
+    return [(str(r.sample_id), str(r.population)) for r in samples(spark, d).orderBy("sample_idx").collect()]
+
+
+def _replicates(spark: SparkSession, d: str, k: int = 2) -> DataFrame:
+    names = _named(spark, d)
+    return embed.pca(packed(spark, d), _weights(spark), names, min(k, len(names)))
+
+
+def pca_embedding(spark: SparkSession, d: str) -> DataFrame:
+    one = spark.range(SNPS).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
+    return embed.per_sample(embed.pca(packed(spark, d), one, _named(spark, d), 2))
+
+
+def matrix_pca_explained(spark: SparkSession, d: str) -> DataFrame:
+    one = spark.range(64).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
+    names = [(f"{r.vec_id:09d}", str(r.label)) for r in table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
+    e = embed.pca(embedding_packed(spark, d), one, names, 10, "matrix")
+    return e.select(F.posexplode("explained").alias("component", "explained_variance"))
+
+
+def mds_fst(spark: SparkSession, d: str) -> DataFrame:
+    return embed.per_sample(embed.mds(packed(spark, d), samples(spark, d).select("sample_idx", F.col("sample_id").cast("string").alias("sample_id"), F.col("population").cast("string").alias("population")), 2))
+
+
+def pairwise_stability(spark: SparkSession, d: str) -> DataFrame:
+    """Bootstrap PCA of the genotypes, all pairs aligned."""
+    return compare.compare_pairs(_replicates(spark, d), kmeans_k=3).select("i", "j", "disparity", "pandora_stability", "pandora_cluster_stability", "clipped")
+
+
+def window_stability(spark: SparkSession, d: str) -> DataFrame:
+    names = _named(spark, d)
+    e = embed.pca(packed(spark, d), resample.window_weights(spark, SNPS, 8), names, 2)
+    return compare.compare_pairs(e).select("i", "j", "disparity", "pandora_stability")
+
+
+def sample_support(spark: SparkSession, d: str) -> DataFrame:
+    e = _replicates(spark, d)
+    return compare.support_values(compare.compare_pairs(e), e)
+
+
+def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
+    e = pca_embedding(spark, d)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("sample_id")
+        return pd.DataFrame({"sample_id": pdf["sample_id"], "cluster": linalg.kmeans(np.stack(pdf["coords"].to_numpy()), min(3, len(pdf)))})
+
+    return e.groupBy("replicate_id").applyInPandas(run, "sample_id string, cluster int")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson,
+        windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
+        replicate_scores, embedding_norms, normalised_rows, pca_embedding, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels,
+    )
+}
+
+_LONG = f"""
+s as (select s_suppkey as sample_id, n_regionkey as population from supplier join nation on s_nationkey = n_nationkey),
+c as (select l_suppkey, l_partkey % {SNPS} as snp_idx, (count(*) % 3)::int as dosage from lineitem group by 1, 2),
+g as (select s.sample_id, s.population, r.snp_idx, c.dosage from s cross join (select range as snp_idx from range({SNPS})) r left join c on c.l_suppkey = s.sample_id and c.snp_idx = r.snp_idx)
+"""
+_IMP = f"{_LONG}, m as (select snp_idx, sample_id, population, coalesce(dosage::double, avg(dosage) over (partition by snp_idx)) as v from g), mi as (select * from m where v is not null)"
+_PAIR = "from {t} a join {t} b on a.snp_idx = b.snp_idx and a.sample_id < b.sample_id"
+_stride, _size = resample.window_bounds(SNPS, 7)
+_WIN = f"w as (select range as window_id from range(7))"
+_DRAWS = f"d as (select r.range as replicate_id, p.range as draw_pos, (p.range * p.range * 31 + r.range * 7919 + p.range * 17) % {SNPS} as snp_idx from range(5) r, range({SNPS}) p)"
+_POINTS = "p as (" + " union all ".join(f"select vec_id, {r} as r, embedding[{2 * r + 1}]::double as x, embedding[{2 * r + 2}]::double as y from embeddings" for r in range(5)) + ")"
+
+
+def _popdist_sql(value: str) -> str:
+    return f"with {_IMP}, d as (select a.sample_id as i, b.sample_id as j, any_value(a.population) as pa, any_value(b.population) as pb, {value} as d {_PAIR.format(t='mi')} group by 1, 2) select least(pa, pb) as p1, greatest(pa, pb) as p2, round(avg(d), 6) as d from d where pa <> pb group by 1, 2"
+
+
+ORACLE_SQL: dict[str, str] = {
+    "genotype_long": f"with {_LONG} select sample_id, population, snp_idx, coalesce(dosage, 9)::int as dosage from g",
+    "snp_stats": f"with {_LONG} select snp_idx, count(dosage) as n_present, round(avg(dosage), 6) as mean_dosage, round(avg(dosage) / 2, 6) as allele_freq from g group by 1",
+    "missing_fraction": f"with {_LONG} select sample_id, round((count(*) - count(dosage))::double / count(*), 6) as missing_fraction from g group by 1",
+    "impute_mean": f"with {_IMP} select snp_idx, sample_id, round(v, 6) as dosage from mi",
+    "impute_remove": f"with {_LONG} select snp_idx, sample_id, dosage from g where snp_idx in (select snp_idx from g group by 1 having count(*) = count(dosage))",
+    "monomorphic_snps": f"with {_LONG} select snp_idx, round(avg(dosage) / 2, 6) as allele_freq from g group by 1 having avg(dosage) / 2 <= 0.45 or avg(dosage) / 2 >= 0.55",
+    "dist_euclidean": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
+    "dist_manhattan": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sum(abs(a.v - b.v)), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
+    "dist_hamming": f"with {_LONG} select a.sample_id as sample_a, b.sample_id as sample_b, coalesce(sum(abs(a.dosage - b.dosage)), 0)::double as d {_PAIR.format(t='g')} group by 1, 2",
+    "dist_hamming_corrected": f"with {_LONG} select a.sample_id as sample_a, b.sample_id as sample_b, round(sum(abs(a.dosage - b.dosage))::double * {SNPS} / nullif(count(a.dosage + b.dosage), 0), 6) as d {_PAIR.format(t='g')} group by 1, 2",
+    "popdist_euclidean": _popdist_sql("sqrt(sum((a.v - b.v) * (a.v - b.v)))"),
+    "popdist_manhattan": _popdist_sql("sum(abs(a.v - b.v))"),
+    "allele_counts": f"with {_LONG} select population, snp_idx, sum(dosage)::bigint as alt, (2 * count(dosage))::bigint as n from g group by 1, 2",
+    "fst_patterson": f"""with {_LONG}, k as (select population, snp_idx, sum(dosage)::double as alt, 2 * count(dosage)::double as n from g group by 1, 2),
+      h as (select *, alt / n as p, alt * (n - alt) / (n * (n - 1)) as h from k where n >= 2),
+      t as (select a.population as p1, b.population as p2, pow(a.p - b.p, 2) - a.h / a.n - b.h / b.n as num, a.h + b.h as hh from h a join h b on a.snp_idx = b.snp_idx and a.population < b.population)
+      select p1, p2, round(sum(num) / sum(num + hh), 6) as fst from t group by 1, 2""",
+    "windows": f"with {_WIN} select window_id::int as window_id, range as snp_idx from w, range({SNPS}) s where s.range >= window_id * {_stride} and s.range < least(window_id * {_stride} + {_size}, {SNPS})",
+    "window_missing": f"with {_LONG}, {_WIN} select window_id::int as window_id, count(*) as cells, count(*) - count(dosage) as missing from g join w on snp_idx >= window_id * {_stride} and snp_idx < window_id * {_stride} + {_size} group by 1",
+    "bootstrap_weights": f"with {_DRAWS} select replicate_id, snp_idx, count(*) as w from d group by 1, 2",
+    "bootstrap_snp_means": f"with {_LONG}, {_DRAWS} select replicate_id, round(avg(dosage), 6) as mean_dosage from d join g using (snp_idx) where dosage is not null group by 1",
+    "dedup_snp_ids": f"with {_DRAWS}, k as (select *, row_number() over (partition by replicate_id, snp_idx order by draw_pos) - 1 as k from d) select replicate_id, draw_pos, 'rs' || snp_idx || case when k > 0 then '_r' || k else '' end as dedup_id from k",
+    "projected_samples": f"with {_LONG} select sample_id, population from s where population not in (select r_regionkey from region where r_regionkey < 3)",
+    "ignore_filter": f"with {_LONG} select sample_id, population::varchar as population from s where population <> 2",
+    "pad_missing": f"with {_LONG} select sample_id, case when sample_id % 3 <> 0 then population::varchar else '_dummy' end as population, case when sample_id % 3 <> 0 then sample_id * 0.5::double else 0 end as d0, case when sample_id % 3 <> 0 then sample_id * 0.25::double else 0 end as d1 from s",
+    "sample_union": f"with {_LONG} select sample_id from s where sample_id % 2 = 0 or sample_id % 3 = 0",
+    "sample_clip": f"with {_LONG}, n as (select count(*) filter (sample_id % 4 <> 0 and sample_id % 5 <> 0) as shared, count(*) filter (sample_id % 4 <> 0) as na, count(*) filter (sample_id % 5 <> 0) as nb from s) select *, shared <= 0.8 * na or shared <= 0.8 * nb as clipped from n",
+    "pairwise_ps_2d": f"""with {_POINTS}, z as (select vec_id, r, x - avg(x) over (partition by r) as x, y - avg(y) over (partition by r) as y from p),
+      m as (select a.r as i, b.r as j, sum(b.x * a.x) as xx, sum(b.x * a.y) as xy, sum(b.y * a.x) as yx, sum(b.y * a.y) as yy, sum(a.x * a.x + a.y * a.y) as sa, sum(b.x * b.x + b.y * b.y) as sb from z a join z b on a.vec_id = b.vec_id and a.r < b.r group by 1, 2)
+      select i, j, round(sqrt((xx * xx + xy * xy + yx * yx + yy * yy + 2 * abs(xx * yy - xy * yx)) / (sa * sb)), 6) as stability from m""",
+    "fmi_labels": """with e as (select label as a, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 as b from embeddings), c as (select a, b, count(*)::double as c from e group by 1, 2),
+      t as (select sum(c * c) - sum(c) as t, sum(c) as n from c), q as (select sum(k * k) as q from (select sum(c) as k from c group by a)), p as (select sum(k * k) as p from (select sum(c) as k from c group by b))
+      select round(sqrt(t / (p - n)) * sqrt(t / (q - n)), 6) as fmi from t, p, q""",
+    "support_summary": f"with {_LONG}, v as (select sample_id, count(dosage)::double / count(*) as v from g group by 1) select round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 6) as median, round(stddev_samp(v), 6) as stdev from v",
+    "rogue_samples": f'with {_LONG}, v as (select sample_id, 1 - (count(*) - count(dosage))::double / count(*) as v from g group by 1) select sample_id, round(v, 6) as "PSV" from v where v < 0.95',
+    "replicate_scores": """with p as (select i.range as i, j.range as j from range(6) i, range(6) j where i.range < j.range), a as (select i, j, i::double / (j + 1) as x from p where (i + j) % 3 <> 0), b as (select i, j, 1::double / (i + j + 1) as y from p where (i + j) % 4 <> 0)
+      select '(' || i || ', ' || j || ')' as pair, round(x, 6) as pandora_stability, round(y, 6) as pandora_cluster_stability from a full join b using (i, j)""",
+    "embedding_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings",
+    "normalised_rows": "with e as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings) select vec_id, round(case when x = 0 and y = 0 then 0 else x / sqrt(x * x + y * y) end, 6) as d0, round(case when x = 0 and y = 0 then 0 else y / sqrt(x * x + y * y) end, 6) as d1 from e",
+}
