@@ -36,22 +36,24 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         n.alias("a").join(n.alias("b"), up & (F.col("a.parent") == F.col("b.node")), "left")
         .select("a.conv_id", "a.node", F.col("b.node").alias("over"), "a.gain", F.when(F.col("b.node").isNotNull(), 1).otherwise(0).alias("hops"))
     )
-    lifts, count, leaves = [lift], lift.count(), None
     leaves = lift.alias("a").join(lift.alias("b"), up & (F.col("a.node") == F.col("b.over")), "left_anti").select("conv_id", "node")
-    while lift.where("over is not null").limit(1).count() and 2 ** (len(lifts) - 1) <= count:
-        lift = scratch.keep(
-            lift.alias("a").join(lift.alias("b"), up & (F.col("a.over") == F.col("b.node")), "left")
-            .select("a.conv_id", "a.node", F.col("b.over").alias("over"), (F.col("a.gain") + F.coalesce("b.gain", F.lit(0.0))).alias("gain"), (F.col("a.hops") + F.coalesce("b.hops", F.lit(0))).alias("hops"))
+    lifts, count = [], lift.count()
+    while True:
+        going = lift.where("over is not null")  # only these are joined again: nodes whose root isn't reached
+        if 2 ** len(lifts) > 2 * count or not going.limit(1).count():
+            break
+        lifts.append(going)
+        farther = going.alias("a").join(lift.alias("b"), up & (F.col("a.over") == F.col("b.node"))).select(
+            "a.conv_id", "a.node", F.col("b.over").alias("over"), (F.col("a.gain") + F.col("b.gain")).alias("gain"), (F.col("a.hops") + F.col("b.hops")).alias("hops")
         )
-        lifts.append(lift)
+        lift = scratch.keep(farther.union(lift.where("over is null")))
     rooted = lift.where("over is null").select("conv_id", "node", "gain", "hops")
     scored = leaves.alias("l").join(rooted.alias("r"), F.col("l.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("l.node") == F.col("r.node"))).select("l.conv_id", "l.node", "gain", "hops")
     ranks = Window.partitionBy("conv_id").orderBy(F.desc("gain"), "node")
     path = scored.withColumn("branch", F.row_number().over(ranks)).where(F.col("branch") <= top).select("conv_id", "branch", "node", F.col("hops").alias("depth"))
-    for k in range(len(lifts) - 2, -1, -1):  # the last lift reaches above every root
-        over = lifts[k].where("over is not null")
+    for k in range(len(lifts) - 1, -1, -1):
         path = scratch.keep(path.union(
-            path.alias("a").join(over.alias("b"), up & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "a.branch", F.col("b.over").alias("node"), (F.col("a.depth") - F.lit(2**k)).alias("depth"))
+            path.alias("a").join(lifts[k].alias("b"), up & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "a.branch", F.col("b.over").alias("node"), (F.col("a.depth") - F.lit(2**k)).alias("depth"))
         ))
     return path
 
