@@ -61,10 +61,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
     cands = found.join(maybe_broadcast(wins, F.aggregate("ws", F.lit(0), lambda a, x: a + F.length(x) + 16) + F.size("items") * 32), "wid").groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "ws", "items")).alias("cands"))
     keyed = docs.select(*own, F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(7), F.col("text")).alias("_k2"), F.size(item_words(F.col("text"))).cast("long").alias("n_words"))
     out = keyed.join(cands.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "cands"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    ws = F.when(F.col("cands").isNotNull(), item_words(F.col("text")))
-    out = out.withColumn("_ws", ws)
-    hits = F.filter("cands", lambda c: F.slice(F.col("_ws"), c["at"] + 1, F.size(c["ws"])) == c["ws"])
-    out = out.withColumn("_hits", hits).drop("cands", "_ws")
+    # the words are bound as a lambda's argument: named as a column, they would be cut from the text again for each candidate
+    matches = F.transform(F.array(item_words(F.col("text"))), lambda w: F.filter("cands", lambda c: F.slice(w, c["at"] + 1, F.size(c["ws"])) == c["ws"]))
+    out = out.withColumn("_hits", F.when(F.col("cands").isNotNull(), F.get(matches, F.lit(0)))).drop("cands")
     covered = F.array_distinct(F.flatten(F.transform("_hits", lambda c: F.sequence(c["at"], c["at"] + F.size(c["ws"]) - 1))))
     out = out.withColumns({"n_hit": F.when(F.size("_hits") > 0, F.size(covered)).otherwise(0).cast("long"), "items": F.when(F.size("_hits") > 0, F.sort_array(F.array_distinct(F.flatten(F.transform("_hits", lambda c: c["items"]))))).otherwise(F.array().cast("array<string>"))})
     return out.select(*own, "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
