@@ -22,14 +22,20 @@ def blocks(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray
             yield np.array([np.asarray(g, dtype=float) for g in part["g"]]).reshape(len(part), n), part
 
 
-def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds up rows of equal keys elementwise. row: array<double>."""
+def summed(rows: DataFrame, keys: list[str], together: int = 64) -> DataFrame:
+    """Adds up rows of equal keys elementwise. row: array<double>; the last key, an int, is the row's number, and that many neighbouring rows are summed in one call."""
     schema = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    *outer, i = keys
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, np.sum(np.stack(pdf["row"].to_numpy()), 0)]], columns=[*keys, "row"])
-
-    return rows.groupBy(*keys).applyInPandas(add, f"{schema}, row array<double>")
+        number, place = np.unique(pdf[i].to_numpy(), return_inverse=True)
+        total = np.zeros((len(number), len(pdf["row"].iloc[0])))
+        for k, row in zip(place, pdf["row"], strict=True):
+            total[k] += row
+        out = {k: v for k, v in zip(outer, key, strict=False)}
+        return pd.DataFrame({**{k: [v] * len(number) for k, v in out.items()}, i: number, "row": list(total)})[[*keys, "row"]]
+
+    return rows.groupBy(*outer, F.floor(F.col(i) / together).alias("_block")).applyInPandas(add, f"{schema}, row array<double>")
 
 
 def pair_sums(packed: DataFrame, n: int, kernels: dict[str, Callable[[np.ndarray], np.ndarray]], partials: int | None = None) -> DataFrame:
