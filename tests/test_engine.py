@@ -224,14 +224,14 @@ def test_windowed_stability_matches_known_scores(spark):
     rows = {(r.i, r.j): r for r in compare.compare_pairs(e, 2, block=3).collect()}
     assert len(rows) == 45
     for pair, (ps, pcs) in PAIR_SCORES.items():
-        assert rows[pair].pandora_stability == pytest.approx(ps, abs=2e-4) and rows[pair].pandora_cluster_stability == pytest.approx(pcs)
-    assert np.mean([r.pandora_stability for r in rows.values()]) == pytest.approx(0.6128, abs=1e-4)
-    assert np.mean([r.pandora_cluster_stability for r in rows.values()]) == pytest.approx(0.3611, abs=1e-4)
+        assert rows[pair].stability == pytest.approx(ps, abs=2e-4) and rows[pair].cluster_stability == pytest.approx(pcs)
+    assert np.mean([r.stability for r in rows.values()]) == pytest.approx(0.6128, abs=1e-4)
+    assert np.mean([r.cluster_stability for r in rows.values()]) == pytest.approx(0.3611, abs=1e-4)
     support = compare.support_values(compare.compare_pairs(e), e)
     assert {r.sample_id for r in support.collect()} == {f"S{i}" for i in range(5)} and support.where("PSV < 0 or PSV > 1").count() == 0
     # pairs of block size, and of a batch alone, are the same
-    again = {(r.i, r.j): r.pandora_stability for r in compare.compare_pairs(e, only_with=[0]).collect()}
-    assert len(again) == 9 and all(again[k] == pytest.approx(rows[k].pandora_stability) for k in again)
+    again = {(r.i, r.j): r.stability for r in compare.compare_pairs(e, only_with=[0]).collect()}
+    assert len(again) == 9 and all(again[k] == pytest.approx(rows[k].stability) for k in again)
 
 
 def frame(spark, *embeddings):
@@ -252,7 +252,7 @@ def test_alignment(spark):
     e = frame(spark, (ids, a), ([str(i) for i in range(2, 8)], b), (ids, a))
     p = compare.compare_pairs(e)
     got = {(r.i, r.j): r for r in p.collect()}
-    assert got[0, 2].pandora_stability == pytest.approx(1) and 0 < got[0, 1].pandora_stability < 1 and len(got[0, 1].sample_ids) == 5
+    assert got[0, 2].stability == pytest.approx(1) and 0 < got[0, 1].stability < 1 and len(got[0, 1].sample_ids) == 5
     s = {r.sample_id: r for r in compare.support_values(p, e).collect()}
     assert len(s) == 7 and all(0 <= r.PSV <= 1 for r in s.values()) and s["7"].n_present == 1
     with pytest.raises(WobbleError, match="No samples left"):
@@ -326,7 +326,7 @@ def test_run_bootstrap(spark, prefix, tmp_path):
     out = StabilityRun(spark, settings(prefix, tmp_path, plot_results=True, embedding_populations=str(tmp_path / "pops"))).run()
     assert 0 <= out["stability"] <= 1 and out["n_replicates"] == 3
     lines = lambda n: (tmp_path / "out" / n).read_text().splitlines()
-    assert lines("wobble.replicates.csv")[0] == ",pandora_stability,pandora_cluster_stability" and len(lines("wobble.replicates.csv")) == 4
+    assert lines("wobble.replicates.csv")[0] == ",stability,cluster_stability" and len(lines("wobble.replicates.csv")) == 4
     assert lines("wobble.supportValues.csv")[0] == ",PSV" and len(lines("wobble.supportValues.csv")) == 6 and len(lines("wobble.supportValues.projected.csv")) == 3
     assert {p.name for p in (tmp_path / "out" / "plots").iterdir()} == {"populations.html", "clusters.html", "support_values.html", "projections.html"}
     again = StabilityRun(spark, settings(prefix, tmp_path, result_dir=str(tmp_path / "two"))).run()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wobble.errors import WobbleError
 from wobble.functions import linalg
 
-PAIRS = "i int, j int, disparity double, pandora_stability double, pandora_cluster_stability double, clipped boolean, sample_ids array<string>, difference array<double>"
+PAIRS = "i int, j int, disparity double, stability double, cluster_stability double, clipped boolean, sample_ids array<string>, difference array<double>"
 #: Replicates per block: a task aligns all pairs of two blocks, so an embedding is shipped once per block, not once per pair.
 BLOCK = 8
 
@@ -62,7 +62,7 @@ def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: l
                 if i < j and (i // block, j // block) == (p, q) and (new is None or i in new or j in new):
                     c = Compared(*rows[i], *rows[j])
                     out.append((i, j, c.disparity, c.stability(), c.cluster_stability(kmeans_k) if kmeans_k else None, c.clipped, c.ids, c.difference()))
-        return pd.DataFrame(out, columns=["i", "j", "disparity", "pandora_stability", "pandora_cluster_stability", "clipped", "sample_ids", "difference"])
+        return pd.DataFrame(out, columns=["i", "j", "disparity", "stability", "cluster_stability", "clipped", "sample_ids", "difference"])
 
     return shipped.groupBy("p", "q").applyInPandas(run, PAIRS)
 

@@ -213,9 +213,9 @@ def rogue_samples(spark: SparkSession, d: str) -> DataFrame:
 def replicate_scores(spark: SparkSession, d: str) -> DataFrame:
     """Two score series by pair, joined outer, as in the results file."""
     pairs = spark.range(6).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).where("i < j")
-    a = pairs.where("(i + j) % 3 <> 0").select("i", "j", (F.col("i") / (F.col("j") + 1)).alias("pandora_stability"))
-    b = pairs.where("(i + j) % 4 <> 0").select("i", "j", (1 / (F.col("j") + F.col("i") + 1)).alias("pandora_cluster_stability"))
-    return a.join(b, ["i", "j"], "full").select(F.format_string("(%d, %d)", "i", "j").alias("pair"), r6("pandora_stability").alias("pandora_stability"), r6("pandora_cluster_stability").alias("pandora_cluster_stability"))
+    a = pairs.where("(i + j) % 3 <> 0").select("i", "j", (F.col("i") / (F.col("j") + 1)).alias("stability"))
+    b = pairs.where("(i + j) % 4 <> 0").select("i", "j", (1 / (F.col("j") + F.col("i") + 1)).alias("cluster_stability"))
+    return a.join(b, ["i", "j"], "full").select(F.format_string("(%d, %d)", "i", "j").alias("pair"), r6("stability").alias("stability"), r6("cluster_stability").alias("cluster_stability"))
 
 
 def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
@@ -263,13 +263,13 @@ def mds_fst(spark: SparkSession, d: str) -> DataFrame:
 
 def pairwise_stability(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap PCA of the genotypes, all pairs aligned."""
-    return compare.compare_pairs(_replicates(spark, d), kmeans_k=3).select("i", "j", "disparity", "pandora_stability", "pandora_cluster_stability", "clipped")
+    return compare.compare_pairs(_replicates(spark, d), kmeans_k=3).select("i", "j", "disparity", "stability", "cluster_stability", "clipped")
 
 
 def window_stability(spark: SparkSession, d: str) -> DataFrame:
     names = _named(spark, d)
     e = embed.pca(packed(spark, d), resample.window_weights(spark, SNPS, 8), names, 2)
-    return compare.compare_pairs(e).select("i", "j", "disparity", "pandora_stability")
+    return compare.compare_pairs(e).select("i", "j", "disparity", "stability")
 
 
 def sample_support(spark: SparkSession, d: str) -> DataFrame:
@@ -350,7 +350,7 @@ ORACLE_SQL: dict[str, str] = {
     "support_summary": f"with {_LONG}, v as (select sample_id, count(dosage)::double / count(*) as v from g group by 1) select round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 6) as median, round(stddev_samp(v), 6) as stdev from v",
     "rogue_samples": f'with {_LONG}, v as (select sample_id, 1 - (count(*) - count(dosage))::double / count(*) as v from g group by 1) select sample_id, round(v, 6) as "PSV" from v where v < 0.95',
     "replicate_scores": """with p as (select i.range as i, j.range as j from range(6) i, range(6) j where i.range < j.range), a as (select i, j, i::double / (j + 1) as x from p where (i + j) % 3 <> 0), b as (select i, j, 1::double / (i + j + 1) as y from p where (i + j) % 4 <> 0)
-      select '(' || i || ', ' || j || ')' as pair, round(x, 6) as pandora_stability, round(y, 6) as pandora_cluster_stability from a full join b using (i, j)""",
+      select '(' || i || ', ' || j || ')' as pair, round(x, 6) as stability, round(y, 6) as cluster_stability from a full join b using (i, j)""",
     "embedding_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings",
     "normalised_rows": "with e as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings) select vec_id, round(case when x = 0 and y = 0 then 0 else x / sqrt(x * x + y * y) end, 6) as d0, round(case when x = 0 and y = 0 then 0 else y / sqrt(x * x + y * y) end, 6) as d1 from e",
 }

@@ -115,15 +115,15 @@ class StabilityRun:
     def save(self) -> dict[str, float]:
         """CSVs, the summary text and, if asked for, plots; the numbers of the summary."""
         c, d = self.config, self.config.result_decimals
-        scores = self.pairs.select("i", "j", "pandora_stability", "pandora_cluster_stability").toPandas().sort_values(["i", "j"])
+        scores = self.pairs.select("i", "j", "stability", "cluster_stability").toPandas().sort_values(["i", "j"])
         scores.index = [f"({i}, {j})" for i, j in zip(scores.i, scores.j, strict=True)]
-        scores[["pandora_stability", "pandora_cluster_stability"]].to_csv(c.path("wobble.replicates.csv"))
+        scores[["stability", "cluster_stability"]].to_csv(c.path("wobble.replicates.csv"))
         self._csv(self.support, "wobble.supportValues.csv")
         projected = genotype.projected_samples(self.data.samples, self.populations)
         if self.populations is not None:
             self._csv(self.support.join(projected.select("sample_id"), "sample_id", "left_semi"), "wobble.supportValues.projected.csv")
         s = compare.support_summary(self.support).first().asDict()
-        out = {"stability": float(scores.pandora_stability.mean()), "cluster_stability": float(scores.pandora_cluster_stability.mean()), "n_replicates": self.embeddings.count(), **s}
+        out = {"stability": float(scores.stability.mean()), "cluster_stability": float(scores.cluster_stability.mean()), "n_replicates": self.embeddings.count(), **s}
         show = lambda k: "-" if out[k] is None or out[k] != out[k] else round(out[k], d)
         text = [f"Replicates: {out['n_replicates']}", f"Stability: {show('stability')}", f"Cluster stability: {show('cluster_stability')}", "", f"Support values: {show('mean')} ± {show('stdev')}, median {show('median')}, from {show('min')} to {show('max')}"]
         Path(c.path("wobble.txt")).write_text("\n".join(text) + "\n")

@@ -20,8 +20,8 @@ def converged(pairs: DataFrame, replicates: list[int], tolerance: float, seed: i
     rng = random.Random(seed)
     members = [(s, r) for s in range(SUBSETS) for r in rng.sample(sorted(replicates), len(replicates) // 2)]
     m = spark.createDataFrame(members, "subset int, r int")
-    p = pairs.select("i", "j", "pandora_stability").join(m.select("subset", F.col("r").alias("i")), "i").join(m.select("subset", F.col("r").alias("j")), ["subset", "j"])
-    means = p.groupBy("subset").agg(F.avg("pandora_stability").alias("s"))
+    p = pairs.select("i", "j", "stability").join(m.select("subset", F.col("r").alias("i")), "i").join(m.select("subset", F.col("r").alias("j")), ["subset", "j"])
+    means = p.groupBy("subset").agg(F.avg("stability").alias("s"))
     a, b = means.alias("a"), means.alias("b")
     gaps = a.join(b, F.col("a.subset") < F.col("b.subset")).select(F.round(F.abs(F.col("b.s") - F.col("a.s")) / (F.col("a.s") + 1e-6), 3).alias("g"))
     worst = gaps.agg(F.max("g")).first()[0]
