@@ -329,7 +329,7 @@ def test_run_bootstrap(spark, prefix, tmp_path):
     assert lines("wobble.replicates.csv")[0] == ",stability,cluster_stability" and len(lines("wobble.replicates.csv")) == 4
     assert lines("wobble.supportValues.csv")[0] == ",PSV" and len(lines("wobble.supportValues.csv")) == 6 and len(lines("wobble.supportValues.projected.csv")) == 3
     assert {p.name for p in (tmp_path / "out" / "plots").iterdir()} == {"populations.html", "clusters.html", "support_values.html", "projections.html"}
-    again = StabilityRun(spark, settings(prefix, tmp_path, result_dir=str(tmp_path / "two"))).run()
+    again = StabilityRun(spark, settings(prefix, tmp_path, result_dir=str(tmp_path / "two"), embedding_populations=str(tmp_path / "pops"))).run()
     assert again["stability"] == pytest.approx(out["stability"])
 
 
@@ -371,3 +371,81 @@ def test_plot_data(spark):
     x = np.array([[0.0, 1], [1, 0], [1, 1]])
     c = plotdata.embedding_comparison(frame(spark, (ids, x), (ids, x * 2)), 0, 1, s)
     assert c.count() == 6 and c.where("rogue").count() == 2
+
+
+def test_projection(spark):
+    rng = np.random.default_rng(11)
+    m = rng.integers(0, 3, (8, 60)).astype(float)
+    names = [(f"s{i}", "in" if i < 6 else "out") for i in range(8)]
+    fit = list(range(6))
+    e = embed.pca(genotype.matrix_to_packed(spark, m), whole(spark, 60), names, 2, fit=fit).first()
+    alone = embed.pca(genotype.matrix_to_packed(spark, m[:6]), whole(spark, 60), names[:6], 2).first()
+    assert np.allclose(np.array(e.coords)[:6], alone.coords)
+    x = embed.standardised(m.T, fit)
+    u, s, vt = np.linalg.svd(x[:, :6].T, full_matrices=False)
+    want = np.linalg.lstsq(vt[:2].T * s[:2], x[:, 6:], rcond=None)[0].T
+    assert np.allclose(np.abs(np.array(e.coords)[6:]), np.abs(want))
+
+
+def test_replicates_as_files(spark, prefix, tmp_path):
+    g = G.read_genotypes(spark, prefix)
+    draws = resample.bootstrap_draws(spark, 7, {3: 5})
+    resample.write_checkpoint(draws, str(tmp_path / "ckp"))
+    back = resample.read_checkpoint(spark, str(tmp_path / "ckp"))
+    line = resample.checkpoint_line(back, 3)
+    assert line == "5;" + ", ".join(map(str, random.Random(5).choices(range(7), k=7)))
+    assert resample.checkpoint_line(resample.parse_checkpoint_line(spark, line, 3), 3) == line
+    packed, snps = resample.gather(g.packed, g.snps, back)
+    idx = random.Random(5).choices(range(7), k=7)
+    assert cells(packed) == {k: [float(c) for c in GENO[i]] for k, i in enumerate(idx)}
+    assert snps.select("snp_id").distinct().count() == 7
+    p, s = resample.window_slice(g.packed, g.snps, 7, 3, 1)
+    assert cells(p) == {k: [float(c) for c in GENO[2 + k]] for k in range(3)} and s.count() == 3
+
+
+def test_finished_tables_are_reused(spark, prefix, tmp_path):
+    a = StabilityRun(spark, settings(prefix, tmp_path, keep_replicates=True))
+    first = a.run()
+    assert G.check_geno(spark, str(tmp_path / "out" / "bootstrap" / "bootstrap_0.geno")) == 7
+    when = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "tables").rglob("*.parquet")}
+    assert StabilityRun(spark, settings(prefix, tmp_path)).run() == pytest.approx(first)
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "tables").rglob("*.parquet")} == when
+    StabilityRun(spark, settings(prefix, tmp_path, redo=True)).run()
+    assert not set(when) & set((tmp_path / "out" / "tables").rglob("*.parquet"))
+
+
+def test_matrix_interface(spark, tmp_path):
+    from wobble.plans.library import MatrixDataset, ReplicateComparison
+
+    rng = np.random.default_rng(12)
+    m = rng.integers(0, 3, (6, 24)).astype(np.int8)
+    ids, pops = [f"s{i}" for i in range(6)], list("aabbcc")
+    for bad in ((m, ids[:5], pops[:5]), (m, ids, pops[:5]), (m, ["x"] * 6, pops)):
+        with pytest.raises(ConfigError):
+            MatrixDataset(spark, *bad)
+    d = MatrixDataset(spark, m, ids, pops)
+    n = [0]
+
+    def keep(df):
+        n[0] += 1
+        df.write.parquet(f"{tmp_path}/{n[0]}")
+        return spark.read.parquet(f"{tmp_path}/{n[0]}")
+
+    b = d.bootstrap(keep, 4, k=2, check=False)
+    assert b.n == 4 and 0 < b.stability() <= 1 and 0 <= b.cluster_stability(2) <= 1 and b.support_values().count() == 6
+    assert 0 < d.windows(3, k=2).stability() <= 1
+    # a bootstrap replicate is what PCA of the resampled matrix gives
+    seeds = resample.replicate_seeds(42, 4)
+    drawn = random.Random(seeds[0]).choices(range(24), k=24)
+    own = MatrixDataset(spark, m[:, drawn], ids, pops).pca(2).first()
+    assert np.allclose(np.abs(own.coords), np.abs(b.embedded.where("replicate_id = 0").first().coords))
+    w = d.windows(3, EmbeddingAlgorithm.MDS, 2, "manhattan")
+    assert w.n == 3
+    user = d.mds(2, lambda x, p, how: (np.abs(x[:, None] - x[None]).sum(2), p))
+    assert np.allclose(np.abs(user.first().coords), np.abs(d.mds(2, "manhattan").first().coords))
+    means = lambda x, p, how: (np.abs(np.subtract.outer(*[x.mean(1)[::2]] * 2)), list("abc"))
+    assert d.mds(1, means, by_population=True).count() == 1
+    with pytest.raises(WobbleError):
+        d.mds(1, means)
+    with pytest.raises(WobbleError):
+        ReplicateComparison(d.pca(2))

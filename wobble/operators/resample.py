@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from wobble.errors import WobbleError
 
+from .genotype import deduplicate_snp_ids
+
 
 def replicate_seeds(seed: int, n: int) -> list[int]:
     """A seed for each replicate, as Python's generator draws them."""
@@ -64,3 +66,41 @@ def windows(snps: DataFrame, n_snps: int, n_windows: int) -> DataFrame:
 def window_weights(spark: SparkSession, n_snps: int, n_windows: int) -> DataFrame:
     """(replicate_id, snp_idx, w) of windows as replicates."""
     return windows(spark.range(n_snps).select(F.col("id").alias("snp_idx")), n_snps, n_windows).select(F.col("window_id").alias("replicate_id"), "snp_idx", F.lit(1.0).alias("w"))
+
+
+def gather(packed: DataFrame, snps: DataFrame, draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Features and SNPs of one replicate as data of its own: a row per draw, in draw order, repeated ids told apart. Only for writing replicates out; statistics use weights."""
+    d = draws.select("replicate_id", F.col("draw_pos").alias("_pos"), "snp_idx")
+    g = d.join(packed, "snp_idx").select(F.col("_pos").alias("snp_idx"), "g")
+    named = d.join(snps, "snp_idx").select("replicate_id", F.col("_pos").alias("draw_pos"), "snp_id", *[c for c in snps.columns if c not in ("snp_idx", "snp_id")])
+    named = deduplicate_snp_ids(named).withColumn("snp_id", F.col("dedup_id")).drop("dedup_id", "replicate_id").withColumnRenamed("draw_pos", "snp_idx")
+    return g, named
+
+
+def window_slice(packed: DataFrame, snps: DataFrame, n_snps: int, n_windows: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """Features and SNPs of one window, numbered from 0."""
+    stride, size = window_bounds(n_snps, n_windows)
+    lo = window * stride
+    cut = lambda df: df.where((F.col("snp_idx") >= lo) & (F.col("snp_idx") < lo + size)).withColumn("snp_idx", F.col("snp_idx") - lo)
+    return cut(packed), cut(snps)
+
+
+def write_checkpoint(draws: DataFrame, path: str) -> None:
+    """Draws as a table by replicate."""
+    draws.write.mode("overwrite").partitionBy("replicate_id").parquet(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(F.col("replicate_id").cast("int").alias("replicate_id"), "seed", "draw_pos", "snp_idx")
+
+
+def checkpoint_line(draws: DataFrame, replicate: int) -> str:
+    """One replicate's draws in the text form `seed;i0, i1, ...`."""
+    rows = draws.where(F.col("replicate_id") == replicate).orderBy("draw_pos").select("seed", "snp_idx").collect()
+    return f"{rows[0].seed};" + ", ".join(str(r.snp_idx) for r in rows)
+
+
+def parse_checkpoint_line(spark: SparkSession, line: str, replicate: int = 0) -> DataFrame:
+    seed, _, idx = line.strip().partition(";")
+    rows = [(replicate, int(seed), k, int(i)) for k, i in enumerate(idx.split(","))]
+    return spark.createDataFrame(rows, "replicate_id int, seed long, draw_pos long, snp_idx long")

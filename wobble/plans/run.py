@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
-import os
 import time
 from collections import Counter
 from pathlib import Path
@@ -53,19 +53,32 @@ class StabilityRun:
                 raise ConfigError("Samples of the population Ignore must be taken out of the files before an MDS run.")
         self.info = [(r.sample_id, r.population) for r in samples.orderBy("sample_idx").collect()]
         embed.check_components(c.n_components, self.n_snps)
-        self.k = min(c.n_components, n)
+        self.fit = None
+        if self.populations is not None and c.embedding_algorithm is EmbeddingAlgorithm.PCA:
+            listed = {r.population for r in self.populations.collect()}  # names of a list file
+            self.fit = [i for i, (_, p) in enumerate(self.info) if p in listed]
+            if len(self.fit) < 2:
+                raise ConfigError("Fewer than two samples belong to the embedding populations.")
+        self.k = min(c.n_components, n if self.fit is None else len(self.fit))
+        self.fingerprint = hashlib.sha256(repr(sorted((k, v) for k, v in c.as_mapping().items() if k not in ("redo", "threads", "verbosity", "plot_results", "plot_dim_x", "plot_dim_y", "result_decimals", "support_value_rogue_cutoff", "keep_replicates"))).encode()).hexdigest()[:16]
 
     def tables(self, name: str) -> str:
         return self.config.path(f"tables/{name}")
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.tables(name)
-        df.write.mode("overwrite").parquet(path)
+        """df as a table of this run's settings; one that an earlier run with the same settings finished is read instead, unless redo is set."""
+        path = self.tables(f"{self.fingerprint}/{name}")
+        if self.config.redo or not self._finished(path):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def _finished(self, path: str) -> bool:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
     def _embed(self, weights: DataFrame) -> DataFrame:
         if self.config.embedding_algorithm is EmbeddingAlgorithm.PCA:
-            return embed.embed_grams(embed.weighted_grams(self.data.packed, weights, len(self.info)), self.info, self.k)
+            return embed.embed_grams(embed.weighted_grams(self.data.packed, weights, len(self.info), fit=self.fit), self.info, self.k, fit=self.fit)
         out = None
         for r in [x.replicate_id for x in weights.select("replicate_id").distinct().collect()]:  # a matrix of populations squared for each
             w = weights.where(F.col("replicate_id") == r)
@@ -129,18 +142,29 @@ class StabilityRun:
         Path(c.path("wobble.txt")).write_text("\n".join(text) + "\n")
         if c.plot_results:
             self.plot()
-        if not c.keep_replicates:
-            import shutil
-
-            for name in os.listdir(c.path("tables")) if os.path.isdir(c.path("tables")) else []:
-                if name.startswith("batch_") and self.embeddings.inputFiles() and f"/{name}/" not in "".join(self.embeddings.inputFiles() + self.pairs.inputFiles()):
-                    shutil.rmtree(c.path(f"tables/{name}"))
+        if c.keep_replicates:
+            self.write_replicates()
         return out
 
     def _csv(self, support: DataFrame, name: str) -> None:
         pdf = support.select("sample_id", "PSV").toPandas().sort_values("sample_id")
         pdf.set_index("sample_id").rename_axis(None).to_csv(self.config.path(name))
 
+    def write_replicates(self) -> None:
+        """Genotype files of each replicate that was embedded."""
+        c, spark = self.config, self.spark
+        ids = [r.replicate_id for r in self.embeddings.select("replicate_id").collect()]
+        seeds = resample.replicate_seeds(c.seed, c.n_replicates)
+        if c.analysis_mode is AnalysisMode.BOOTSTRAP:
+            resample.write_checkpoint(resample.bootstrap_draws(spark, self.n_snps, {i: seeds[i] for i in ids}), c.path("bootstrap/draws"))
+            draws = resample.read_checkpoint(spark, c.path("bootstrap/draws"))
+        for r in sorted(ids):
+            if c.analysis_mode is AnalysisMode.BOOTSTRAP:
+                g, snps, prefix = *resample.gather(self.data.packed, self.data.snps, draws.where(F.col("replicate_id") == r)), c.path(f"bootstrap/bootstrap_{r}")
+            else:
+                g, snps, prefix = *resample.window_slice(self.data.packed, self.data.snps, self.n_snps, c.n_replicates, r), c.path(f"windows/window_{r}")
+            G.write_eigenstrat(G.Genotypes(g, self.data.samples, snps), prefix)
+
     def plot(self) -> None:
         c = self.config
         e = embed.per_sample(self.embedding)
