@@ -57,8 +57,10 @@ def js_distance(counts: Column, reference: Column) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     n, m = total(counts), total(reference)
     half = lambda p, q: F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0)
-    terms = F.zip_with(counts, reference, lambda c, r: half(c / n, r / m) + half(r / m, c / n))
-    return F.when((n > 0) & (m > 0), F.sqrt(F.greatest(total(terms) / 2, F.lit(0.0)))).otherwise(0.0)
+    # the totals are bound as a lambda's argument: named as columns, they would be summed again for each bin
+    terms = lambda t: total(F.zip_with(counts, reference, lambda c, r: half(c / t["n"], r / t["m"]) + half(r / t["m"], c / t["n"])))
+    js = F.get(F.transform(F.array(F.struct(n.alias("n"), m.alias("m"))), lambda t: F.when((t["n"] > 0) & (t["m"] > 0), F.sqrt(F.greatest(terms(t) / 2, F.lit(0.0)))).otherwise(0.0)), F.lit(0))
+    return js
 
 
 def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.29, least_chars: int = 200, least_words: int = 100, text_out: bool = True) -> DataFrame:
