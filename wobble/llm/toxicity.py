@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from .base import pieces
 
 #: The sample to learn from: so many rows of either label, and so many bytes of text, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 32 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 2500, 12 << 20
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -69,7 +69,7 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, signal: float = 5.0, strong: float = 0.25) -> Model:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, signal: float = 4.0, strong: float = 0.12) -> Model:
     """Maximum likelihood with a small penalty over all sample documents, by Adagrad.
 
     A document is clean if all of its sentences are, so its log-probability of that is the sum of theirs. The noisy-or has a leak, fitted along: the
