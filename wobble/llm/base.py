@@ -32,31 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive executors; free() deletes one that is no longer read."""
+    """Tables written to the shared folder. They cut lineage and outlive executors. free() and only() delete tables that nothing reads any more; what a result still reads stays."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
-        self.paths: dict[int, str] = {}
+        self.tables: dict[str, DataFrame] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._wobble_scratch = self  # the table lives as long as its reader
-        return out
+        self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
+        return self.tables[path]
 
     def free(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.paths.pop(id(df), None)
-            if path:
-                jvm = self.spark.sparkContext._jvm
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        for path in [p for p, df in self.tables.items() if any(df is f for f in frames)]:
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            del self.tables[path]
+
+    def only(self, *frames: DataFrame) -> None:
+        """Deletes all tables but these."""
+        self.free(*[df for df in self.tables.values() if not any(df is f for f in frames)])
 
 
 def words(text: Column) -> Column:

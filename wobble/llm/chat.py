@@ -55,6 +55,8 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
         path = scratch.keep(path.union(
             path.alias("a").join(lifts[k].alias("b"), up & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "a.branch", F.col("b.over").alias("node"), (F.col("a.depth") - F.lit(2**k)).alias("depth"))
         ))
+    path = path if lifts else scratch.keep(path)
+    scratch.only(path)
     return path
 
 

@@ -42,7 +42,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
 
     Documents link if 100 * |intersection| >= percent * |union| of their sets of word shingles (ASCII lower case with
     `lower`). Equal sets link; they are one class, represented by its least doc_id, before any search. Candidates come from 32 bands of 5 registers:
-    at a similarity of 0.85, one link in 10**8 shares no band (0.8: one in 2 * 10**6); they are confirmed on the full sets.
+    at a similarity of 0.85, one link in 10**8 shares no band (0.8: one in 3 * 10**5); they are confirmed on the full sets.
 
     Null, empty and wordless texts have an empty set and link with nothing; fewer words than a shingle make one. Null
     doc_ids sort before all others. Rows of one doc_id are one document to the links, so copies under one id are all kept.
@@ -72,6 +72,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     links = near.exact_links(members.select("family", "node", "n").join(texts, "node"), shingle, linked, scratch, lower)
     comps = scratch.keep(near.components(links, scratch))
     reach = scratch.keep(classes.select("cls", "node").join(comps, "node", "left").select("cls", F.coalesce("component", "node").alias("component")))
+    scratch.only(s, reach)
     out = s.drop("sig").join(reach, "cls", "left").withColumn("component", F.coalesce("component", "doc_id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("doc_id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
