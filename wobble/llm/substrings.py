@@ -92,19 +92,38 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             doc = np.searchsorted(ends[1:], p, "right")
             view = memoryview(np.ascontiguousarray(buf))
             c = np.fromiter((xxhash.xxh3_64_intdigest(view[x : y + length], seed=z) for x, y, z in zip(lo.tolist(), hi.tolist(), (p - lo).tolist(), strict=True)), np.uint64, len(p)).astype(np.int64)
-            bound = np.searchsorted(doc, np.arange(len(b) + 1)).astype(np.int32)
             base = ends[:-1][doc]
-            lists = [pa.ListArray.from_arrays(bound, pa.array(v, t)) for v, t in (((p - base).astype(np.int32), pa.int32()), (g, pa.int64()), (c, pa.int64()), ((lo - base).astype(np.int32), pa.int32()), ((hi - base).astype(np.int32), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *lists], ["doc_id", "dk", "p", "g", "c", "lo", "hi"])
-
-    found = rows.where(F.octet_length("text") >= length).mapInArrow(scan, "doc_id long, dk binary, p array<int>, g array<long>, c array<long>, lo array<int>, hi array<int>")
-    one = found.groupBy("dk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in ("p", "g", "c", "lo", "hi")])
+            p, lo, hi = p - base, lo - base, hi - base
+            # a context that one text holds several times is repeated wherever it stands; the text tells of it once
+            order = np.lexsort((c, g, doc))
+            new = np.ones(len(order), bool)
+            new[1:] = (doc[order][1:] != doc[order][:-1]) | (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(order)))
+            own = np.sort(order[np.repeat(times > 1, times)])
+            joins = np.zeros(len(own), bool)
+            joins[1:] = (doc[own][1:] == doc[own][:-1]) & (lo[own][1:] == hi[own][:-1] + 1)
+            heads = np.flatnonzero(~joins)
+            sure_doc, sure_lo, sure_hi = doc[own[heads]], lo[own[heads]], hi[own[np.append(heads[1:], len(own)) - 1]] if len(own) else lo[:0]
+            one_of = order[new]
+            at = np.argsort(one_of)
+            one_of, times = one_of[at], times[at]
+
+            small = [x.astype(np.int32) for x in (p[one_of], lo[one_of], hi[one_of], times, sure_lo, sure_hi)]
+            of_doc = pa.array(np.searchsorted(doc[one_of], np.arange(len(b) + 1)).astype(np.int32))
+            of_sure = pa.array(np.searchsorted(sure_doc, np.arange(len(b) + 1)).astype(np.int32))
+            listed = [pa.ListArray.from_arrays(of_doc, pa.array(v)) for v in (small[0], g[one_of], c[one_of], *small[1:4])] + [pa.ListArray.from_arrays(of_sure, pa.array(v)) for v in small[4:]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *listed], ["doc_id", "dk", "p", "g", "c", "lo", "hi", "times", "sure_lo", "sure_hi"])
+
+    found = rows.where(F.octet_length("text") >= length).mapInArrow(scan, "doc_id long, dk binary, p array<int>, g array<long>, c array<long>, lo array<int>, hi array<int>, times array<int>, sure_lo array<int>, sure_hi array<int>")
+    arrays = ("p", "g", "c", "lo", "hi", "times", "sure_lo", "sure_hi")
+    one = found.groupBy("dk").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(x).alias(x) for x in arrays])
     one = scratch.keep(one.withColumn("id", F.monotonically_increasing_id()))  # written, and so fixed
-    each = one.select("id", "copies", F.explode(F.arrays_zip("p", "g", "c", "lo", "hi")).alias("a")).select("id", "copies", "a.*")
+    each = one.select("id", "copies", F.explode(F.arrays_zip("p", "g", "c", "lo", "hi", "times")).alias("a")).select("id", (F.col("copies") * F.col("a.times")).alias("copies"), "a.p", "a.g", "a.c", "a.lo", "a.hi")
     shared = each.groupBy("g").agg(F.sum("copies").alias("k")).where("k > 1").select("g")
     again = scratch.keep(each.join(shared, "g"))
     contexts = scratch.keep(again.groupBy("g", "c").agg(F.sum("copies").alias("k"), F.min(F.struct("id", "p", "lo", "hi")).alias("r")))
     # documents with a shared anchor, and their texts once
+    inside = one.where(F.size("sure_lo") > 0).select("id", F.explode(F.arrays_zip("sure_lo", "sure_hi")).alias("z")).select("id", F.col("z.sure_lo").alias("lo"), F.col("z.sure_hi").alias("hi"))
     where = again.select("id").distinct().join(one.select("id", "dk", "doc_id"), "id")
     work = scratch.keep(where.join(rows, ["dk", "doc_id"]).select("id", "dk", "text"))
     # buckets in which some context occurs once
@@ -188,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     sorted_runs = pieces_of.mapInArrow(sort, "id long, lo int, hi int")
     twice = again.join(contexts.where("k > 1").select("g", "c"), ["g", "c"]).select("id", "lo", "hi")
-    runs = sorted_runs.union(twice).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = sorted_runs.union(twice).union(inside).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 4 << 20):
@@ -211,6 +230,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     done = runs.join(work, "id").select("dk", "runs", "text").mapInArrow(strip, "dk binary, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>").dropDuplicates(["dk"])
     done = scratch.keep(done)
+    scratch.only(done)
     out = rows.select("doc_id", "dk", F.octet_length("text").cast("long").alias("n_bytes")).join(done, "dk", "left")
     zero = F.lit(0).cast("long")
     return out.select(
