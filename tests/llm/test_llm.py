@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wobble.llm import queries as Q
-from wobble.llm import simple8b, suffixes
+from wobble.llm import near, simple8b, substrings, suffixes
 from wobble.llm.base import GAP
 from wobble.llm.chat import escape, format_reply_trees, unescape
 from wobble.llm.decontaminate import contamination
@@ -138,8 +138,11 @@ def components_of(sets, percent):
     return comp
 
 
-@pytest.mark.parametrize(("k", "percent"), [(3, 85), (5, 80)])
-def test_near_duplicates(spark, docs, none, k, percent):
+@pytest.mark.parametrize(("k", "percent", "small"), [(3, 85, False), (5, 80, False), (3, 85, True)])
+def test_near_duplicates(spark, docs, none, k, percent, small, monkeypatch):
+    if small:  # large buckets, and families of several blocks
+        monkeypatch.setattr(near, "BUCKET_ROWS", 3)
+        monkeypatch.setattr(near, "BLOCK_ROWS", 4)
     rows = [(i if i is not None else -1, t) for i, t, *_ in odd_rows()]
     base = prose(150).split()
     for n in range(60):  # a chain of copies, each an edit away from the one before
@@ -180,9 +183,9 @@ def test_word_hashes_split_like_the_contract():
 
 def test_paragraphs(spark, docs, none):
     p = [prose(40) for _ in range(4)]
-    near = p[0].split()
-    near[20] = "changed"
-    rows = [(200, f"{p[0]}\n{p[1]}\nshort"), (201, f"x\n{' '.join(near)}"), (202, p[2]), (203, f"{p[1]}\n{p[1]}"), (204, "short"), (None, p[3]), (205, p[3].upper())]
+    edited = p[0].split()
+    edited[20] = "changed"
+    rows = [(200, f"{p[0]}\n{p[1]}\nshort"), (201, f"x\n{' '.join(edited)}"), (202, p[2]), (203, f"{p[1]}\n{p[1]}"), (204, "short"), (None, p[3]), (205, p[3].upper())]
     d = docs.select("doc_id", "text").where("doc_id <> 9").union(spark.createDataFrame(rows, "doc_id long, text string"))
     sets = {}
     for i, t in d.collect():
@@ -254,7 +257,9 @@ def test_suffix_order():
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-def test_repeated_bytes(spark, docs, none):
+@pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 0])
+def test_repeated_bytes(spark, docs, none, hot, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_CONTEXTS", hot)
     shared = prose(150)
     rows = [(i, t) for i, t, *_ in odd_rows()]
     rows += [(300, prose(60) + shared + prose(50)), (301, prose(10) + shared[:700]), (302, shared[50:520] + "é" + shared[200:650]), (303, "é" * 500), (304, prose(30) + "é" * 260)]
