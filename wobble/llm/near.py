@@ -73,11 +73,12 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     e = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     while True:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join has an exchange on either side and Spark can split the neighbours of a hot node
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = scratch.keep(large.groupBy("hi").agg(F.min("lo").alias("m")))
         nxt = scratch.keep(large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo"))).distinct())
-        scratch.free(e, large)
+        scratch.free(e, large, least, low)
         e = nxt
         centre_and_leaf = e.join(e.select(F.col("hi").alias("lo")).distinct(), "lo", "left_semi").select("lo")
         two_centres = e.groupBy("hi").count().where("count > 1").select("hi")
