@@ -16,8 +16,8 @@ from .base import Scratch, pieces
 from .neardup import NULL_ID, SLACK
 from .setsketch import multipliers, shingle_sets, word_hashes
 
-#: Bands tuned for recall: at a similarity of 0.8 a link shares no band once in 5000, at 0.9 once in 4 * 10**6.
-BANDS, ROWS = 12, 3
+#: Bands tuned for recall: at a similarity of 0.8 a link shares no band once in 10**5, at 0.9 once in 10**9.
+BANDS, ROWS = 16, 3
 
 
 def min_hashes(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
@@ -91,6 +91,7 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     c = scratch.keep(classes.drop("sig").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     clusters = c.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.paragraph")).alias("head"), F.sum("rows").alias("cluster_rows")).where("cluster_rows > 1")
     of_class = scratch.keep(c.select("cls", "component").join(clusters, "component").select("cls", "head", "cluster_rows"))
+    scratch.only(p, of_class)
     out = p.select("doc_id", "paragraph", "n_words", "cls").join(of_class, "cls")
     real = lambda x: F.when(F.col(x) != NULL_ID, F.col(x))
     return out.select(
