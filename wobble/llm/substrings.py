@@ -45,7 +45,7 @@ def anchors(text: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     starts_ok = end - begin >= length
     if n < length or not starts_ok.any():
         return none, none, none, none
-    up, down = _powers(1 << max(22, int(n).bit_length()))
+    up, down = _powers(1 << max(20, int(n).bit_length()))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(text.astype(np.uint64) * up[:n], out=sums[1:])
     h = mix((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
@@ -81,7 +81,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("dk"), text.alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 2 << 20):
+        for b in pieces(batches, "text", 1 << 20):
             col = b.column(2).cast(pa.binary())
             flat = pa.concat_arrays([col])
             ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Contexts' bytes. Slices of a hot bucket go by the bytes that all windows of the slice share."""
         names = ["k1", "k2", "id", "single", "before", "start", "last", "bytes"]
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 2 << 20):
             out: list[list] = [[] for _ in names]
             for doc, items, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
                 raw = t.as_buffer()
@@ -210,7 +210,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     runs = sorted_runs.union(twice).union(inside).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
+        for b in pieces(batches, "text", 2 << 20):
             out = []
             for dk, runs_, t in zip(b.column(0).to_pylist(), b.column(1), b.column(2).cast(pa.binary()), strict=True):
                 lo = runs_.values.field("lo").to_numpy().astype(np.int64)
