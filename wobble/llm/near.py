@@ -129,7 +129,8 @@ def exact_links(members: DataFrame, shingle: int, linked: Callable, scratch: Scr
     members: family, node, n (size of its set), text. linked(shared, n, n) tells from the size of the intersection and the sizes of the sets, elementwise.
     """
     node_type = members.schema["node"].dataType.simpleString()
-    weight = members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("words"))
+    members = scratch.keep(members)  # read twice, and so that Spark can split a large family's rows in the join below
+    weight = scratch.keep(members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("words")))
     rows = F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("rows") / BLOCKS))
     m = members.join(weight, "family").withColumn("blocks", F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
