@@ -22,7 +22,7 @@ from wobble.llm.mixing import mix_sources, source_targets
 from wobble.llm.neardup import near_duplicates
 from wobble.llm.paragraphs import duplicate_paragraphs
 from wobble.llm.quality import quality
-from wobble.llm.setsketch import joint_estimate, registers, shingle_sets, word_hashes
+from wobble.llm.setsketch import estimate_reaches, joint_estimate, registers, shingle_sets, word_hashes
 from wobble.llm.substrings import remove_repeats
 from wobble.llm.tokencount import TrieCounter, token_counts
 from wobble.llm.tokens import WordIds, read_token_files, token_file_digest, write_token_files
@@ -167,6 +167,9 @@ def test_joint_estimate_is_near():
         r = registers(np.concatenate([np.sort(a), np.sort(b)]), np.array([3000, 6000]), 1024)
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         assert abs(joint_estimate(r[:1], r[1:], np.array([3000.0]), np.array([3000.0]))[0] - true) < 0.08
+        for level in (0.2, 0.5, 0.78, 0.9):
+            sizes = np.array([3000.0])
+            assert estimate_reaches(r[:1], r[1:], sizes, sizes, level)[0] == (joint_estimate(r[:1], r[1:], sizes, sizes)[0] >= level)
         # registers of a union are the maxima
         u = registers(np.unique(np.concatenate([a, b])), np.array([len(np.union1d(a, b))]), 1024)
         assert (u[0] == np.maximum(r[0], r[1])).all()

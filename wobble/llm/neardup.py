@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import near
 from .base import Scratch, pieces
-from .setsketch import joint_estimate, registers, shingle_sets, word_hashes
+from .setsketch import estimate_reaches, registers, shingle_sets, word_hashes
 
 BANDS, ROWS = 32, 5
 #: Standard deviations of the estimate by which a pair may fall short of the threshold and still be compared exactly.
@@ -59,7 +59,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
         out = np.zeros(len(ok), bool)
         where = np.flatnonzero(ok)
         if len(where):
-            out[where] = joint_estimate(a[where], b[where], nx[where].astype(float), ny[where].astype(float)) >= t - SLACK * np.sqrt(t * (1 - t) / a.shape[1])
+            out[where] = estimate_reaches(a[where], b[where], nx[where].astype(float), ny[where].astype(float), t - SLACK * np.sqrt(t * (1 - t) / a.shape[1]))
         return out
 
     def linked(shared: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:

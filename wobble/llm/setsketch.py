@@ -96,8 +96,8 @@ def registers(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Jaccard similarity of pairs of sets by maximum likelihood, from their registers (rows of a and b) and sizes.
+def log_likelihood(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray):
+    """Log-likelihood of a Jaccard similarity for pairs of sets, from their registers (rows of a and b) and sizes, and the largest similarity that the sizes allow.
 
     With u and v the sets' shares of na + nb, a register of the first is above the other's with probability p(u - v J),
     below with p(v - u J), where p(x) = -log_b(1 - x (b - 1) / b).
@@ -108,14 +108,27 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
     v = 1 - u
     p = lambda x: -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
+    def at(j: np.ndarray) -> np.ndarray:
         x, y = np.maximum(p(u - v * j), 1e-12), np.maximum(p(v - u * j), 1e-12)
         return above * np.log(x) + below * np.log(y) + same * np.log(np.maximum(1 - x - y, 1e-12))
 
-    lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
+    return at, np.minimum(u / v, v / u)
+
+
+def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, steps: int = 40) -> np.ndarray:
+    """Jaccard similarity of pairs of sets by maximum likelihood; the likelihood has one maximum."""
+    at, hi = log_likelihood(a, b, na, nb)
+    lo = np.zeros(len(hi))
     g = (np.sqrt(5) - 1) / 2
-    for _ in range(steps):  # the likelihood has one maximum
+    for _ in range(steps):
         c, d = hi - g * (hi - lo), lo + g * (hi - lo)
-        left = likelihood(c) > likelihood(d)
+        left = at(c) > at(d)
         lo, hi = np.where(left, lo, c), np.where(left, d, hi)
     return (lo + hi) / 2
+
+
+def estimate_reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, level: float) -> np.ndarray:
+    """Whether joint_estimate is level or more: whether the likelihood still rises there."""
+    at, hi = log_likelihood(a, b, na, nb)
+    step = 1e-6
+    return (hi > level + step) & (at(np.full(len(hi), level + step)) >= at(np.full(len(hi), level)))
