@@ -62,7 +62,10 @@ def encode(values: np.ndarray, block: int = BLOCK) -> Coded:
             shifted = np.zeros_like(widest)
             shifted[: done - c] = widest[c - done :]
             widest, done = np.maximum(widest, shifted), c
-        np.maximum(count, (widest <= w).astype(np.uint8) * np.uint8(c), out=count)
+        fits = widest <= w
+        if not fits.any():
+            break  # more values in narrower lanes fit nowhere either
+        np.maximum(count, fits.view(np.uint8) * np.uint8(c), out=count)
     take = np.maximum(count, 1).astype(np.int32)
     pos = np.arange(nb) * row
     end = pos + block
@@ -112,11 +115,15 @@ def decode(coded: Coded, block: int = BLOCK) -> np.ndarray:
         if s == ESCAPE:
             out[start[rows]] = escapes[(words[rows] & np.uint64((1 << 60) - 1)).astype(np.int64)]
             continue
-        lane = np.arange(COUNTS[s])
-        v = (words[rows][:, None] >> (lane * WIDTHS[s]).astype(np.uint64)) & np.uint64((1 << int(WIDTHS[s])) - 1)
-        idx = start[rows][:, None] + lane
-        keep = idx < stop[rows][:, None]
-        out[idx[keep]] = v[keep]
+        c, w, at, end = int(COUNTS[s]), int(WIDTHS[s]), start[rows], stop[rows]
+        coded_words, mask = words[rows], np.uint64((1 << w) - 1)
+        full = at + c <= end
+        for k in range(c):  # only a block's last word may be cut short
+            there = full if k else slice(None)
+            out[at[there] + k] = (coded_words[there] >> np.uint64(k * w)) & mask
+        for r in np.flatnonzero(~full).tolist():
+            k = np.arange(end[r] - at[r])
+            out[at[r] : end[r]] = (coded_words[r] >> (k * w).astype(np.uint64)) & mask
     return out
 
 

@@ -46,7 +46,9 @@ class WordIds:
 
     PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed values: the tokenizer file's pattern
 
-    def __init__(self, tokenizer_json: str, most: int = 600_000):
+    PLAIN, STOPPED = "^[A-Z]?[a-zß-öø-ÿ]+$", "^[A-Z]?[a-zß-öø-ÿ]+[.,]$"
+
+    def __init__(self, tokenizer_json: str, most: int = 800_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -100,7 +102,10 @@ class WordIds:
                 self.word_code, self.word_ids, self.word_ends = {}, array("I"), array("q", [0])
                 new = distinct
             cut, odd = self.cut, self.odd
-            parts = [("\0" + w,) if odd(w) else cut(w.lower()) for w in new]
+            names = pa.array(new)
+            plain = pc.match_substring_regex(names, self.PLAIN).to_pylist()  # these are one pre-token
+            stopped = pc.match_substring_regex(names, self.STOPPED).to_pylist()  # these are one and a mark
+            parts = [(w.lower(),) if p else (w[:-1].lower(), w[-1]) if s else ("\0" + w,) if odd(w) else cut(w.lower()) for w, p, s in zip(new, plain, stopped, strict=True)]
             flat = list(chain.from_iterable(parts))
             unknown = list({p for p in flat if p not in self.code})
             self.learn([p for p in unknown if p[0] != "\0"])
@@ -177,7 +182,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
             held, doc_ids, lens, n = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
-        for batch in pieces(batches, "text", 8 << 20):
+        for batch in pieces(batches, "text", 10 << 20):
             ids, each = coder.encode(batch.column(1))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(each), end_id)
