@@ -26,7 +26,7 @@ from wobble.llm.setsketch import estimate_reaches, joint_estimate, registers, sh
 from wobble.llm.substrings import remove_repeats
 from wobble.llm.tokencount import TrieCounter, token_counts
 from wobble.llm.tokens import WordIds, read_token_files, token_file_digest, write_token_files
-from wobble.llm.toxicity import Model, score, train
+from wobble.llm.toxicity import Model, score, train, train_sample
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 RNG = np.random.default_rng(5)
@@ -246,6 +246,22 @@ def test_toxicity(spark, docs, none):
     assert train([], np.zeros(0, bool)) == Model({}, -6.0)
 
 
+@pytest.mark.parametrize("huge_first", [False, True])
+def test_toxicity_learns_beside_and_from_huge_texts(spark, huge_first):
+    rng = np.random.default_rng(11)
+    texts = [". ".join(f"{prose(8, rng)}{' grub' if i % 3 == 0 and k == 2 else ''}" for k in range(6)) for i in range(300)]
+    toxic = np.arange(300) % 3 == 0
+    first = spark.range(300).orderBy(F.xxhash64("id", F.lit(17))).first().id
+    if huge_first:
+        texts[first] = f"{prose(1000, rng)}. " * 3000 + texts[first]
+        assert len(texts[first]) > 12 << 20
+    d = spark.createDataFrame([*enumerate(texts), (500, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([*((i, int(y)) for i, y in enumerate(toxic)), (500, 1), (501, 1), (None, 1)], "doc_id long, toxic int")
+    got, want = train_sample(d, labels), train(texts, toxic)
+    assert set(got.weights) == {"grub"} and got.weights == pytest.approx(want.weights) and got.bias == pytest.approx(want.bias)
+    assert train_sample(d, labels.where("toxic = 1")) == Model({}, -6.0)
+
+
 def test_suffix_order():
     for _ in range(10):
         strings = [bytes(RNG.integers(97, 97 + int(RNG.integers(1, 3)), int(RNG.integers(1, 200))).astype(np.uint8)) for _ in range(5)]

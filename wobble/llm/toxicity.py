@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -11,12 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .base import pieces
+from .base import Scratch, pieces
 
-#: The sample to learn from: so many rows of either label, and so many bytes of text, at most.
-SAMPLE_ROWS, SAMPLE_BYTES = 2500, 12 << 20
+#: The sample to learn from: so many rows of either label at most, with their whole texts.
+SAMPLE_ROWS = 2500
+#: What the choice of words and the fit take: standard errors, and the share of the largest weight.
+SIGNAL, STRONG = 4.0, 0.12
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -69,7 +70,49 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, signal: float = 4.0, strong: float = 0.12) -> Model:
+def holdings(p: Parsed) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words of a batch, and the distinct pairs of a document and the number of a word that it holds."""
+    ids: dict[str, int] = {}
+    code = np.array([ids.setdefault(w, len(ids)) for w in p.names], np.int64)[p.code]
+    pairs = np.unique(p.document[p.sentence] * max(1, len(ids)) + code)
+    return list(ids), pairs // max(1, len(ids)), pairs % max(1, len(ids))
+
+
+def telling(both, mine, docs: int, toxic: int, signal: float, sqrt: Callable):
+    """Whether the share of toxic documents that hold a word exceeds that of others by `signal` standard errors. Arrays or columns; both, mine: documents and toxic documents that hold it."""
+    share = both / docs
+    gap = mine / toxic - (both - mine) / (docs - toxic)
+    return gap > signal * sqrt(share * (1 - share) * (1 / toxic + 1 / (docs - toxic)))
+
+
+class Patterns(NamedTuple):
+    """Sentences of a document that hold the same words are one pattern: its document and how often it occurs; and pairs of a pattern and a word in it."""
+
+    document: np.ndarray
+    times: np.ndarray
+    sent: np.ndarray
+    word: np.ndarray
+
+
+def patterns(p: Parsed, words: dict[str, int], texts: int) -> Patterns:
+    """Patterns over `words`, by document; sentences that hold none of them are a pattern as well."""
+    code = np.array([words.get(w, -1) for w in p.names], np.int64)[p.code]
+    held = code >= 0
+    pairs = np.unique(p.sentence[held] * max(1, len(words)) + code[held])  # a word counts once in a sentence
+    sent, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+    at = np.flatnonzero(np.diff(sent, prepend=-1))
+    own = p.document[sent[at]]
+    bare = np.bincount(p.document, minlength=texts) - np.bincount(own, minlength=texts)
+    found: dict[tuple[int, bytes], int] = {(int(d), b""): int(bare[d]) for d in np.flatnonzero(bare)}
+    for d, lo, hi in zip(own.tolist(), at.tolist(), np.append(at, len(sent))[1:].tolist(), strict=True):
+        key = d, word[lo:hi].tobytes()
+        found[key] = found.get(key, 0) + 1
+    keys = sorted(found)
+    sizes = np.array([len(k) // 8 for _, k in keys], np.int64)
+    return Patterns(np.array([d for d, _ in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.repeat(np.arange(len(keys)), sizes), np.frombuffer(b"".join(k for _, k in keys), np.int64))
+
+
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, signal: float = SIGNAL, strong: float = STRONG) -> Model:
     """Maximum likelihood with a small penalty over all sample documents, by Adagrad.
 
     A document is clean if all of its sentences are, so its log-probability of that is the sum of theirs. The noisy-or has a leak, fitted along: the
@@ -80,37 +123,34 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float =
     if not len(texts) or toxic.all() or not toxic.any():
         return Model({}, -6.0)
     p = parse(pa.array(texts, pa.string()))
-    ids: dict[str, int] = {}
-    code = np.array([ids.setdefault(w, len(ids)) for w in p.names], np.int64)[p.code]
-    pairs = np.unique(p.sentence * len(ids) + code)  # a word counts once in a sentence
-    sent, word = pairs // len(ids), pairs % len(ids)
-    n, docs = len(p.document), len(texts)
     y = toxic.astype(bool)
-    holds = np.unique(p.document[sent] * len(ids) + word)
-    both = np.bincount(holds % len(ids), minlength=len(ids))
-    mine = np.bincount(holds % len(ids), y[holds // len(ids)], len(ids))
-    share = both / docs
-    gap = mine / y.sum() - (both - mine) / (~y).sum()
-    kept = (gap > signal * np.sqrt(share * (1 - share) * (1 / y.sum() + 1 / (~y).sum())))[word]
-    sent, word = sent[kept], word[kept]
-    w, b = fit(sent, word, p.document, y, n, len(ids), rounds, rate, decay)
+    names, document, word = holdings(p)
+    kept = telling(np.bincount(word, minlength=len(names)), np.bincount(word, y[document], len(names)), len(texts), int(y.sum()), signal, np.sqrt)
+    names = sorted(np.array(names, object)[kept])
+    return learn(patterns(p, {w: i for i, w in enumerate(names)}, len(texts)), y, names, rounds, rate, decay, strong)
+
+
+def learn(found: Patterns, y: np.ndarray, names: list[str], rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, strong: float = STRONG) -> Model:
+    """The two fits of train(). y: of each document; names: of the patterns' words."""
+    w, b = fit(found, y, len(names), rounds, rate, decay)
     if w.max(initial=0.0) > 0:
-        kept = w[word] >= strong * w.max()
-        w, b = fit(sent[kept], word[kept], p.document, y, n, len(ids), rounds, rate, decay / 100)
-    names = list(ids)
+        kept = w[found.word] >= strong * w.max()
+        w, b = fit(found._replace(sent=found.sent[kept], word=found.word[kept]), y, len(names), rounds, rate, decay / 100)
     return Model({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b))
 
 
-def fit(sent: np.ndarray, word: np.ndarray, document: np.ndarray, y: np.ndarray, n: int, words: int, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
-    """Weights and bias. sent, word: pairs of a sentence and a word in it; document: of each of the n sentences; y: of each document."""
+def fit(found: Patterns, y: np.ndarray, words: int, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Weights and bias. y: of each document."""
+    document, times, sent, word = found
+    n = len(document)
     docs = len(y)
     w, b, gw, gb, leak = np.zeros(words), -4.0, np.full(words, 1e-8), 1e-8, 0.2 * y.mean()
     for _ in range(rounds):
         z = b + np.bincount(sent, w[word], n)
-        clean = np.exp(-np.bincount(document, softplus(z), docs))
+        clean = np.exp(-np.bincount(document, times * softplus(z), docs))
         marked = leak + (1 - leak) * (1 - clean)
         pull = np.where(y, -(1 - leak) * clean / marked, 1.0) / docs
-        dz = pull[document] / (1 + np.exp(-np.clip(z, -500, 500)))
+        dz = times * pull[document] / (1 + np.exp(-np.clip(z, -500, 500)))
         dw, db = np.bincount(word, dz[sent], words) + decay * w, dz.sum()
         gw, gb = gw + dw**2, gb + db**2
         w, b = w - rate * dw / np.sqrt(gw), b - rate * db / np.sqrt(gb)
@@ -119,16 +159,49 @@ def fit(sent: np.ndarray, word: np.ndarray, document: np.ndarray, y: np.ndarray,
 
 
 def train_sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> Model:
-    """A model from at most SAMPLE_ROWS rows of either label and SAMPLE_BYTES of whole texts, in order of a hash of doc_id.
+    """A model from at most SAMPLE_ROWS rows of either label, in order of a hash of doc_id. Their texts count whole, however long.
 
-    labels: doc_id, toxic; null in either leaves a row out. Labelled ids without a document, and null texts, teach nothing."""
+    labels: doc_id, toxic; null in either leaves a row out. Labelled ids without a document, and null texts, teach nothing. Texts stay with the
+    executors, which count the words' documents and then reduce each document to its patterns of telling words; the driver gets those.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     l = labels.select(F.col("doc_id").cast("long").alias("_id"), (F.col("toxic") == 1).alias("_y")).where("_id is not null and _y is not null")
     order = F.xxhash64("_id", F.lit(seed))
     ids = [l.where(F.col("_y") == y).orderBy(order, "_id").limit(SAMPLE_ROWS) for y in (True, False)]
-    s = docs.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), F.col("doc_id") == F.col("_id"))
-    held = F.sum(F.octet_length("text")).over(Window.orderBy(order, "_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    rows = s.where("text is not null").orderBy(order, "_id", "text").limit(2 * SAMPLE_ROWS).withColumn("_held", held).where(F.col("_held") <= SAMPLE_BYTES).select("text", "_y").toPandas()
-    return train(rows["text"].tolist(), rows["_y"].to_numpy(bool))
+    s = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids[0].union(ids[1])), F.col("doc_id") == F.col("_id"))
+    s = scratch.keep(s.select("_id", "_y", F.xxhash64("text").alias("_th"), F.monotonically_increasing_id().alias("_row"), "text"))
+    if s.count() > 2 * SAMPLE_ROWS:  # repeated ids
+        s = s.join(F.broadcast(s.orderBy(order, "_id", "_th", "_y", "_row").select("_row").limit(2 * SAMPLE_ROWS)), "_row")
+    total = s.agg(F.count("*").alias("docs"), F.count_if("_y").alias("toxic")).first()
+    if total.toxic in (0, total.docs):
+        scratch.only()
+        return Model({}, -6.0)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            names, document, word = holdings(parse(b.column(1)))
+            y = b.column(0).to_numpy(zero_copy_only=False)
+            both, mine = np.bincount(word, minlength=len(names)), np.bincount(word[y[document]], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(both), pa.array(mine)], ["word", "both", "mine"])
+
+    held = s.select("_y", "text").mapInArrow(count, "word string, both long, mine long").groupBy("word").agg(F.sum("both").alias("both"), F.sum("mine").alias("mine"))
+    names = sorted(r.word for r in held.where(telling(F.col("both"), F.col("mine"), total.docs, total.toxic, SIGNAL, F.sqrt)).select("word").collect())
+    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            f = patterns(parse(b.column(3)), shared.value, len(b))
+            ends = np.searchsorted(f.document, np.arange(len(b) + 1))
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for at, v in ((ends, f.times), (ends, np.bincount(f.sent, minlength=len(f.times))), (np.searchsorted(f.sent, ends), f.word))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], ["_id", "_th", "_y", "times", "sizes", "words"])
+
+    t = s.select("_id", "_th", "_y", "text").mapInArrow(reduce, "_id long, _th long, _y boolean, times array<long>, sizes array<long>, words array<long>").toArrow()
+    scratch.only()
+    t = t.sort_by([(c, "ascending") for c in ("_id", "_th", "_y")]).combine_chunks()
+    times, sizes, words = (t.column(c).combine_chunks() for c in ("times", "sizes", "words"))
+    flat = lambda a: a.flatten().to_numpy(zero_copy_only=False)
+    found = Patterns(np.repeat(np.arange(len(t)), pc.list_value_length(times).to_numpy(zero_copy_only=False)), flat(times), np.repeat(np.arange(len(flat(sizes))), flat(sizes)), flat(words))
+    return learn(found, t.column("_y").to_numpy(), names)
 
 
 def score(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
