@@ -203,6 +203,17 @@ def test_paragraphs(spark, docs, none):
     assert duplicate_paragraphs(none).count() == 0
 
 
+def test_short_paragraphs(spark):
+    rng = np.random.default_rng(12)
+    lines = [prose(n, rng) for n in (5, 9, 12, 15, 19, 10)]
+    edited = lines[4].split()
+    edited[-1] = "changed"
+    rows = [(1, "\n".join(lines)), (2, "\n".join([prose(11, rng), *lines[:4], " ".join(edited), prose(4, rng)])), (3, f"{prose(7, rng)}\n{lines[5]}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.paragraph): (r.cluster_doc_id, r.cluster_paragraph, r.kept) for r in duplicate_paragraphs(d).collect()}
+    assert got == {(1, k): (1, k, True) for k in range(6)} | {(2, k + 1): (1, k, False) for k in range(5)} | {(3, 1): (1, 5, False)}
+
+
 def test_quality(docs, none):
     for r in quality(docs.where("doc_id is not null")).collect():
         w = WORDS.findall(r.text or "")

@@ -38,10 +38,10 @@ def min_hashes(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
     return out.T
 
 
-def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 20) -> DataFrame:
+def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 5) -> DataFrame:
     """Rows of paragraphs that occur again, alike or nearly so: doc_id, paragraph (number of the line from 0), n_words, cluster_doc_id and cluster_paragraph (the cluster's first member, by doc_id and line), cluster_rows, kept (is that first member).
 
-    A paragraph is a line of at least min_words words. Two link if their sets of word shingles, in ASCII lower case, have a Jaccard
+    A paragraph is a line of at least min_words words, one shingle unless told otherwise. Two link if their sets of word shingles, in ASCII lower case, have a Jaccard
     similarity of percent / 100 or more; clusters are connected components of links. Equal sets are one class before any search.
     Null, empty and short texts have no paragraphs. A null doc_id sorts first. Repeated rows are members each; those that equal the first member in id and line are all kept.
     """
