@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wobble.llm import queries as Q
-from wobble.llm import near, simple8b, substrings, suffixes
+from wobble.llm import decontaminate, near, simple8b, substrings, suffixes
 from wobble.llm.base import GAP
 from wobble.llm.chat import escape, format_reply_trees, unescape
 from wobble.llm.decontaminate import contamination
@@ -233,6 +233,18 @@ def test_quality_rejects_what_diverges(spark):
     assert kept == set(range(40))
 
 
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, 0])
+def test_quality_knows_every_language(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
+    rng = np.random.default_rng(13)
+    rows = [(i, prose(400, rng), f"l{i:02}") for i in range(70)]
+    cyrillic = ["".join(rng.choice(list("абвгдежзиклмн"), 5)) for _ in range(100)]
+    rows += [(i, " ".join(rng.choice(cyrillic, 110)), "ru") for i in range(100, 103)] + [(200, " ".join(rng.choice(cyrillic, 110)), None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r.kept for r in quality(d).collect()}
+    assert got == {i: i != 200 for i, *_ in rows}
+
+
 def test_toxicity(spark, docs, none):
     bad = ["grub", "toad"]
     texts, toxic = [], []

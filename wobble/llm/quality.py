@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import Scratch, words
+from .decontaminate import maybe_broadcast
 
 # Frequent function words of English, French, German and Spanish; a parameter of divergence().
 COMMON_WORDS = (
@@ -16,8 +17,6 @@ COMMON_WORDS = (
 )
 #: Character classes, in the order in which they are taken out of a text.
 CLASSES = (("lower", "[a-z]+"), ("gap", r"[\x20\x09-\x0D]+"), ("other", r"[^\x00-\x7F]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"))
-#: References are kept for so many languages at most, those with most words; other languages share a pooled one.
-LANGUAGES = 64
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
@@ -69,7 +68,7 @@ def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.
     base_failed: fewer than 50 words, or over half of the words in repeated 3-word windows. References are the summed
     histograms of all documents of a language that don't fail the base rules. Divergence is judged only above the guards: the classes from
     least_chars characters, the common words (all other words being one bin) from least_words words. kept: neither failed nor divergent.
-    Null languages, and those beyond the LANGUAGES with most words, are held against the pooled reference. Columns of docs named like those added are replaced.
+    Null languages, and those without documents that pass the base rules, are held against the pooled reference. Columns of docs named like those added are replaced.
     With text_out=False, the text isn't carried along.
     """
     scratch = Scratch(docs.sparkSession, "quality")
@@ -82,12 +81,12 @@ def quality(docs: DataFrame, class_limit: float = 0.32, common_limit: float = 0.
     f = scratch.keep(f)  # one pass over the texts, for the references and for the verdicts
     kinds = {"class_counts": len(CLASSES) + 1, "common_counts": len(COMMON_WORDS) + 1}
     fit = f.where(~F.col("base_failed"))
-    sums = fit.groupBy("lang").agg(F.sum("n_words").alias("n"), *[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(k)]).alias(f"{c}_ref") for c, k in kinds.items()])
-    kept = scratch.keep(sums.orderBy(F.desc("n"), F.asc_nulls_last("lang")).limit(LANGUAGES))
+    sums = fit.where("lang is not null").groupBy(F.col("lang").alias("_lang")).agg(*[F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(k)]).alias(f"{c}_ref") for c, k in kinds.items()])
+    refs = scratch.keep(sums)
     pooled = scratch.keep(fit.agg(*[F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(k)]).alias(f"{c}_ref") for c, k in kinds.items()]))
-    refs = kept.where("lang is not null").select(F.col("lang").alias("_lang"), *[f"{c}_ref" for c in kinds])
     whole = pooled.first()
-    j = f.join(F.broadcast(refs), F.col("lang") == F.col("_lang"), "left")  # LANGUAGES rows at most
+    # both sides are written, so that Spark can split a hot language where the references are too many to be broadcast
+    j = f.join(maybe_broadcast(refs, F.octet_length("_lang") + 8 * sum(kinds.values())), F.col("lang") == F.col("_lang"), "left")
     ref = lambda c: F.coalesce(F.col(f"{c}_ref"), F.array(*[F.lit(int(x)).cast("long") for x in whole[f"{c}_ref"]]))
     j = j.withColumns({"class_js": js_distance(F.col("class_counts"), ref("class_counts")), "common_js": js_distance(F.col("common_counts"), ref("common_counts"))})
     chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
