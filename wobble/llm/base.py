@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # pa.compute is an attribute only once imported
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,4 +89,24 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         yield batch.slice(start)
 
 
-import pyarrow.compute  # noqa: E402,F401  pa.compute is an attribute only once imported
+def release() -> None:
+    """Gives freed memory back to the system, as far as this one lets us."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """run, a function of Arrow batches, after which an idle Python worker doesn't hold on to what its task has freed."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole

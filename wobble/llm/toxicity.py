@@ -12,24 +12,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, pieces
+from .base import Scratch, lean, pieces
 
 #: The sample to learn from: so many rows of either label at most, with their whole texts.
 SAMPLE_ROWS = 2500
 #: What the choice of words and the fit take: standard errors, and the share of the largest weight.
-SIGNAL, STRONG = 4.0, 0.12
+SIGNAL, STRONG = 4.0, 0.05
+#: Features are words and their first letters, so many of them; a feature of fewer toxic documents than LEAST is no evidence.
+PARTS, LEAST = (3, 4, 5, 6), 5
 _EDGES = re.compile(r"^\W+|\W+$")
 
 
 class Model(NamedTuple):
-    """Logit of a sentence: bias plus the weights of its words."""
+    """Logit of a sentence: bias plus the weights of its features: words, and beginnings of words with * after them."""
 
     weights: dict[str, float]
     bias: float
 
 
 class Parsed(NamedTuple):
-    """Words of a batch by code, the sentence of each, and each sentence's document and first word (within the document)."""
+    """Words of a batch by code, or their features (with_parts), the sentence of each, and each sentence's document and first word (within the document)."""
 
     names: list[str]
     code: np.ndarray
@@ -66,12 +68,26 @@ def parse(texts: pa.Array) -> Parsed:
     return Parsed(names, c, np.cumsum(new) - 1, d[new], order[new])
 
 
+def with_parts(p: Parsed) -> Parsed:
+    """Features instead of words: each word, and the beginnings that PARTS names of it if it is longer."""
+    ids: dict[str, int] = {}
+    flat: list[int] = []
+    ends = np.zeros(len(p.names) + 1, np.int64)
+    for k, w in enumerate(p.names):
+        flat.append(ids.setdefault(w, len(ids)))
+        flat += [ids.setdefault(w[:n] + "*", len(ids)) for n in PARTS if len(w) > n]
+        ends[k + 1] = len(flat)
+    n = np.diff(ends)[p.code]
+    at = np.repeat(ends[p.code] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return Parsed(list(ids), np.array(flat, np.int64)[at], np.repeat(p.sentence, n), p.document, p.first)
+
+
 def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
 def holdings(p: Parsed) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Distinct words of a batch, and the distinct pairs of a document and the number of a word that it holds."""
+    """Distinct features of a batch, and the distinct pairs of a document and the number of a feature that it holds."""
     ids: dict[str, int] = {}
     code = np.array([ids.setdefault(w, len(ids)) for w in p.names], np.int64)[p.code]
     pairs = np.unique(p.document[p.sentence] * max(1, len(ids)) + code)
@@ -79,10 +95,10 @@ def holdings(p: Parsed) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def telling(both, mine, docs: int, toxic: int, signal: float, sqrt: Callable):
-    """Whether the share of toxic documents that hold a word exceeds that of others by `signal` standard errors. Arrays or columns; both, mine: documents and toxic documents that hold it."""
+    """Whether LEAST toxic documents or more hold a feature, and their share exceeds that of others by `signal` standard errors. Arrays or columns; both, mine: documents and toxic documents that hold it."""
     share = both / docs
     gap = mine / toxic - (both - mine) / (docs - toxic)
-    return gap > signal * sqrt(share * (1 - share) * (1 / toxic + 1 / (docs - toxic)))
+    return (mine >= LEAST) & (gap > signal * sqrt(share * (1 - share) * (1 / toxic + 1 / (docs - toxic))))
 
 
 class Patterns(NamedTuple):
@@ -112,17 +128,17 @@ def patterns(p: Parsed, words: dict[str, int], texts: int) -> Patterns:
     return Patterns(np.array([d for d, _ in keys], np.int64), np.array([found[k] for k in keys], np.int64), np.repeat(np.arange(len(keys)), sizes), np.frombuffer(b"".join(k for _, k in keys), np.int64))
 
 
-def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, signal: float = SIGNAL, strong: float = STRONG) -> Model:
+def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4, signal: float = SIGNAL, strong: float = STRONG) -> Model:
     """Maximum likelihood with a small penalty over all sample documents, by Adagrad.
 
     A document is clean if all of its sentences are, so its log-probability of that is the sum of theirs. The noisy-or has a leak, fitted along: the
-    chance that a document is marked though no sentence is toxic; it keeps wrong labels from being learnt by heart. Words have a weight
-    only if the share of toxic documents that hold them exceeds that of others by `signal` standard errors, and
-    if a first fit under the penalty `decay` gives them `strong` times the largest weight or more; the second fit has next to no penalty.
+    chance that a document is marked though no sentence is toxic; it keeps wrong labels from being learnt by heart. Features have a weight
+    only if they are telling, by `signal` standard errors, and if a first fit under the penalty `decay` gives them `strong` times
+    the largest weight or more; the second fit has next to no penalty.
     """
     if not len(texts) or toxic.all() or not toxic.any():
         return Model({}, -6.0)
-    p = parse(pa.array(texts, pa.string()))
+    p = with_parts(parse(pa.array(texts, pa.string())))
     y = toxic.astype(bool)
     names, document, word = holdings(p)
     kept = telling(np.bincount(word, minlength=len(names)), np.bincount(word, y[document], len(names)), len(texts), int(y.sum()), signal, np.sqrt)
@@ -130,7 +146,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 400, rate: float =
     return learn(patterns(p, {w: i for i, w in enumerate(names)}, len(texts)), y, names, rounds, rate, decay, strong)
 
 
-def learn(found: Patterns, y: np.ndarray, names: list[str], rounds: int = 400, rate: float = 0.5, decay: float = 1e-3, strong: float = STRONG) -> Model:
+def learn(found: Patterns, y: np.ndarray, names: list[str], rounds: int = 400, rate: float = 0.5, decay: float = 1e-4, strong: float = STRONG) -> Model:
     """The two fits of train(). y: of each document; names: of the patterns' words."""
     w, b = fit(found, y, len(names), rounds, rate, decay)
     if w.max(initial=0.0) > 0:
@@ -177,9 +193,10 @@ def train_sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> Model:
         scratch.only()
         return Model({}, -6.0)
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            names, document, word = holdings(parse(b.column(1)))
+            names, document, word = holdings(with_parts(parse(b.column(1))))
             y = b.column(0).to_numpy(zero_copy_only=False)
             both, mine = np.bincount(word, minlength=len(names)), np.bincount(word[y[document]], minlength=len(names))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(both), pa.array(mine)], ["word", "both", "mine"])
@@ -188,9 +205,10 @@ def train_sample(docs: DataFrame, labels: DataFrame, seed: int = 17) -> Model:
     names = sorted(r.word for r in held.where(telling(F.col("both"), F.col("mine"), total.docs, total.toxic, SIGNAL, F.sqrt)).select("word").collect())
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(names)})
 
+    @lean
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
-            f = patterns(parse(b.column(3)), shared.value, len(b))
+            f = patterns(with_parts(parse(b.column(3))), shared.value, len(b))
             ends = np.searchsorted(f.document, np.arange(len(b) + 1))
             lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(v)) for at, v in ((ends, f.times), (ends, np.bincount(f.sent, minlength=len(f.times))), (np.searchsorted(f.sent, ends), f.word))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *lists], ["_id", "_th", "_y", "times", "sizes", "words"])
@@ -209,26 +227,28 @@ def score(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
 
     Whole texts are scored; those without words score 0. Repeated rows are scored each. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = sorted(model.weights)
+    tables = [(0, [w for w in names if w[-1] != "*"])] + [(k, [w for w in names if w[-1] == "*" and len(w) == k + 1]) for k in PARTS]
+    tables = [(k, [w[: k or None] for w in found], [names.index(w) for w in found]) for k, found in tables if found]
+    shared = docs.sparkSession.sparkContext.broadcast((tables, np.array([model.weights[w] for w in names]), model.bias))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, bias = shared.value
+        tables, weights, bias = shared.value
+        sets = [(k, pa.array(found, pa.string()), np.array([*number, -1])) for k, found, number in tables]
         for b in pieces(batches, "text"):
             p = parse(b.column(1))
-            w = np.fromiter((weights.get(x, 0.0) for x in p.names), float, len(p.names))
-            heavy = w[p.code] != 0
-            # a word counts once in a sentence
-            pairs = np.unique(p.sentence[heavy] * max(1, len(p.names)) + p.code[heavy]) if heavy.any() else np.zeros(0, np.int64)
+            words = pa.array(p.names, pa.string())
             n = len(p.document)
-            same: dict[str, int] = {}
-            alike = np.fromiter((same.setdefault(x, i) for i, x in enumerate(p.names)), np.int64, len(p.names))
-            if len(pairs):
-                sent, word = pairs // len(p.names), alike[pairs % len(p.names)]
-                pairs = np.unique(sent * len(p.names) + word)
-                sent, word = pairs // len(p.names), pairs % len(p.names)
-                z = bias + np.bincount(sent, w[word], n)
-            else:
-                z = np.full(n, bias)
+            z = np.full(n, bias)
+            if sets and len(words):
+                # which features each distinct word has: one a table, or none
+                own = np.stack([number[pc.fill_null(pc.index_in(pc.utf8_slice_codeunits(words, 0, k) if k else words, found), -1).to_numpy(zero_copy_only=False)] for k, found, number in sets], 1)
+                own[np.stack([pc.utf8_length(words).to_numpy(zero_copy_only=False) <= k for k, _, _ in sets], 1)] = -1
+                heavy = np.flatnonzero((own >= 0).any(1)[p.code])
+                mine = own[p.code[heavy]]
+                pairs = np.unique((p.sentence[heavy][:, None] * len(weights) + mine)[mine >= 0])  # a feature counts once in a sentence
+                z += np.bincount(pairs // len(weights), weights[pairs % len(weights)], n)
             total = -np.expm1(-np.bincount(p.document, softplus(z), len(b)))
             each = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
             bad = np.flatnonzero(each >= limit)
