@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from wobble.llm import queries as Q
-from wobble.llm import decontaminate, near, simple8b, substrings, suffixes
+from wobble.llm import decontaminate, near, paragraphs, simple8b, substrings, suffixes
 from wobble.llm.base import GAP
 from wobble.llm.chat import escape, format_reply_trees, unescape
 from wobble.llm.decontaminate import contamination
@@ -184,34 +184,88 @@ def test_word_hashes_split_like_the_contract():
     assert len(s) == len(WORDS.findall(texts[0])) - 2 and e.tolist() == [len(s)] * 4
 
 
-def test_paragraphs(spark, docs, none):
-    p = [prose(40) for _ in range(4)]
+def brute_paragraphs(rows, passage):
+    """Rows (doc_id, start, n_words, cluster_doc_id, cluster_start, cluster_rows, passage_start, passage_words) of (doc_id, text), by comparing all paragraphs and all strings of words."""
+    found, own = [], []
+    for row, (_, t) in enumerate(rows):
+        w = WORDS.findall(lower(t or ""))
+        h = paragraphs.pair_hashes(*word_hashes(pa.array([t], pa.string()))).tolist()
+        top = 2**64 - 1
+        begin = [i for i in range(len(w)) if i == 0 or h[i] < min([*h[max(0, i - 10) : i], top]) and h[i] <= min([*h[i + 1 : i + 11], top])] + [len(w)]
+        own.append(w)
+        for x, y in zip(begin[:-1], begin[1:], strict=True):
+            parts = -(-(y - x) // 32)
+            cuts = [x + (y - x) * k // parts for k in range(parts + 1)]
+            found += [(row, p, q - p) for p, q in zip(cuts[:-1], cuts[1:], strict=True) if q - p >= 5]
+    sets = {(row, p): shingles(" ".join(own[row][p : p + n]), 5) for row, p, n in found}
+    comp = components_of(sets, 80)
+    groups = {}
+    for k, c in comp.items():
+        groups.setdefault(c, []).append(k)
+    groups = {c: g for c, g in groups.items() if len({row for row, _ in g}) > 1}
+    held = {(row, p): n for row, p, n in found if comp[row, p] in groups}
+    runs = {}
+    for row, p in sorted(held):
+        prior = next((k for k, (x, n) in runs.items() if k[0] == row and x + n == p), None)
+        if prior:
+            runs[prior] = (runs[prior][0], runs[prior][1] + held[row, p])
+        else:
+            runs[row, p] = (p, held[row, p])
+    run_of = {(row, p): (row, x) for row, p in held for (r, x), (_, n) in runs.items() if r == row and x <= p < x + n}
+    marked = {comp[k] for k in held if runs[run_of[k]][1] < passage}
+    where, strings = {}, {}
+    for row, p in held:
+        if comp[row, p] in marked:
+            for before in range(0, max(0, passage - held[row, p]) + 1, 3):
+                if p >= before and p - before + passage - 2 <= len(own[row]):
+                    w = tuple(own[row][p - before : p - before + passage - 2])
+                    where.setdefault(w, set()).add(row)
+                    strings.setdefault(run_of[row, p], set()).add(w)
+    out = []
+    for (row, first), (x, n) in runs.items():
+        group = None
+        if n < passage and not any(len(where[w]) > 1 for w in strings.get((row, first), ())):
+            continue
+        for p in (p for r, p in held if r == row and x <= p < x + n):
+            group = groups[comp[row, p]]
+            head = min((rows[r][0], q) for r, q in group)
+            out.append((rows[row][0], p, held[row, p], *head, len(group), x, n))
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("small", "passage"), [(False, 50), (False, 1), (True, 50), (True, 1)])
+def test_paragraphs(spark, docs, none, small, passage, monkeypatch):
+    if small:  # keys of many paragraphs, and blocks of several rows
+        monkeypatch.setattr(near, "BUCKET_ROWS", 2)
+        monkeypatch.setattr(near, "BLOCK_ROWS", 2)
+    rng = np.random.default_rng(21)
+    p = [prose(60, rng) for _ in range(4)]
+    inside = prose(57, rng)
+    wrapped = inside.split()
     edited = p[0].split()
     edited[20] = "changed"
-    rows = [(200, f"{p[0]}\n{p[1]}\nshort"), (201, f"x\n{' '.join(edited)}"), (202, p[2]), (203, f"{p[1]}\n{p[1]}"), (204, "short"), (None, p[3]), (205, p[3].upper())]
-    d = docs.select("doc_id", "text").where("doc_id <> 9").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    sets = {}
-    for i, t in d.collect():
-        for k, line in enumerate((t or "").split("\n")):
-            if len(WORDS.findall(line)) >= 20:
-                sets.setdefault((-1 if i is None else i, k), shingles(line, 5))
-    comp = components_of(sets, 80)
-    many = Counter(comp.values())
-    want = {k: v for k, v in comp.items() if many[v] > 1}
-    got = {(-1 if r.doc_id is None else r.doc_id, r.paragraph): (-1 if r.cluster_doc_id is None else r.cluster_doc_id, r.cluster_paragraph) for r in duplicate_paragraphs(d).collect()}
-    assert got == want and (-1, 0) in got
+    rows = [(200, f"{p[0]}\n{p[1]}\nshort"), (201, f"x\n{' '.join(edited)}"), (202, p[2]), (203, f"{p[1]}\n{p[1]}"), (204, "short"), (205, p[3].upper()), (206, p[3]), (207, f"{prose(45, rng)}\n{prose(45, rng)}"), (208, prose(50, rng) + " " + prose(40, rng))]
+    rows += [(300, f"{prose(40, rng)} {inside} {prose(43, rng)}"), (301, "\n".join(" ".join(wrapped[k : k + 8]) for k in range(0, 57, 8))), (302, " ".join(["again and"] * 70)), (303, prose(3, rng) + " and" + " again and" * 60), (304, p[2][: len(p[2]) // 2])]
+    rows += [(400 + k, f"{prose(30, rng)} {' '.join(wrapped[:30])} {prose(30, rng)}") for k in range(12)]
+    all_rows = [(-1 if i is None else i, t) for i, t, *_ in odd_rows()] + rows
+    d = docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
+    none_is = lambda x: -1 if x is None else x
+    got = duplicate_paragraphs(d, passage=passage).collect()
+    assert Counter((none_is(r.doc_id), r.start, r.n_words, none_is(r.cluster_doc_id), r.cluster_start, r.cluster_rows, r.passage_start, r.passage_words) for r in got) == brute_paragraphs(all_rows, passage)
+    ids = {r.doc_id for r in got}
+    assert {200, 203, 205, 206, 300, 301, 302, 303, 9} <= ids and not ids & {204, 207, 208, 3, 4, 5}
+    assert all(r.kept == ((r.doc_id, r.start) == (r.cluster_doc_id, r.cluster_start)) for r in got if r.doc_id is not None)
     assert duplicate_paragraphs(none).count() == 0
 
 
-def test_short_paragraphs(spark):
-    rng = np.random.default_rng(12)
-    lines = [prose(n, rng) for n in (5, 9, 12, 15, 19, 10)]
-    edited = lines[4].split()
-    edited[-1] = "changed"
-    rows = [(1, "\n".join(lines)), (2, "\n".join([prose(11, rng), *lines[:4], " ".join(edited), prose(4, rng)])), (3, f"{prose(7, rng)}\n{lines[5]}")]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.paragraph): (r.cluster_doc_id, r.cluster_paragraph, r.kept) for r in duplicate_paragraphs(d).collect()}
-    assert got == {(1, k): (1, k, True) for k in range(6)} | {(2, k + 1): (1, k, False) for k in range(5)} | {(3, 1): (1, 5, False)}
+def test_passages_inside_longer_lines_are_found(spark):
+    rng = np.random.default_rng(22)
+    words = [f"w{k}" for k in range(4000)]
+    line = lambda n: " ".join(rng.choice(words, n))
+    shared = [line(57) for _ in range(100)]
+    rows = [(k, f"{line(int(rng.integers(20, 60)))} {shared[k % 100]} {line(int(rng.integers(20, 60)))}") for k in range(200)] + [(k, line(140)) for k in range(200, 300)]
+    found = {r.doc_id for r in duplicate_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").distinct().collect()}
+    assert not {i for i in found if i >= 200} and len(found) >= 0.95 * 200
 
 
 def test_quality(docs, none):
@@ -256,7 +310,7 @@ def test_toxicity(spark, docs, none):
         texts.append(". ".join(s))
         toxic.append(y)
     m = train(texts[:240], np.array(toxic[:240]))
-    assert set(m.weights) == set(bad)
+    assert set(bad) <= set(m.weights) <= {"grub", "gru*", "toad", "toa*"}
     held = spark.createDataFrame([(i, t) for i, t in enumerate(texts[240:])], "doc_id long, text string")
     got = {r.doc_id: r for r in score(held, m).collect()}
     assert np.mean([(got[i].score >= 0.7) == y for i, y in enumerate(toxic[240:])]) >= 0.95
@@ -269,6 +323,45 @@ def test_toxicity(spark, docs, none):
     assert train([], np.zeros(0, bool)) == Model({}, -6.0)
 
 
+def test_toxicity_is_a_noisy_or_of_sentences(spark, docs):
+    rows = [(1, "Grubby toad! A clean one. grubs, (TOAD)\ntoad toad"), (2, "nothing here"), (3, "grub"), (4, None), (5, "..."), (None, "toads\n\ntoads"), (1, "toad"), (6, "été grübelt étés")]
+    m = Model({"toad": 2.5, "gru*": 1.0, "grub*": 0.5, "grubby": -0.75, "toad*": 3.0, "été*": 2.0}, -3.0)
+    got = score(docs.select("doc_id", "text").where("1 = 0").union(spark.createDataFrame(rows, "doc_id long, text string")), m, limit=0.3).collect()
+
+    def brute(text):
+        clean, bad, k = 1.0, [], 0
+        for s in re.split(r"(?<=[.!?])[ \n]+|\n", (text or "").lower()):
+            held = {re.sub(r"^\W+|\W+$", "", w) for w in s.split()} - {""}
+            if held:
+                features = held | {w[:n] + "*" for w in held for n in (3, 4, 5, 6) if len(w) > n}
+                p = 1 / (1 + np.exp(-(m.bias + sum(m.weights.get(f, 0.0) for f in features))))
+                clean *= 1 - p
+                bad += [(k, round(p, 9))] * int(p >= 0.3)
+                k += 1
+        return round(1 - clean, 9), bad
+
+    key = lambda x: (x[0] or 0, x[1], x[2])
+    assert sorted(((r.doc_id, round(r.score, 9), [(o.sentence, round(o.score, 9)) for o in r.offending]) for r in got), key=key) == sorted(((i, *brute(t)) for i, t in rows), key=key)
+
+
+def test_toxicity_query_learns_from_two_thirds_only(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    rows, labels = [], []
+    for i in range(600):
+        out = zlib.crc32(str(i).encode()) % 3 == 1
+        toxic = i % 4 == 0
+        # a word that only held-out rows tell by, and one that all do
+        rows.append((i, ". ".join(prose(6, rng) for _ in range(3)) + (" grub" if toxic else "") + (" secret" if out and not toxic else ""), f"l{int(toxic)}", f"s{int(toxic)}"))
+        labels.append((i, int(toxic), 0))
+    spark.createDataFrame([*rows, (9000, None, None, None), (None, "grub", None, None)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*labels, (9000, None, 0), (None, 1, 0)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in Q.op6_noisy_or_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == 602
+    for i, *_ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and got[i].predicted == (got[i].score >= 0.7) == (i % 4 == 0)
+    assert got[9000].score == 0 and got[None].held_out is False
+
+
 @pytest.mark.parametrize("huge_first", [False, True])
 def test_toxicity_learns_beside_and_from_huge_texts(spark, huge_first):
     rng = np.random.default_rng(11)
@@ -281,7 +374,7 @@ def test_toxicity_learns_beside_and_from_huge_texts(spark, huge_first):
     d = spark.createDataFrame([*enumerate(texts), (500, None)], "doc_id long, text string").repartition(3)
     labels = spark.createDataFrame([*((i, int(y)) for i, y in enumerate(toxic)), (500, 1), (501, 1), (None, 1)], "doc_id long, toxic int")
     got, want = train_sample(d, labels), train(texts, toxic)
-    assert set(got.weights) == {"grub"} and got.weights == pytest.approx(want.weights) and got.bias == pytest.approx(want.bias)
+    assert set(got.weights) == {"grub", "gru*"} and got.weights == pytest.approx(want.weights) and got.bias == pytest.approx(want.bias)
     assert train_sample(d, labels.where("toxic = 1")) == Model({}, -6.0)
 
 

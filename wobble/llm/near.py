@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch
+from .base import Scratch, lean
 from .setsketch import shingle_sets, word_hashes
 
 #: A bucket of more nodes isn't compared within; all its nodes go to one family, which is searched exactly.
@@ -98,6 +98,7 @@ def candidate_edges(signatures: DataFrame, bands: int, band_bytes: int, possible
     stars = members.where((F.col("k") > BUCKET_ROWS) & (F.col("node") != F.col("first"))).select(F.col("node").alias("a"), F.col("first").alias("b"))
     small = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node").join(signatures, "node").select("key", "node", "n", "sig").repartition("key").sortWithinPartitions("key")
 
+    @lean
     def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, ["key"]):
             n = t.column("n").to_numpy()
@@ -123,54 +124,126 @@ def candidate_edges(signatures: DataFrame, bands: int, band_bytes: int, possible
     return small.mapInArrow(connect, f"a {node_type}, b {node_type}").union(stars)
 
 
-def exact_links(members: DataFrame, shingle: int, linked: Callable, scratch: Scratch, lower: bool = True) -> DataFrame:
+def links_within(sets: np.ndarray, begin: np.ndarray, lo: int, hi: int, left: np.ndarray, right: np.ndarray, linked: Callable) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links between a left and a right one of the sets lo to hi - 1, of which begin tells where each begins and ends."""
+    f = Forest(hi - lo)
+    n = np.diff(begin)
+    near = np.arange(lo, hi)
+    base = begin[lo]
+    names, local = np.unique(sets[base : begin[hi]], return_inverse=True)
+    mark = np.zeros(len(names), bool)
+    for x in range(lo, hi):
+        if not left[x]:
+            continue
+        others = near[right[lo:hi] & (f.label != f.label[x - lo]) & ((near > x) | ~left[lo:hi])]
+        others = others[linked(np.minimum(n[x], n[others]), n[x], n[others])]
+        if not len(others):
+            continue
+        mine = local[begin[x] - base : begin[x + 1] - base]
+        mark[mine] = True
+        each = n[others]
+        first = np.cumsum(each) - each
+        idx = np.repeat(begin[others] - base - first, each) + np.arange(int(each.sum()))
+        shared = np.add.reduceat(mark[local[idx]].astype(np.int64), first)
+        mark[mine] = False
+        for y in others[linked(shared, n[x], each)].tolist():
+            if f.join(x - lo, y - lo):
+                yield x, y
+
+
+def stored_sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of a table's column `set` (8 bytes an element), and where each begins, with the end."""
+    raw = pa.concat_arrays([t.column("set").combine_chunks()])
+    ends = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
+
+
+def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+    """Spanning forests (a, b) of links between sets, 100 * |intersection| >= percent * |union|, over bands of one least hash each.
+
+    classes: node, n (size of its set), keys: the least hashes of the set, one more than bands = n - ceil(percent * n / 100) + 1, or all.
+    sets_of gives (node, set) of a table of nodes. Sets that link share a band's key; if that key's bucket has more than BUCKET_ROWS nodes, they
+    share a second of their keys as well, and buckets go by both. Buckets still larger are searched in blocks.
+    """
+    own = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)")
+    bands = classes.select("node", F.explode(F.slice("keys", 1, own)).alias("key"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    members = scratch.keep(bands.join(shared, "key"))
+    twos = members.where(F.col("k") > BUCKET_ROWS).join(classes.select("node", F.explode("keys").alias("other")), "node").where("key <> other")
+    twos = twos.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
+    twos = scratch.keep(twos)  # read twice
+    hot = scratch.keep(twos.join(twos.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"))
+    both = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node", "k").union(hot.select("key", "node", "k"))
+    sets = scratch.keep(sets_of(both.select("node").distinct()))
+    work = both.where(F.col("k") <= BUCKET_ROWS).join(sets, "node").select("key", "node", "set").repartition("key").sortWithinPartitions("key")
+    linked = lambda shared, nx, ny: 100 * shared >= percent * (nx + ny - shared)
+
+    @lean
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in groups(batches, ["key"], 8192):
+            elements, begin = stored_sets(t)
+            size, n = np.diff(at), np.diff(begin)
+            # buckets of two, all at once: elements of a pair that stand twice
+            two = at[:-1][size == 2]
+            pair = np.repeat(np.arange(len(two)), begin[two + 2] - begin[two])
+            width = begin[two + 2] - begin[two]
+            e = elements[np.repeat(begin[two] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))]
+            order = np.lexsort((e, pair))
+            e, pair = e[order], pair[order]
+            again = np.bincount(pair[1:][(e[1:] == e[:-1]) & (pair[1:] == pair[:-1])], minlength=len(two))
+            ok = two[linked(again, n[two], n[two + 1])]
+            a, b = ok.tolist(), (ok + 1).tolist()
+            every = np.ones(len(n), bool)
+            for lo, hi in zip(at[:-1][size > 2].tolist(), at[1:][size > 2].tolist(), strict=True):
+                for x, y in links_within(elements, begin, lo, hi, every, every, linked):
+                    a.append(x)
+                    b.append(y)
+            node = t.column("node").combine_chunks()
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
+
+    node_type = classes.schema["node"].dataType.simpleString()
+    found = scratch.keep(work.mapInArrow(connect, f"a {node_type}, b {node_type}"))
+    large = hot.where(F.col("k") > BUCKET_ROWS).select(F.col("key").alias("family"), "node").join(sets, "node").join(classes.select("node", "n"), "node")
+    return found.union(exact_links(large, linked, scratch, stored_sets))
+
+
+def text_sets(shingle: int, lower: bool = True) -> Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]:
+    """A reader of the sets of word shingles of a table's column `text`, like stored_sets."""
+
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets, ends = shingle_sets(*word_hashes(t.column("text").combine_chunks(), lower), shingle)
+        return sets, np.concatenate([[0], ends]).astype(np.int64)
+
+    return read
+
+
+def exact_links(members: DataFrame, linked: Callable, scratch: Scratch, sets_of: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """Spanning forests (a, b) of the links within families.
 
-    members: family, node, n (size of its set), text. linked(shared, n, n) tells from the size of the intersection and the sizes of the sets, elementwise.
+    members: family, node, n (size of its set), and what sets_of reads the sets from. linked(shared, n, n) tells from the size of the intersection and the sizes of the sets, elementwise.
     """
     node_type = members.schema["node"].dataType.simpleString()
+    held = "set" if "set" in members.columns else "text"
     members = scratch.keep(members)  # read twice, and so that Spark can split a large family's rows in the join below
     weight = scratch.keep(members.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("words")))
     rows = F.greatest(F.lit(BLOCK_ROWS), F.ceil(F.col("rows") / BLOCKS))
     m = members.join(weight, "family").withColumn("blocks", F.greatest(F.ceil(F.col("rows") / rows), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int"))
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("k1"), F.xxhash64(F.lit(1), "family", F.least("block", "other"), F.greatest("block", "other")).alias("k2"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), "node", "text")
+    m = m.select(F.xxhash64("family", F.least("block", "other"), F.greatest("block", "other")).alias("k1"), F.xxhash64(F.lit(1), "family", F.least("block", "other"), F.greatest("block", "other")).alias("k2"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"), "node", held)
     m = m.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
 
+    @lean
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in groups(batches, ["k1", "k2"], 512):
-            sets, ends = shingle_sets(*word_hashes(t.column("text").combine_chunks(), lower), shingle)
-            begin = np.concatenate([[0], ends]).astype(np.int64)
-            n = np.diff(begin)
+            sets, begin = sets_of(t)
             is_left, is_right = t.column("left").to_numpy(), t.column("right").to_numpy()
             a: list[int] = []
             b: list[int] = []
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                k = hi - lo
-                f = Forest(k)
-                near = np.arange(lo, hi)
-                base = begin[lo]
-                names, local = np.unique(sets[base : begin[hi]], return_inverse=True)
-                mark = np.zeros(len(names), bool)
-                for x in range(lo, hi):
-                    if not is_left[x]:
-                        continue
-                    others = near[is_right[lo:hi] & (f.label != f.label[x - lo]) & ((near > x) | ~is_left[lo:hi])]
-                    others = others[linked(np.minimum(n[x], n[others]), n[x], n[others])]
-                    if not len(others):
-                        continue
-                    mine = local[begin[x] - base : begin[x + 1] - base]
-                    mark[mine] = True
-                    each = n[others]
-                    first = np.cumsum(each) - each
-                    idx = np.repeat(begin[others] - base - first, each) + np.arange(int(each.sum()))
-                    shared = np.add.reduceat(mark[local[idx]].astype(np.int64), first)
-                    mark[mine] = False
-                    for y in others[linked(shared, n[x], each)].tolist():
-                        if f.join(x - lo, y - lo):
-                            a.append(x)
-                            b.append(y)
+                for x, y in links_within(sets, begin, lo, hi, is_left, is_right, linked):
+                    a.append(x)
+                    b.append(y)
             node = t.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near
-from .base import Scratch, pieces
+from .base import Scratch, lean, pieces
 from .setsketch import estimate_reaches, registers, shingle_sets, word_hashes
 
 BANDS, ROWS = 32, 5
@@ -22,6 +22,7 @@ SLACK = 6.0
 def sketches(docs: DataFrame, shingle: int, lower: bool = True, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, cls (128-bit digest of the set, null if empty), sig (registers, a band's side by side)."""
 
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text"):
             sets, ends = shingle_sets(*word_hashes(b.column(1), lower), shingle)
@@ -69,7 +70,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, lower:
     families = scratch.keep(near.components(edges, scratch))
     members = families.select("node", F.col("component").alias("family")).join(classes.select("node", "n", "cls"), "node")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("node"), "text")
-    links = near.exact_links(members.select("family", "node", "n").join(texts, "node"), shingle, linked, scratch, lower)
+    links = near.exact_links(members.select("family", "node", "n").join(texts, "node"), linked, scratch, near.text_sets(shingle, lower))
     comps = scratch.keep(near.components(links, scratch))
     reach = scratch.keep(classes.select("cls", "node").join(comps, "node", "left").select("cls", F.coalesce("component", "node").alias("component")))
     scratch.only(s, reach)

@@ -1,4 +1,4 @@
-"""Near-duplicate paragraphs across documents: MinHash bands, exact Jaccard similarity, connected components."""
+"""Near-duplicate paragraphs across documents: MinHash bands, exact Jaccard similarity, connected components, passages."""
 
 from __future__ import annotations
 
@@ -6,94 +6,202 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import near
-from .base import Scratch, pieces
-from .neardup import NULL_ID, SLACK
-from .setsketch import multipliers, shingle_sets, word_hashes
-
-#: Bands tuned for recall: at a similarity of 0.8 a link shares no band once in 10**5, at 0.9 once in 10**9.
-BANDS, ROWS = 16, 3
-
-
-def min_hashes(sets: np.ndarray, ends: np.ndarray, m: int) -> np.ndarray:
-    """The low 16 bits of each non-empty set's m least hashes."""
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    out = np.empty((m, len(ends)), np.uint16)
-    if not len(ends):
-        return out.T
-    cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, len(sets) + (1 << 15), 1 << 15)), len(ends)))
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        part = sets[begins[lo] : begins[hi] if hi < len(ends) else len(sets)]
-        where = begins[lo:hi] - begins[lo]
-        for i, a in enumerate(multipliers(m)):
-            v = part * a
-            v ^= v >> np.uint64(32)
-            v *= np.uint64(0xD6E8FEB86659FD93)
-            out[i, lo:hi] = np.minimum.reduceat(v, where).astype(np.uint16)
-    return out.T
-
-
-def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 5) -> DataFrame:
-    """Rows of paragraphs that occur again, alike or nearly so: doc_id, paragraph (number of the line from 0), n_words, cluster_doc_id and cluster_paragraph (the cluster's first member, by doc_id and line), cluster_rows, kept (is that first member).
-
-    A paragraph is a line of at least min_words words, one shingle unless told otherwise. Two link if their sets of word shingles, in ASCII lower case, have a Jaccard
-    similarity of percent / 100 or more; clusters are connected components of links. Equal sets are one class before any search.
-    Null, empty and short texts have no paragraphs. A null doc_id sorts first. Repeated rows are members each; those that equal the first member in id and line are all kept.
+from .base import Scratch, lean, pieces
+from .neardup import NULL_ID
+from .setsketch import mix, shingle_sets, word_hashes
+
+#: A paragraph begins where a word pair's hash is the least of REACH pairs on either side; longer ones than MOST words are halved, or cut in three, and so on.
+REACH, MOST = 10, 32
+#: Two linked paragraphs are part of a result if their passage has so many words. Strings about a paragraph are compared at every STRIDE-th place.
+PASSAGE, STRIDE = 50, 3
+
+
+def pair_hashes(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each word with the next one of its text; the largest value for a text's last word."""
+    h = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
+    if len(words) > 1:
+        h[:-1] = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> np.uint64(1)
+        last = ends[ends > 0] - 1
+        h[last] = np.iinfo(np.uint64).max
+    return h
+
+
+def cut_points(words: np.ndarray, ends: np.ndarray, reach: int = REACH, most: int = MOST) -> np.ndarray:
+    """Where paragraphs begin, over all texts one after the other. Whether one begins at a word depends on at most reach + 1 words on either side of it, and on `most`."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.unique(starts[starts < n])
+    h = pair_hashes(words, ends)
+    top = np.iinfo(np.uint64).max
+    # texts lie `reach` places apart, so that no window holds words of two
+    owner = np.searchsorted(starts, np.arange(n), "right") - 1
+    at = np.arange(n) + reach * (owner + 1)
+    laid = np.full(n + reach * (len(starts) + 2), top, np.uint64)
+    laid[at] = h
+    least, done = laid, 1
+    while 2 * done <= reach:
+        least = np.minimum(least[:-done], least[done:])
+        done *= 2
+    if done < reach:
+        least = np.minimum(least[: len(least) - (reach - done)], least[reach - done :])
+    low = (h < least[at - reach]) & (h <= least[at + 1])
+    low[starts] = True
+    begin = np.flatnonzero(low)
+    size = np.diff(np.append(begin, n))
+    parts = -(-size // most)
+    first = np.cumsum(parts) - parts
+    k = np.arange(int(parts.sum())) - np.repeat(first, parts)
+    return np.repeat(begin, parts) + np.repeat(size, parts) * k // np.repeat(parts, parts)
+
+
+def set_digests(sets: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, in two parts: sums of its elements' hashes."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.add.reduceat(mix(sets ^ np.uint64(c)), begin).astype(np.int64) for c in (0x2545F4914F6CDD1D, 0xD1342543DE82EF95))
+
+
+def lists(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.ListArray:
+    """Arrow lists flat[begin : begin + length]."""
+    ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+    at = np.repeat(begin - ends[:-1], length) + np.arange(ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[at].astype(np.int64)))
+
+
+def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 5, passage: int = PASSAGE, reach: int = REACH, most: int = MOST) -> DataFrame:
+    """Rows of paragraphs that occur in another row of docs, alike or nearly so, within a passage of at least `passage` words: doc_id, start (first word, from 0), n_words,
+    cluster_doc_id and cluster_start (the cluster's first member, by doc_id and place), cluster_rows, passage_start, passage_words, kept (is that first member).
+
+    A paragraph is a run of words of the text whose bounds its own content sets (cut_points), so that a passage is cut alike wherever it stands, also within a line or over
+    several. Two link if their sets of word shingles, in ASCII lower case, have a Jaccard similarity of percent / 100 or more; clusters are connected components of links.
+    Paragraphs of fewer than min_words words take no part.
+
+    Equal sets are one class. A class of n shingles has n - ceil(percent * n / 100) + 1 bands: its least hash values, one to a band. Two
+    sets that link share so many shingles that one of these is common to both: no link is missed. Classes that share a band are compared on their full sets.
+
+    Neighbouring paragraphs with partners elsewhere make a passage. The outer parts of one may lie in paragraphs that begin or end outside, so one of fewer than `passage` words stays as well if
+    one of its paragraphs stands in a string of words that another row holds about a paragraph of the cluster: every string of `passage` words counts, and none of fewer than passage - STRIDE + 1.
+    With passage=1, all linked paragraphs are rows.
+
+    Null, empty and short texts have no paragraphs. A null doc_id sorts first. Repeated rows are partners of each other; those that equal the first member in id and place are all kept.
+    A paragraph that recurs in its own row only is no result. Other columns of docs don't matter.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "paragraphs")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    needed = lambda n: n - (percent * n + 99) // 100 + 1
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 4 << 20):
-            lines = pc.split_pattern(pc.fill_null(b.column(2), ""), "\n")
-            bounds = np.asarray(lines.offsets)
-            flat = lines.flatten()
-            words, ends = word_hashes(flat)
-            n = np.diff(np.concatenate([[0], ends]))
+        for b in pieces(batches, "text", 2 << 20):
+            words, ends = word_hashes(b.column(2))
+            begin = cut_points(words, ends, reach, most)
+            n = np.diff(np.append(begin, len(words)))
+            doc = np.searchsorted(ends, begin, "right")
             long = np.flatnonzero(n >= min_words)
-            doc = np.repeat(np.arange(len(b)), np.diff(bounds))
-            para = np.arange(len(flat)) - (bounds[:-1] - bounds[0])[doc]
             inside = np.repeat(n >= min_words, n)
             sets, set_ends = shingle_sets(words[inside], np.cumsum(n[long]), shingle)
-            begin = np.concatenate([[0], set_ends]).astype(np.int64)
-            sig = min_hashes(sets, set_ends, BANDS * ROWS).astype("<u2")
-            cls = [xxhash.xxh3_128_digest(sets[x:y]) for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
-            d = pa.array(doc[long])
+            at = np.concatenate([[0], set_ends]).astype(np.int64)
+            size = np.diff(at)
+            c1, c2 = set_digests(sets, at[:-1])
+            begin, n, doc = begin[long], n[long], doc[long]
+            start = begin - np.concatenate([[0], ends])[doc]
+            keys = lists(sets, at[:-1], np.minimum(size, needed(size) + 1))  # a set's hashes ascend
+            d = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(d), b.column(1).take(d), pa.array(para[long].astype(np.int32)), pa.array(n[long]), pa.array(np.diff(begin)), pa.array(cls, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary())],
-                ["doc_id", "th", "paragraph", "n_words", "n", "cls", "sig"],
+                [b.column(3).take(d), b.column(0).take(d), b.column(1).take(d), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(c1), pa.array(c2), keys],
+                ["row", "doc_id", "th", "start", "n_words", "n", "c1", "c2", "keys"],
             )
 
-    p = scratch.keep(keyed.mapInArrow(cut, "doc_id long, th long, paragraph int, n_words long, n long, cls binary, sig binary"))
-    classes = p.groupBy("cls").agg(F.min(F.struct("doc_id", "paragraph", "th")).alias("first"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    numbered = keyed.withColumn("row", F.monotonically_increasing_id())
+    p = scratch.keep(numbered.mapInArrow(cut, "row long, doc_id long, th long, start int, n_words int, n int, c1 long, c2 long, keys array<long>"))
+    classes = p.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "start", "th", "n_words")).alias("first"), F.count("*").alias("rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))  # written, and so fixed
-
-    def possible(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-        t = percent / 100
-        same = (np.ascontiguousarray(x).view("<u2") == np.ascontiguousarray(y).view("<u2")).mean(1)
-        return (same >= t - SLACK * np.sqrt(t * (1 - t) / (BANDS * ROWS))) & (np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9)
-
-    def linked(shared: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> np.ndarray:
-        return 100 * shared >= percent * (nx + ny - shared)
-
-    edges = near.candidate_edges(classes.select("node", "n", "sig"), BANDS, 2 * ROWS, possible, scratch)
-    families = scratch.keep(near.components(edges, scratch))
-    members = families.select("node", F.col("component").alias("family")).join(classes.select("node", "n", "first"), "node").select("family", "node", "n", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), F.col("first.paragraph").alias("paragraph"))
-    texts = members.join(keyed, ["doc_id", "th"]).select("family", "node", "n", F.get(F.split("text", "\n"), F.col("paragraph")).alias("text"))
-    links = near.exact_links(texts.dropDuplicates(["node"]), shingle, linked, scratch)
+    links = near.set_links(classes.select("node", "n", "keys"), lambda nodes: _sets_of(nodes, classes, keyed, shingle), percent, scratch)
     comps = near.components(links, scratch)
-    c = scratch.keep(classes.drop("sig").join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    clusters = c.groupBy("component").agg(F.min(F.struct("first.doc_id", "first.paragraph")).alias("head"), F.sum("rows").alias("cluster_rows")).where("cluster_rows > 1")
-    of_class = scratch.keep(c.select("cls", "component").join(clusters, "component").select("cls", "head", "cluster_rows"))
-    scratch.only(p, of_class)
-    out = p.select("doc_id", "paragraph", "n_words", "cls").join(of_class, "cls")
+    c = scratch.keep(classes.select("c1", "c2", "node", "rows", "low", "high", F.struct("first.doc_id", "first.start").alias("first")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    clusters = c.groupBy("component").agg(F.min("first").alias("head"), F.sum("rows").alias("cluster_rows"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
+    of_class = c.select("c1", "c2", "component").join(clusters.select("component", "head", "cluster_rows"), "component").select("c1", "c2", "component", "head", "cluster_rows")
+    found = scratch.keep(p.select("row", "doc_id", "th", "start", "n_words", "c1", "c2").join(of_class, ["c1", "c2"]).drop("c1", "c2"))
+    scratch.only(found)
+    # neighbours with partners: passages
+    in_row = Window.partitionBy("row").orderBy("start")
+    runs = found.withColumn("new", F.coalesce((F.col("start") != F.lag(F.col("start") + F.col("n_words")).over(in_row)).cast("int"), F.lit(1)))
+    runs = runs.withColumn("run", F.sum("new").over(in_row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    of_run = Window.partitionBy("row", "run")
+    runs = scratch.keep(runs.drop("new").withColumns({"passage_start": F.min("start").over(of_run), "passage_words": F.sum("n_words").over(of_run).cast("int")}))
+    scratch.only(runs)
+    enough = runs.where(F.col("passage_words") >= passage)
+    short = runs.where(F.col("passage_words") < passage)
+    about = runs.join(short.select("component").distinct(), "component", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("row", "run", "start", "n_words")).alias("parts"))
+    repeated = _covered(about.join(keyed, ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]), passage, scratch)
+    out = scratch.keep(enough.union(short.join(repeated, ["row", "run"], "left_semi").select(*enough.columns)))
+    scratch.only(out)
     real = lambda x: F.when(F.col(x) != NULL_ID, F.col(x))
     return out.select(
-        real("doc_id").alias("doc_id"), "paragraph", "n_words", real("head.doc_id").alias("cluster_doc_id"), F.col("head.paragraph").alias("cluster_paragraph"), "cluster_rows", ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("paragraph") == F.col("head.paragraph"))).alias("kept")
+        real("doc_id").alias("doc_id"), "start", "n_words", real("head.doc_id").alias("cluster_doc_id"), F.col("head.start").alias("cluster_start"), "cluster_rows", "passage_start", "passage_words",
+        ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("kept"),
     )
+
+
+def _sets_of(nodes: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """node, set (its hashes, 8 bytes each, ascending) of nodes, cut from the texts of the classes' first members."""
+    wanted = nodes.join(classes.select("node", "first"), "node").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("node", "first.start", "first.n_words")).alias("parts"))
+
+    @lean
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text", 2 << 20):
+            words, ends = word_hashes(b.column(1))
+            parts = b.column(0)
+            doc = np.repeat(np.arange(len(b)), pa.compute.list_value_length(parts).to_numpy())
+            flat = parts.flatten()
+            node, start, n = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            at = np.concatenate([[0], ends])[doc] + start
+            stop = np.cumsum(n)
+            sets, set_ends = shingle_sets(words[np.repeat(at - (stop - n), n) + np.arange(int(n.sum()))], stop, shingle)
+            offsets = pa.py_buffer((8 * np.concatenate([[0], set_ends])).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.Array.from_buffers(pa.binary(), len(node), [None, offsets, pa.py_buffer(np.ascontiguousarray(sets).tobytes())])], ["node", "set"])
+
+    # rows of equal id and text give the same sets
+    return wanted.join(keyed, ["doc_id", "th"]).select("parts", "text").mapInArrow(cut, "node long, set binary").dropDuplicates(["node"])
+
+
+def _covered(texts: DataFrame, passage: int, scratch: Scratch) -> DataFrame:
+    """(row, run) of passages with a paragraph in a string of words that another row holds at the same place about a paragraph. texts: parts (row, run, start, n_words), text.
+
+    Strings are STRIDE - 1 words shorter than `passage` and begin 0, STRIDE, 2 * STRIDE ... words before a paragraph, so a common string of `passage` words about two equal paragraphs holds two of these.
+    """
+    size = max(1, passage - STRIDE + 1)
+
+    @lean
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = np.uint64(0x9E3779B97F4A7C15)
+        for b in pieces(batches, "text", 2 << 20):
+            words, ends = word_hashes(b.column(1))
+            parts = b.column(0)
+            doc = np.repeat(np.arange(len(b)), pa.compute.list_value_length(parts).to_numpy())
+            flat = parts.flatten()
+            row, run, start, n = (flat.field(k).to_numpy().astype(np.int64) for k in range(4))
+            base = np.concatenate([[0], ends])[doc]
+            low = np.maximum(0, -(-(start + size - (ends[doc] - base)) // STRIDE))  # the string ends in the text
+            high = np.minimum(np.maximum(0, passage - n), start) // STRIDE  # and begins in it
+            count = np.maximum(0, high - low + 1)
+            steps = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+            at = np.repeat(base + start, count) - STRIDE * steps
+            h1, h2 = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            for k in range(size):
+                w = words[at + k]
+                h1, h2 = h1 * power + w, (h2 ^ w) * np.uint64(0xD6E8FEB86659FD93)
+                h2 ^= h2 >> np.uint64(29)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, count)), pa.array(np.repeat(run, count)), pa.array(h1.astype(np.int64)), pa.array(h2.astype(np.int64))], ["row", "run", "h1", "h2"])
+
+    w = scratch.keep(texts.select("parts", "text").mapInArrow(windows, "row long, run long, h1 long, h2 long"))
+    twice = w.groupBy("h1", "h2").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("h1", "h2")
+    return w.join(twice, ["h1", "h2"], "left_semi").select("row", "run").distinct()
