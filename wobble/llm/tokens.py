@@ -15,11 +15,10 @@ executors and any file system; the payload columns are binary:
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,98 +29,128 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import simple8b
-from .base import pieces
+from .base import lean, pieces
 
 FILE_SCHEMA = "shard int, segment int, first long, n_ids long, doc_ids array<long>, doc_lens array<int>, words binary, offsets binary, escapes binary"
 DIGEST_SCHEMA = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class Known:
+    """Strings and the ids of each, as Arrow and numpy arrays; looked up many at a time."""
+
+    def __init__(self) -> None:
+        self.names = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.uint32)
+        self.ends = np.zeros(1, np.int64)
+
+    def find(self, names: pa.Array) -> np.ndarray:
+        """Where each name is, or -1."""
+        return pc.fill_null(pc.index_in(names, self.names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, names: pa.Array, ids: np.ndarray, lens: np.ndarray) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lens)])
+
+    def remember(self, known: int, again: np.ndarray, most: int) -> Known:
+        """All entries, if they are `most` at most; otherwise those after the first `known` that `again` marks, and `most` of them at most."""
+        if len(self.names) <= most:
+            return self
+        keep = known + np.flatnonzero(again)[:most]
+        out = Known()
+        out.names = self.names.take(pa.array(keep))
+        out.ids, lens = self.of(keep)
+        out.ends = np.concatenate([[0], np.cumsum(lens)])
+        return out
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of entries, one after the other, and how many each has."""
+        return gather(self.ids, self.ends[at], self.ends[at + 1] - self.ends[at])
+
+
 class WordIds:
     """Token ids of texts by a BPE tokenizer that lower-cases, drops white space and never lets a pre-token span ASCII white space.
 
-    A text's ids are those of its words in order, and a word's those of its pre-tokens. Each batch's distinct words are cut
-    to pre-tokens; the tokenizer's own model encodes a pre-token once, for all batches of a Python worker. Words with a
-    control string, or with characters beyond Latin, go through the whole tokenizer. At most `most` pre-tokens and words are remembered.
+    A text's ids are those of its words in order, and a word's those of its pre-tokens. A batch's distinct words are looked up among those known; new ones are
+    cut to pre-tokens, and the tokenizer's own model encodes a pre-token that isn't known. Words with a control string, or with characters beyond Latin, go through the
+    whole tokenizer, and so does every word if the tokenizer's pattern isn't the one that PRE spells. A Python worker remembers at most `most` words and as many pre-tokens from one batch to the next;
+    where there are more, those that the last batch held more than once.
     """
 
-    PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"  # fixed values: the tokenizer file's pattern
-
-    PLAIN, STOPPED = "^[A-Z]?[a-zß-öø-ÿ]+$", "^[A-Z]?[a-zß-öø-ÿ]+[.,]$"
+    #: The tokenizer file's pattern of pre-tokens.
+    PRE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    ODD = r"[^\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{12F}\x{131}-\x{24F}]|<\|"
 
-    def __init__(self, tokenizer_json: str, most: int = 800_000):
+    def __init__(self, tokenizer_json: str, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_str(tokenizer_json)
-        if json.loads(tokenizer_json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") != self.PRE:
-            raise ValueError("this tokenizer cuts words in another way")
         self.bare = Tokenizer(self.tok.model)
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         vocab = self.tok.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cut = regex.compile(self.PRE).findall
-        self.odd = regex.compile(r"[^\x21-\x7E\u00A1-\u00AC\u00AE-\u024F]|<\|").search
         self.most = most
-        self.forget()
-
-    def forget(self) -> None:
-        """Known pre-tokens and words: their codes, ids and where each one's ids end."""
-        self.code: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
-        self.word_code: dict[str, int] = {}
-        self.word_ids, self.word_ends = array("I"), array("q", [0])
-
-    def learn(self, new: list[str]) -> None:
-        """Pre-tokens, through the model."""
+        self.words, self.parts = Known(), Known()
+        try:
+            pattern = json.loads(tokenizer_json)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        except (KeyError, IndexError, TypeError):
+            pattern = ""
+        self.odd = self.ODD if pattern.replace("[\\p{L}]", "\\p{L}").replace("[\\p{N}]", "\\p{N}") == self.PRE else "(?s)."
+
+    def model(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens by the model, one after the other, and how many each has."""
+        ids, lens = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for k in range(0, len(new), 256):
             some = new[k : k + 256]
-            ids = np.array(self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
+            got = np.array(self.bare.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[got]) + 1
             if len(ends) != len(some):
                 raise ValueError("pre-tokens and ends of words differ in number")
-            self.add(some, ids, ends)
-
-    def add(self, some: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        self.code.update(zip(some, range(len(self.code), len(self.code) + len(some)), strict=True))
-        base = len(self.ids)
-        self.ids.frombytes(ids.astype(np.uint32).tobytes())
-        self.ends.frombytes((ends + base).astype(np.int64).tobytes())
-
-    def codes(self, distinct: list[str]) -> np.ndarray:
-        """Codes of words, whose ids word_ids holds between word_ends."""
-        if len(self.code) > self.most:
-            self.forget()
-        new = [w for w in distinct if w not in self.word_code]
-        if new:
-            if len(self.word_code) + len(new) > self.most:
-                self.word_code, self.word_ids, self.word_ends = {}, array("I"), array("q", [0])
-                new = distinct
-            cut, odd = self.cut, self.odd
-            names = pa.array(new)
-            plain = pc.match_substring_regex(names, self.PLAIN).to_pylist()  # these are one pre-token
-            stopped = pc.match_substring_regex(names, self.STOPPED).to_pylist()  # these are one and a mark
-            parts = [(w.lower(),) if p else (w[:-1].lower(), w[-1]) if s else ("\0" + w,) if odd(w) else cut(w.lower()) for w, p, s in zip(new, plain, stopped, strict=True)]
-            flat = list(chain.from_iterable(parts))
-            unknown = list({p for p in flat if p not in self.code})
-            self.learn([p for p in unknown if p[0] != "\0"])
-            whole = [p for p in unknown if p[0] == "\0"]
-            for p, e in zip(whole, self.tok.encode_batch_fast([p[1:] for p in whole], add_special_tokens=False), strict=True):
-                self.add([p], np.array(e.ids, np.uint32), np.array([len(e.ids)]))
-            code = np.fromiter(map(self.code.__getitem__, flat), np.int64, len(flat))
-            bound = np.frombuffer(self.ends, np.int64)
-            ids, lens = gather(np.frombuffer(self.ids, np.uint32), bound[code], bound[code + 1] - bound[code])
-            cum = np.concatenate([[0], np.cumsum(lens)])
-            ends = cum[np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))]
-            base = len(self.word_ids)
-            self.word_ids.frombytes(ids.tobytes())
-            self.word_ends.frombytes((ends + base).tobytes())
-            self.word_code.update(zip(new, range(len(self.word_code), len(self.word_code) + len(new)), strict=True))
-        return np.fromiter(map(self.word_code.__getitem__, distinct), np.int64, len(distinct))
+            ids.append(got)
+            lens.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(lens)
+
+    def learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        whole = pc.match_substring_regex(new, self.odd).to_numpy(zero_copy_only=False)
+        ids, lens = np.zeros(0, np.uint32), np.zeros(len(new), np.int64)
+        plain = pc.utf8_lower(new.filter(pa.array(~whole)))
+        if len(plain):
+            # pre-tokens, each with a mark after it that no such word holds; words of letters alone are one
+            one = pc.utf8_is_alpha(plain)
+            cut = pc.replace_substring_regex(plain.filter(pc.invert(one)), f"({self.PRE})", "\\1\x00")
+            marked = pc.replace_with_mask(pc.binary_join_element_wise(plain, "", "\x00"), pc.invert(one), cut)
+            split = pc.split_pattern(marked, "\x00")
+            ends = np.asarray(split.offsets).astype(np.int64)
+            coded = split.flatten().dictionary_encode()
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            real = np.ones(len(which), bool)
+            real[ends[1:] - 1] = False  # what follows a word's last mark: nothing
+            at = self.parts.find(coded.dictionary)
+            unknown = np.zeros(len(at), bool)
+            unknown[np.unique(which[real])] = True
+            unknown &= at < 0
+            fresh = coded.dictionary.filter(pa.array(unknown))
+            at[unknown] = len(self.parts.names) + np.arange(len(fresh))
+            known = len(self.parts.names)
+            self.parts.add(fresh, *self.model(fresh.to_pylist()))
+            ids, each = self.parts.of(at[which[real]])
+            self.parts = self.parts.remember(known, np.bincount(which[real], minlength=len(at))[unknown] > 1, self.most)
+            total = np.concatenate([[0], np.cumsum(each)])
+            lens[~whole] = np.diff(total[np.concatenate([[0], np.cumsum(real)])[ends]])
+        if whole.any():
+            got = self.tok.encode_batch_fast(new.filter(pa.array(whole)).to_pylist(), add_special_tokens=False)
+            lens[whole] = [len(e.ids) for e in got]
+            both = np.zeros(int(lens.sum()), np.uint32)
+            odd = np.repeat(whole, lens)
+            both[~odd], both[odd] = ids, np.concatenate([np.array(e.ids, np.uint32) for e in got])
+            ids = both
+        return ids, lens
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, uint32, and the number of each text's ids. Null counts as empty."""
@@ -130,10 +159,16 @@ class WordIds:
         coded = split.flatten().dictionary_encode()
         if not len(coded):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        code = self.codes(coded.dictionary.to_pylist())
-        bound = np.frombuffer(self.word_ends, np.int64)
-        code = code[coded.indices.to_numpy(zero_copy_only=False)]
-        out, lens = gather(np.frombuffer(self.word_ids, np.uint32), bound[code], bound[code + 1] - bound[code])
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        at = self.words.find(coded.dictionary)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = len(self.words.names) + np.arange(len(new))
+            names = coded.dictionary.take(pa.array(new))
+            self.words.add(names, *self.learn(names))
+        out, lens = self.words.of(at[which])
+        if len(new):
+            self.words = self.words.remember(len(self.words.names) - len(new), np.bincount(which, minlength=len(at))[new] > 1, self.most)
         total = np.concatenate([[0], np.cumsum(lens)])
         return out, np.diff(total[ends - ends[0]])
 
@@ -144,12 +179,12 @@ def gather(flat: np.ndarray, at: np.ndarray, lens: np.ndarray) -> tuple[np.ndarr
     return flat[np.repeat(at - before, lens) + np.arange(int(lens.sum()))], lens
 
 
-_coders: dict[int, WordIds] = {}
+_coders: dict[str, WordIds] = {}
 
 
 def coder_for(tokenizer_json: str) -> WordIds:
     """A worker's coder, with what it has learnt in earlier tasks."""
-    key = hash(tokenizer_json)
+    key = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if key not in _coders:
         _coders.clear()
         _coders[key] = WordIds(tokenizer_json)
@@ -165,6 +200,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_json: str, end_id: i
     spark = docs.sparkSession
     js = spark.sparkContext.broadcast(tokenizer_json)
 
+    @lean
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(js.value)
         shard = TaskContext.get().partitionId()
@@ -208,6 +244,7 @@ def segment_ids(row_words: bytes, row_offsets: bytes, row_escapes: bytes, n: int
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of token files: doc_id, ids array<int>; decoded segment by segment."""
 
+    @lean
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -221,6 +258,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
     """Per document of token files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
 
+    @lean
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
