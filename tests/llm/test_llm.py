@@ -503,3 +503,24 @@ def test_pipeline(spark, docs, tmp_path):
     empty = d.where("1 = 0")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_sets_that_link_agree_in_parts():
+    rng = np.random.default_rng(31)
+    for n in (1, 3, 17, 28, 90):
+        sets = []
+        for _ in range(40):
+            base = set(rng.integers(0, 2**63, n).tolist())
+            sets.append(base)
+            for _ in range(4):  # copies with some elements exchanged, dropped and added
+                gone = int(rng.integers(0, n // 6 + 2))
+                sets.append(set(list(base)[gone:]) | set(rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 2))).tolist()) or base)
+        begin = np.cumsum([0, *map(len, sets)])
+        keys, which = near.agreeing_parts(np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in sets]), begin, 80)
+        own = [set() for _ in sets]
+        for k, w in zip(keys.tolist(), which.tolist(), strict=True):
+            own[w].add(k)
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        assert len(links) >= 20 and all(own[a] & own[b] for a, b in links)
+        alien = [bool(own[a] & own[b]) for a in range(0, len(sets), 5) for b in range(0, a, 5)]
+        assert n not in (17, 28) or np.mean(alien) < 0.05

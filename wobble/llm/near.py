@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import Scratch, lean
-from .setsketch import shingle_sets, word_hashes
+from .setsketch import mix, shingle_sets, word_hashes
 
 #: A bucket of more nodes isn't compared within; all its nodes go to one family, which is searched exactly.
 BUCKET_ROWS = 1024
@@ -158,24 +158,66 @@ def stored_sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
 
 
+def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of sets, and the set of each: sets with 100 * |intersection| >= percent * |union| have one in common.
+
+    Two such sets of at most x elements differ in d = 2 * x * (100 - percent) / (100 + percent) elements at most. If all elements are dealt to d + 2 parts, the two sets have equal elements in
+    two parts at least, so what a set has in each two parts is a key. A set has keys for every x that may be the larger size of a pair. Where d is
+    large, d + 1 parts and a key for each will do.
+    """
+    n = np.diff(begin)
+    owner = np.repeat(np.arange(len(n)), n)
+    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for x in range(int(n[n > 0].min(initial=1)), 100 * int(n.max(initial=0)) // percent + 1):
+        mine = (n <= x) & (100 * n >= percent * x)
+        if not mine.any():
+            continue
+        d = 2 * x * (100 - percent) // (100 + percent)
+        m = d + (2 if d <= 8 else 1)
+        at = np.flatnonzero(mine)
+        place = np.cumsum(mine) - 1
+        inside = mine[owner]
+        h = mix(elements[inside] ^ np.uint64(x))
+        held = np.zeros((len(at), m), np.uint64)
+        np.add.at(held, (place[owner[inside]], (h >> np.uint64(32)).astype(np.int64) % m), h)
+        for i in range(m):
+            for j in range(i + 1, m) if d <= 8 else (i,):
+                keys.append(mix(held[:, i] + mix(held[:, j] + np.uint64((x * 4096 + i) * 4096 + j))))
+                sets.append(at)
+    return np.concatenate(keys), np.concatenate(sets)
+
+
 def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
     """Spanning forests (a, b) of links between sets, 100 * |intersection| >= percent * |union|, over bands of one least hash each.
 
-    classes: node, n (size of its set), keys: the least hashes of the set, one more than bands = n - ceil(percent * n / 100) + 1, or all.
-    sets_of gives (node, set) of a table of nodes. Sets that link share a band's key; if that key's bucket has more than BUCKET_ROWS nodes, they
-    share a second of their keys as well, and buckets go by both. Buckets still larger are searched in blocks.
+    classes: node, n (size of its set), keys (its bands: the n - ceil(percent * n / 100) + 1 least hashes of the set). sets_of gives (node, set) of a table of nodes. Sets that link share a
+    key. Nodes of a key with more than BUCKET_ROWS are in buckets by that key and agreeing_parts instead, which tell near copies with edits apart; what is still larger is searched in blocks.
     """
-    own = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 as int)")
-    bands = classes.select("node", F.explode(F.slice("keys", 1, own)).alias("key"))
+    bands = classes.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = scratch.keep(bands.join(shared, "key"))
-    twos = members.where(F.col("k") > BUCKET_ROWS).join(classes.select("node", F.explode("keys").alias("other")), "node").where("key <> other")
-    twos = twos.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    twos = scratch.keep(twos)  # read twice
-    hot = scratch.keep(twos.join(twos.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"))
-    both = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node", "k").union(hot.select("key", "node", "k"))
-    sets = scratch.keep(sets_of(both.select("node").distinct()))
-    work = both.where(F.col("k") <= BUCKET_ROWS).join(sets, "node").select("key", "node", "set").repartition("key").sortWithinPartitions("key")
+    sets = scratch.keep(sets_of(members.select("node").distinct()))
+
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                t = pa.Table.from_batches([b.slice(at, 2048)])
+                keys, which = agreeing_parts(*stored_sets(t), percent)
+                # with each of the node's hot keys, as parts may be empty
+                hot = t.column("hot").combine_chunks()
+                each = pa.compute.list_value_length(hot).to_numpy().astype(np.int64)
+                n = each[which]
+                other = hot.flatten().to_numpy()[np.repeat((np.cumsum(each) - each)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                keys = mix(np.repeat(keys, n) ^ other.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), t.column("node").combine_chunks().take(pa.array(np.repeat(which, n)))], ["key", "node"])
+
+    node_type = classes.schema["node"].dataType.simpleString()
+    hot_nodes = members.where(F.col("k") > BUCKET_ROWS).groupBy("node").agg(F.collect_list("key").alias("hot"))
+    dealt = scratch.keep(sets.join(hot_nodes, "node").select("node", "set", "hot").mapInArrow(deal, f"key long, node {node_type}"))  # read twice
+    hot = scratch.keep(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"))
+    both = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node").union(hot.where(F.col("k") <= BUCKET_ROWS).select("key", "node"))
+    work = both.join(sets, "node").select("key", "node", "set").repartition("key").sortWithinPartitions("key")
     linked = lambda shared, nx, ny: 100 * shared >= percent * (nx + ny - shared)
 
     @lean
@@ -201,7 +243,6 @@ def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
             node = t.column("node").combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(a, pa.int64())), node.take(pa.array(b, pa.int64()))], ["a", "b"])
 
-    node_type = classes.schema["node"].dataType.simpleString()
     found = scratch.keep(work.mapInArrow(connect, f"a {node_type}, b {node_type}"))
     large = hot.where(F.col("k") > BUCKET_ROWS).select(F.col("key").alias("family"), "node").join(sets, "node").join(classes.select("node", "n"), "node")
     return found.union(exact_links(large, linked, scratch, stored_sets))

@@ -84,7 +84,7 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     Paragraphs of fewer than min_words words take no part.
 
     Equal sets are one class. A class of n shingles has n - ceil(percent * n / 100) + 1 bands: its least hash values, one to a band. Two
-    sets that link share so many shingles that one of these is common to both: no link is missed. Classes that share a band are compared on their full sets.
+    sets that link share so many shingles that one of these is common to both: no link is missed. Classes that share a band are compared on their full sets (near.set_links).
 
     Neighbouring paragraphs with partners elsewhere make a passage. The outer parts of one may lie in paragraphs that begin or end outside, so one of fewer than `passage` words stays as well if
     one of its paragraphs stands in a string of words that another row holds about a paragraph of the cluster: every string of `passage` words counts, and none of fewer than passage - STRIDE + 1.
@@ -113,7 +113,7 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
             c1, c2 = set_digests(sets, at[:-1])
             begin, n, doc = begin[long], n[long], doc[long]
             start = begin - np.concatenate([[0], ends])[doc]
-            keys = lists(sets, at[:-1], np.minimum(size, needed(size) + 1))  # a set's hashes ascend
+            keys = lists(sets, at[:-1], needed(size))  # a set's hashes ascend
             d = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
                 [b.column(3).take(d), b.column(0).take(d), b.column(1).take(d), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(c1), pa.array(c2), keys],
