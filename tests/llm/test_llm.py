@@ -392,9 +392,12 @@ def test_suffix_order():
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-@pytest.mark.parametrize("hot", [substrings.HOT_CONTEXTS, 0])
-def test_repeated_bytes(spark, docs, none, hot, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_CONTEXTS", hot)
+@pytest.mark.parametrize(("hot", "clash"), [(substrings.HOT, False), (((0, 3),), True), (((0, 30),), False), (((0, 301),), False)])
+def test_repeated_bytes(spark, docs, none, hot, clash, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SCAN", 1000)  # texts are scanned in many slices
+    if clash:  # a hash by which different contexts of an anchor look alike
+        monkeypatch.setattr(substrings, "context_hash", lambda view, seed: 7)
     shared = prose(150)
     rows = [(i, t) for i, t, *_ in odd_rows()]
     rows += [(300, prose(60) + shared + prose(50)), (301, prose(10) + shared[:700]), (302, shared[50:520] + "é" + shared[200:650]), (303, "é" * 500), (304, prose(30) + "é" * 260)]
@@ -413,6 +416,17 @@ def test_repeated_bytes(spark, docs, none, hot, monkeypatch):
     assert remove_repeats(none).count() == 0
 
 
+def test_a_passage_in_many_surroundings(spark):
+    """2000 texts share 350 bytes, and 30 of them 50 more on either side."""
+    rng = np.random.default_rng(41)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    some = lambda n: rng.choice(letters, n).tobytes().decode()
+    core, left, right = some(350), some(50), some(50)
+    rows = [(i, some(200) + (left + core + right if i < 30 else core) + some(200)) for i in range(2000)]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {i: (450, 1) if i < 30 else (0, 0) for i in range(2000)}
+
+
 def test_contamination(spark, docs, none):
     items = [(1, prose(20)), (2, "one TWO"), (3, None), (4, "!!"), (5, prose(13)), (6, "xyz"), (7, prose(30))]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -30,19 +31,35 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Name a folder that the driver and all executors share in spark.checkpoint.dir.")
         found = "file://" + tempfile.mkdtemp(prefix="wobble-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default, so that a batch of texts takes some 10 MB; a session that names a number of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "4000")
+
+
 class Scratch:
-    """Tables written to the shared folder. They cut lineage and outlive executors. free() and only() delete tables that nothing reads any more; what a result still reads stays."""
+    """Tables written to the shared folder. They cut lineage and outlive executors. free() and only() delete tables that nothing reads any more; what a result still reads stays.
+
+    Spark deletes the files of a finished shuffle once the driver's garbage collector has found that nothing refers to it, so keep() asks for a collection, every SWEEP seconds at most.
+    """
+
+    SWEEP = 2.0
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
         self.tables: dict[str, DataFrame] = {}
+        self.swept = time.monotonic()
 
     def keep(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
@@ -50,6 +67,9 @@ class Scratch:
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         self.tables[path] = self.spark.read.schema(df.schema).parquet(path)
+        if time.monotonic() - self.swept > self.SWEEP:
+            self.spark.sparkContext._jvm.System.gc()
+            self.swept = time.monotonic()
         return self.tables[path]
 
     def free(self, *frames: DataFrame) -> None:

@@ -2,8 +2,8 @@
 
 Every window of `length` bytes has an anchor: the least of its `gram`-byte strings by hash, the leftmost of equal ones.
 Equal windows have equal anchors at equal places, so a bucket of suffixes per anchor string holds all windows that can be
-equal. A bucket of one occurrence has no repeats. In others, the windows that one anchor is the anchor of make a context; contexts that
-occur twice are repeated throughout, and those that remain are sorted, bucket by bucket, as suffixes of a small block.
+equal. A bucket of one occurrence has no repeats. In others, the windows that one anchor is the anchor of make a context, and contexts of equal bytes
+a class. A class of two or more is repeated throughout; where a bucket has a class of one, one context of each class is sorted, bucket by bucket, as suffixes of a small block.
 """
 
 from __future__ import annotations
@@ -19,15 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Scratch, pieces
+from .base import Scratch, lean, pieces
 from .near import groups
 from .neardup import NULL_ID
 from .setsketch import mix
 from .suffixes import Block, repeated
 
 LENGTH, GRAM = 400, 100
-#: A bucket of more contexts is cut by what its windows share besides the anchor: so many slices of the places a window can begin at.
-HOT_CONTEXTS, SLICES = 128, 3
+#: A bucket of more classes than the first number is cut by what its windows share besides the anchor, into so many slices of the places a window can begin at.
+#: Windows of the last kind of slice begin at one place and share all bytes.
+HOT = ((128, 3), (1024, 30), (16384, LENGTH - GRAM + 1))
+#: Bytes of text that a scan looks at together.
+SCAN = 1 << 20
 
 
 @lru_cache(2)
@@ -69,6 +72,26 @@ def anchors(text: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int =
     return p[lo], h[p[lo]].astype(np.int64), s[lo], s[hi]
 
 
+def context_hash(view: memoryview, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(view, seed=seed)
+
+
+def sliced_anchors(text: np.ndarray, begin: np.ndarray, end: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """anchors(), SCAN bytes of window starts at a time: memory doesn't follow the longest text."""
+    if len(text) <= 2 * SCAN:
+        return anchors(text, begin, end, length, gram)
+    found = []
+    for at in range(0, len(text), SCAN):
+        stop = min(len(text), at + SCAN + length - 1)
+        some = (begin < stop) & (end > at)
+        p, h, lo, hi = anchors(text[at:stop], np.maximum(begin[some], at) - at, np.minimum(end[some], stop) - at, length, gram)
+        found.append((p + at, h, lo + at, hi + at))
+    p, h, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (lo[1:] != hi[:-1] + 1)
+    return p[new], h[new], lo[new], hi[np.append(np.flatnonzero(new)[1:], len(p)) - 1] if len(p) else hi
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array<struct<start,end>> of bytes removed).
 
@@ -80,24 +103,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("dk"), text.alias("text"))
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "text", 1 << 20):
+        for b in pieces(batches, "text", SCAN):
             col = b.column(2).cast(pa.binary())
             flat = pa.concat_arrays([col])
             ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
             raw = flat.buffers()[2]
             buf = np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]] if raw else np.zeros(0, np.uint8)
             ends = ends - ends[0]
-            p, g, lo, hi = anchors(buf, ends[:-1], ends[1:], length, gram)
+            p, g, lo, hi = sliced_anchors(buf, ends[:-1], ends[1:], length, gram)
             doc = np.searchsorted(ends[1:], p, "right")
             view = memoryview(np.ascontiguousarray(buf))
-            c = np.fromiter((xxhash.xxh3_64_intdigest(view[x : y + length], seed=z) for x, y, z in zip(lo.tolist(), hi.tolist(), (p - lo).tolist(), strict=True)), np.uint64, len(p)).astype(np.int64)
+            c = np.fromiter((context_hash(view[x : y + length], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (p - lo).tolist(), strict=True)), np.uint64, len(p)).astype(np.int64)
             base = ends[:-1][doc]
             p, lo, hi = p - base, lo - base, hi - base
             # a context that one text holds several times is repeated wherever it stands; the text tells of it once
             order = np.lexsort((c, g, doc))
             new = np.ones(len(order), bool)
             new[1:] = (doc[order][1:] != doc[order][:-1]) | (g[order][1:] != g[order][:-1]) | (c[order][1:] != c[order][:-1])
+            for k in np.flatnonzero(~new).tolist():
+                x, y = order[k - 1], order[k]
+                new[k] = p[x] - lo[x] != p[y] - lo[y] or bytes(view[base[x] + lo[x] : base[x] + hi[x] + length]) != bytes(view[base[y] + lo[y] : base[y] + hi[y] + length])
             times = np.diff(np.append(np.flatnonzero(new), len(order)))
             own = np.sort(order[np.repeat(times > 1, times)])
             joins = np.zeros(len(own), bool)
@@ -121,51 +148,84 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     each = one.select("id", "copies", F.explode(F.arrays_zip("p", "g", "c", "lo", "hi", "times")).alias("a")).select("id", (F.col("copies") * F.col("a.times")).alias("copies"), "a.p", "a.g", "a.c", "a.lo", "a.hi")
     shared = each.groupBy("g").agg(F.sum("copies").alias("k")).where("k > 1").select("g")
     again = scratch.keep(each.join(shared, "g"))
-    contexts = scratch.keep(again.groupBy("g", "c").agg(F.sum("copies").alias("k"), F.min(F.struct("id", "p", "lo", "hi")).alias("r")))
     # documents with a shared anchor, and their texts once
     inside = one.where(F.size("sure_lo") > 0).select("id", F.explode(F.arrays_zip("sure_lo", "sure_hi")).alias("z")).select("id", F.col("z.sure_lo").alias("lo"), F.col("z.sure_hi").alias("hi"))
     where = again.select("id").distinct().join(one.select("id", "dk", "doc_id"), "id")
     work = scratch.keep(where.join(rows, ["dk", "doc_id"]).select("id", "dk", "text"))
-    # buckets in which some context occurs once
-    open_buckets = contexts.groupBy("g").agg(F.count("*").alias("contexts"), F.min("k").alias("least")).where("least = 1")
-    to_sort = contexts.join(open_buckets, "g").select(F.col("r.id").alias("id"), F.struct("g", "c", F.col("r.p").alias("p"), F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), (F.col("k") == 1).alias("single"), (F.col("contexts") > HOT_CONTEXTS).alias("hot")).alias("a"))
-    to_sort = to_sort.groupBy("id").agg(F.collect_list("a").alias("a")).join(work.select("id", "text").dropDuplicates(["id"]), "id")
-    width = -(-(length - gram + 1) // SLICES)
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Contexts' bytes. Slices of a hot bucket go by the bytes that all windows of the slice share."""
+        """The bytes of contexts."""
+        for b in pieces(batches, "text", 1 << 20):
+            for k in range(len(b)):
+                raw = np.frombuffer(b.column(2)[k].as_buffer(), np.uint8)
+                items = b.column(1)[k].values
+                for at in range(0, len(items), 4096):
+                    some = items.slice(at, 4096).flatten()  # g, c, p, lo, hi, copies
+                    lo, hi = some[3].to_numpy().astype(np.int64), some[4].to_numpy().astype(np.int64)
+                    size = hi + length - lo
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    flat = raw[np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])]
+                    held = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                    before = pa.array(some[2].to_numpy() - some[3].to_numpy(), pa.int32())
+                    yield pa.RecordBatch.from_arrays([some[0], some[1], before, pa.array(np.full(len(lo), b.column(0)[k].as_py())), some[3], some[4], some[5], held], ["g", "c", "before", "id", "lo", "hi", "copies", "bytes"])
+
+    one_text = work.select("id", F.col("text").cast("binary").alias("text")).dropDuplicates(["id"])
+
+    def with_bytes(rows: DataFrame) -> DataFrame:
+        parts = rows.groupBy("id").agg(F.collect_list(F.struct("g", "c", "p", "lo", "hi", "copies")).alias("a")).join(one_text, "id").select("id", "a", "text")
+        return parts.mapInArrow(cut, "g long, c long, before int, id long, lo int, hi int, copies long, bytes binary")
+
+    # classes; where one has a single context, id, lo and hi are that one's
+    classes = with_bytes(again).groupBy("g", "c", "before", "bytes").agg(F.sum("copies").alias("k"), F.min("id").alias("id"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    classes = scratch.keep(classes)
+    # (g, c) of two classes, by chance: their contexts are told apart by bytes once more
+    clash = classes.groupBy("g", "c").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g", "c")
+    more = classes.where("k > 1")
+    twice = again.join(more.join(clash, ["g", "c"], "left_anti").select("g", "c"), ["g", "c"]).select("id", "lo", "hi")
+    twice = twice.union(with_bytes(again.join(clash, ["g", "c"])).join(more.select("g", "c", "before", "bytes"), ["g", "c", "before", "bytes"]).select("id", "lo", "hi"))
+    # buckets in which some context occurs once
+    open_buckets = classes.groupBy("g").agg(F.count("*").alias("classes"), F.min("k").alias("least")).where("least = 1 and classes > 1")
+    slices = F.lit(0)
+    for most, number in HOT:
+        slices = F.when(F.col("classes") > most, min(number, length - gram + 1)).otherwise(slices)
+    to_sort = classes.join(open_buckets, "g").select("g", "id", (F.col("k") == 1).alias("single"), "before", "lo", "hi", "bytes", slices.alias("slices"))
+    kinds = "k1 long, k2 long, id long, single boolean, before int, start int, last int, bytes binary"
+    whole = to_sort.where("slices = 0").select(F.col("g").alias("k1"), F.lit(0).cast("long").alias("k2"), "id", "single", "before", F.col("lo").alias("start"), F.col("hi").alias("last"), "bytes")
+
+    @lean
+    def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Slices of contexts of hot buckets, by the bytes that all windows of the slice share."""
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         names = ["k1", "k2", "id", "single", "before", "start", "last", "bytes"]
-        for b in pieces(batches, "text", 2 << 20):
-            out: list[list] = [[] for _ in names]
-            for doc, items, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
-                raw = t.as_buffer()
-                view = memoryview(raw)
-                for a in items:
-                    p, lo, hi = a["p"], a["lo"], a["hi"]
-                    parts = [(a["g"], 0, lo, hi)]
-                    if a["hot"]:
-                        # windows begin p - d bytes before the anchor; slices of d
-                        parts = []
-                        for k in range((p - hi) // width, (p - lo) // width + 1):
-                            x, y = max(lo, p - (k + 1) * width + 1), min(hi, p - k * width)
-                            key = xxhash.xxh3_128_intdigest(view[p - k * width : p - (k + 1) * width + 1 + length], seed=k)
-                            parts.append(((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), x, y))
-                    for k1, k2, x, y in parts:
-                        for column, v in zip(out, (k1, k2, doc, a["single"], p - x, x, y, view[x : y + length].tobytes()), strict=True):
-                            column.append(v)
-                if len(out[0]) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
-                    out = [[] for _ in names]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
-
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-    pieces_of = to_sort.select("id", "a", "text").mapInArrow(cut, "k1 long, k2 long, id long, single boolean, before int, start int, last int, bytes binary")
-    pieces_of = pieces_of.repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+        out: list[list] = [[] for _ in names]
+        for b in pieces(batches, "bytes", 1 << 20):
+            for r in b.to_pylist():
+                # windows begin before - x bytes before the anchor; slices of that
+                view, p, last = memoryview(r["bytes"]), r["before"], r["hi"] - r["lo"]
+                width = -(-(length - gram + 1) // r["slices"])
+                for k in range((p - last) // width, p // width + 1):
+                    x, y = max(0, p - (k + 1) * width + 1), min(last, p - k * width)
+                    key = xxhash.xxh3_128_intdigest(view[max(0, p - k * width) : p - (k + 1) * width + 1 + length], seed=k)
+                    for column, v in zip(out, ((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), r["id"], r["single"], p - x, r["lo"] + x, r["lo"] + y, view[x : y + length].tobytes()), strict=True):
+                        column.append(v)
+                    if len(out[0]) >= 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
+                        out = [[] for _ in names]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
+
+    sliced = scratch.keep(to_sort.where("slices > 0").select("id", "single", "before", "lo", "hi", "bytes", "slices").mapInArrow(slice_up, kinds))
+    # slices of one window need no sorting
+    lone = sliced.where("start = last")
+    common = lone.groupBy("k1", "k2", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", "bytes")
+    lone_runs = lone.where("single").join(common, ["k1", "k2", "bytes"]).select("id", F.col("start").alias("lo"), F.col("last").alias("hi"))
+    pieces_of = whole.union(sliced.where("start < last")).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
 
+    @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Runs of repeated windows of contexts that occur once."""
-        for t, at in groups(batches, ["k1", "k2"], 2048):
+        for t, at in groups(batches, ["k1", "k2"], 1024):
             size = np.diff(at)
             bucket_of = np.repeat(np.arange(len(size)), size)
             rows_in = np.flatnonzero(size[bucket_of] > 1)
@@ -206,9 +266,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((start[owner[a]] + off[a]).astype(np.int32)), pa.array((start[owner[z]] + off[z]).astype(np.int32))], ["id", "lo", "hi"])
 
     sorted_runs = pieces_of.mapInArrow(sort, "id long, lo int, hi int")
-    twice = again.join(contexts.where("k > 1").select("g", "c"), ["g", "c"]).select("id", "lo", "hi")
-    runs = sorted_runs.union(twice).union(inside).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
+    runs = sorted_runs.union(lone_runs).union(twice).union(inside).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
+    @lean
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
             out = []

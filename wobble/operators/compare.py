@@ -50,6 +50,9 @@ def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: l
     ids = e.select("b").distinct()
     lo, hi = ids.select(F.col("b").alias("p")), ids.select(F.col("b").alias("q"))
     tasks = lo.join(hi, F.col("p") <= F.col("q"))  # of blocks, not of replicates
+    if only_with is not None:
+        fresh = sorted({i // block for i in only_with})
+        tasks = tasks.where(F.col("p").isin(fresh) | F.col("q").isin(fresh))  # pairs of old blocks aren't shipped
     shipped = e.join(tasks, (e.b == F.col("p")) | (e.b == F.col("q"))).select("p", "q", "replicate_id", "sample_ids", "coords")
     new = None if only_with is None else set(only_with)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wobble.errors import ConfigError, WobbleError
 from wobble.operators import compare, embed, genotype, resample
+from wobble.ship import ship
 from wobble.streaming.convergence import run_batches
 from wobble.types import EmbeddingAlgorithm
 
@@ -18,6 +19,7 @@ class MatrixDataset:
     """matrix: samples x features, a numpy array or a packed DataFrame (snp_idx from 0, g). missing: the value that stands for a missing one, besides NaN."""
 
     def __init__(self, spark: SparkSession, matrix: np.ndarray | DataFrame, sample_ids: Sequence[str], populations: Sequence[str], missing: float | None = None):
+        ship(spark)
         if len(sample_ids) != len(populations):
             raise ConfigError("Provide a population for each sample.")
         if isinstance(matrix, np.ndarray):
@@ -54,10 +56,10 @@ class MatrixDataset:
         return out
 
     def bootstrap(self, keep: Callable[[DataFrame], DataFrame], n: int = 100, algorithm: EmbeddingAlgorithm = EmbeddingAlgorithm.PCA, k: int = 10, seed: int = 42, metric: str | Callable = "euclidean", imputation: str | None = "mean", check: bool = True, tolerance: float = 0.05, batch: int = 10, by_population: bool | None = None) -> "ReplicateComparison":
-        """Embeddings of up to n bootstrap replicates, compared; stops early once converged. keep writes a table and reads it again."""
+        """Embeddings of up to n bootstrap replicates, compared; stops early once converged. keep writes a table and reads it again; it may be given replicates again in another call."""
         seeds = resample.replicate_seeds(seed, n)
         build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_features, {i: seeds[i] for i in ids}), algorithm, k, metric, imputation, by_population)
-        return ReplicateComparison(*run_batches(n, max(10, batch), build, lambda e, ids: compare.compare_pairs(e, only_with=ids), keep, check, tolerance, seed))
+        return ReplicateComparison(*run_batches(n, max(10, batch), build, lambda e, ids: compare.compare_pairs(e, only_with=ids), lambda df, name: keep(df), check, tolerance, seed))
 
     def windows(self, n: int = 100, algorithm: EmbeddingAlgorithm = EmbeddingAlgorithm.PCA, k: int = 10, metric: str | Callable = "euclidean", imputation: str | None = "mean", by_population: bool | None = None) -> "ReplicateComparison":
         e = self._embed(resample.window_weights(self.spark, self.n_features, n), algorithm, k, metric, imputation, by_population)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
-from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +16,7 @@ from wobble.config import RunConfig
 from wobble.errors import ConfigError
 from wobble.functions import linalg
 from wobble.operators import compare, embed, genotype, resample
+from wobble.ship import ship
 from wobble.sources import genotypes as G
 from wobble.streaming.convergence import run_batches
 from wobble.types import AnalysisMode, EmbeddingAlgorithm, FileFormat
@@ -31,6 +31,7 @@ class StabilityRun:
 
     def __init__(self, spark: SparkSession, config: RunConfig):
         config.check_settings()
+        ship(spark)
         self.spark, self.config, self.began = spark, config, time.time()
         c = config
         prefix = c.dataset_prefix
@@ -46,21 +47,42 @@ class StabilityRun:
         if self.data.packed.where(F.size("g") != n).limit(1).count():
             raise ConfigError("The genotype file's lines don't have a call for each sample.")
         self.populations = G.read_populations(spark, c.embedding_populations)
-        samples = self.data.samples
         if c.embedding_algorithm is EmbeddingAlgorithm.MDS:
-            keep = genotype.drop_ignored(samples)
-            if keep.count() != n:
-                raise ConfigError("Samples of the population Ignore must be taken out of the files before an MDS run.")
+            self.data = self._without_ignored(n)
+        samples = self.data.samples
         self.info = [(r.sample_id, r.population) for r in samples.orderBy("sample_idx").collect()]
-        embed.check_components(c.n_components, self.n_snps)
         self.fit = None
         if self.populations is not None and c.embedding_algorithm is EmbeddingAlgorithm.PCA:
             listed = {r.population for r in self.populations.collect()}  # names of a list file
             self.fit = [i for i, (_, p) in enumerate(self.info) if p in listed]
             if len(self.fit) < 2:
                 raise ConfigError("Fewer than two samples belong to the embedding populations.")
-        self.k = min(c.n_components, n if self.fit is None else len(self.fit))
-        self.fingerprint = hashlib.sha256(repr(sorted((k, v) for k, v in c.as_mapping().items() if k not in ("redo", "threads", "verbosity", "plot_results", "plot_dim_x", "plot_dim_y", "result_decimals", "support_value_rogue_cutoff", "keep_replicates"))).encode()).hexdigest()[:16]
+        self.n_populations = len({p for _, p in self.info})
+        embedded = self.n_populations if c.embedding_algorithm is EmbeddingAlgorithm.MDS else len(self.info) if self.fit is None else len(self.fit)
+        embed.check_components(c.n_components, self.n_snps, embedded)
+        self.k = c.n_components
+        inputs = self._stamps(*G.filenames(prefix, FileFormat.EIGENSTRAT), *([c.embedding_populations] if c.embedding_populations else []))
+        self.fingerprint = hashlib.sha256(repr(inputs + sorted((k, v) for k, v in c.as_mapping().items() if k not in ("redo", "threads", "verbosity", "plot_results", "plot_dim_x", "plot_dim_y", "result_decimals", "support_value_rogue_cutoff", "keep_replicates"))).encode()).hexdigest()[:16]
+
+    def _without_ignored(self, n: int) -> G.Genotypes:
+        """The data without samples of the population Ignore, numbered anew."""
+        kept = [r.sample_idx for r in genotype.drop_ignored(self.data.samples).select("sample_idx").orderBy("sample_idx").collect()]
+        if len(kept) == n:
+            return self.data
+        place = F.create_map(*[F.lit(x) for i, s in enumerate(kept) for x in (s, i)])
+        g = F.transform(F.array(*[F.lit(i) for i in kept]), lambda i: F.get("g", i))
+        samples = self.data.samples.where(F.col("sample_idx").isin(kept)).withColumn("sample_idx", F.element_at(place, F.col("sample_idx")).cast("int"))
+        return G.Genotypes(self.data.packed.withColumn("g", g), samples, self.data.snps)
+
+    def _stamps(self, *paths: str) -> list[tuple]:
+        """Sizes and times of files, or of the files in a folder: tables of other inputs aren't reused."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        out = []
+        for p in paths:
+            at = hadoop.Path(p)
+            found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+            out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found]
+        return sorted(out)
 
     def tables(self, name: str) -> str:
         return self.config.path(f"tables/{name}")
@@ -83,7 +105,7 @@ class StabilityRun:
         for r in [x.replicate_id for x in weights.select("replicate_id").distinct().collect()]:  # a matrix of populations squared for each
             w = weights.where(F.col("replicate_id") == r)
             drawn = self.data.packed.join(w, "snp_idx").select("snp_idx", "g", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).select((F.col("snp_idx") * self.n_snps + F.col("copy")).alias("snp_idx"), "g")
-            one = embed.mds(drawn, self.data.samples, min(self.k, len({p for _, p in self.info})), replicate=r)
+            one = embed.mds(drawn, self.data.samples, self.k, replicate=r)
             out = one if out is None else out.unionByName(one)
         return out
 
@@ -91,18 +113,11 @@ class StabilityRun:
         one = self.spark.range(self.n_snps).select(F.lit(0).cast("int").alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
         self.embedding = self.keep(self._embed(one), "embedding")
         row = self.embedding.first()
-        self.n_populations = len({p for _, p in self.info})
         self.kmeans_k = self.config.kmeans_k or linalg.best_k(np.array(row.coords), self.n_populations)
         return self.embedding
 
     def replicates(self) -> tuple[DataFrame, DataFrame]:
         c = self.config
-        tables: Counter[str] = Counter()
-
-        def keep(df: DataFrame) -> DataFrame:
-            tables["n"] += 1
-            return self.keep(df, f"batch_{tables['n']}")
-
         if c.analysis_mode is AnalysisMode.BOOTSTRAP:
             seeds = dict(enumerate(resample.replicate_seeds(c.seed, c.n_replicates)))
             build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_snps, {i: seeds[i] for i in ids}))
@@ -111,9 +126,9 @@ class StabilityRun:
             windows = resample.window_weights(self.spark, self.n_snps, c.n_replicates)
             build = lambda ids: self._embed(windows)
             batch, check = c.n_replicates, False
-        e, p = run_batches(c.n_replicates, batch, build, lambda e, ids: compare.compare_pairs(e, self.kmeans_k, ids), keep, check, c.bootstrap_convergence_tolerance, c.seed)
+        e, p = run_batches(c.n_replicates, batch, build, lambda e, ids: compare.compare_pairs(e, self.kmeans_k, ids), self.keep, check, c.bootstrap_convergence_tolerance, c.seed)
         self.embeddings, self.pairs = e, p
-        self.support = self.keep(compare.support_values(p, e), "support")
+        self.support = self.keep(compare.support_values(p, e), f"support_{e.count()}")
         return e, p
 
     def run(self) -> dict[str, float]:
