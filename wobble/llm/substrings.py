@@ -196,8 +196,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     @lean
     def slice_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Slices of contexts of hot buckets, by the bytes that all windows of the slice share."""
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        names = ["k1", "k2", "id", "single", "before", "start", "last", "bytes"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
+        names = ["k1", "k2", "id", "single", "before", "start", "last", "bytes", "alone"]
         out: list[list] = [[] for _ in names]
         for b in pieces(batches, "bytes", 1 << 20):
             for r in b.to_pylist():
@@ -207,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 for k in range((p - last) // width, p // width + 1):
                     x, y = max(0, p - (k + 1) * width + 1), min(last, p - k * width)
                     key = xxhash.xxh3_128_intdigest(view[max(0, p - k * width) : p - (k + 1) * width + 1 + length], seed=k)
-                    for column, v in zip(out, ((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), r["id"], r["single"], p - x, r["lo"] + x, r["lo"] + y, view[x : y + length].tobytes()), strict=True):
+                    for column, v in zip(out, ((key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), r["id"], r["single"], p - x, r["lo"] + x, r["lo"] + y, view[x : y + length].tobytes(), width == 1), strict=True):
                         column.append(v)
                     if len(out[0]) >= 4000:
                         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
@@ -215,12 +215,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names)
 
-    sliced = scratch.keep(to_sort.where("slices > 0").select("id", "single", "before", "lo", "hi", "bytes", "slices").mapInArrow(slice_up, kinds))
-    # slices of one window need no sorting
-    lone = sliced.where("start = last")
+    sliced = scratch.keep(to_sort.where("slices > 0").select("id", "single", "before", "lo", "hi", "bytes", "slices").mapInArrow(slice_up, kinds + ", alone boolean"))
+    # where every slice has room for one window only, nothing is left to sort
+    lone = sliced.where("alone")
     common = lone.groupBy("k1", "k2", "bytes").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2", "bytes")
     lone_runs = lone.where("single").join(common, ["k1", "k2", "bytes"]).select("id", F.col("start").alias("lo"), F.col("last").alias("hi"))
-    pieces_of = whole.union(sliced.where("start < last")).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+    pieces_of = whole.union(sliced.where("not alone").drop("alone")).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
 
     @lean
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
