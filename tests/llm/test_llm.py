@@ -424,7 +424,16 @@ def test_a_passage_in_many_surroundings(spark):
     core, left, right = some(350), some(50), some(50)
     rows = [(i, some(200) + (left + core + right if i < 30 else core) + some(200)) for i in range(2000)]
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    assert got == {i: (450, 1) if i < 30 else (0, 0) for i in range(2000)}
+    # bytes next to the 450 agree by chance in some rows, so windows are counted
+    seen = Counter(hash(t[p : p + 400]) for _, t in rows for p in range(len(t) - 399))
+    want = {}
+    for i, t in rows:
+        hit = np.zeros(len(t) + 2, np.int8)
+        for p in range(len(t) - 399):
+            if seen[hash(t[p : p + 400])] > 1:
+                hit[p + 1 : p + 401] = 1
+        want[i] = int(hit.sum()), int((np.diff(hit) == 1).sum())
+    assert got == want and all(want[i][0] >= 450 for i in range(30)) and sum(n > 0 for n, _ in want.values()) < 60
 
 
 def test_contamination(spark, docs, none):
