@@ -191,13 +191,35 @@ def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
     """Spanning forests (a, b) of links between sets, 100 * |intersection| >= percent * |union|, over bands of one least hash each.
 
     classes: node, n (size of its set), keys (its bands: the n - ceil(percent * n / 100) + 1 least hashes of the set). sets_of gives (node, set) of a table of nodes. Sets that link share a
-    key. Nodes of a key with more than BUCKET_ROWS are in buckets by that key and agreeing_parts instead, which tell near copies with edits apart; what is still larger is searched in blocks.
+    key. Nodes of a hot key, one with more than BUCKET_ROWS, are in buckets by that key and another one: two sets that link share two hashes at least if they differ, and the least two they share
+    are among the n - ceil(percent * n / 100) + 2 least of either. Nodes of a hot pair are in buckets by agreeing_parts, which tell near copies with edits apart; what is still larger is searched in blocks.
     """
     bands = classes.select("node", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     members = scratch.keep(bands.join(shared, "key"))
     sets = scratch.keep(sets_of(members.select("node").distinct()))
 
+    @lean
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each hot key of a node with the hashes that may follow it among those shared."""
+        for b in batches:
+            for at in range(0, len(b), 2048):
+                t = pa.Table.from_batches([b.slice(at, 2048)])
+                elements, begin = stored_sets(t)
+                hot = t.column("hot").combine_chunks()
+                each = pa.compute.list_value_length(hot).to_numpy().astype(np.int64)
+                which = np.repeat(np.arange(len(each)), each)
+                first = hot.flatten().to_numpy().astype(np.uint64)
+                n = np.diff(begin)
+                least = np.minimum(n, n - (percent * n + 99) // 100 + 2)[which]
+                e = elements[np.repeat(begin[which] - (np.cumsum(least) - least), least) + np.arange(int(least.sum()))]
+                of = np.repeat(np.arange(len(which)), least)
+                # at a percentage of 50 or less, sets of one common hash can link
+                later = e > first[of] if percent > 50 else e >= first[of]
+                e, of = e[later], of[later]
+                keys = mix(mix(first[of]) + e)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(first[of].astype(np.int64)), t.column("node").combine_chunks().take(pa.array(which[of]))], ["key", "hot", "node"])
+
     @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -214,9 +236,12 @@ def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
 
     node_type = classes.schema["node"].dataType.simpleString()
     hot_nodes = members.where(F.col("k") > BUCKET_ROWS).groupBy("node").agg(F.collect_list("key").alias("hot"))
+    pairs = scratch.keep(sets.join(hot_nodes, "node").select("node", "set", "hot").mapInArrow(pair, f"key long, hot long, node {node_type}"))  # read twice
+    pairs = scratch.keep(pairs.join(pairs.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"))
+    hot_nodes = pairs.where(F.col("k") > BUCKET_ROWS).groupBy("node").agg(F.collect_set("hot").alias("hot"))
     dealt = scratch.keep(sets.join(hot_nodes, "node").select("node", "set", "hot").mapInArrow(deal, f"key long, node {node_type}"))  # read twice
     hot = scratch.keep(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key"))
-    both = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node").union(hot.where(F.col("k") <= BUCKET_ROWS).select("key", "node"))
+    both = members.where(F.col("k") <= BUCKET_ROWS).select("key", "node").union(pairs.where(F.col("k") <= BUCKET_ROWS).select("key", "node")).union(hot.where(F.col("k") <= BUCKET_ROWS).select("key", "node"))
     work = both.join(sets, "node").select("key", "node", "set").repartition("key").sortWithinPartitions("key")
     linked = lambda shared, nx, ny: 100 * shared >= percent * (nx + ny - shared)
 
@@ -227,12 +252,12 @@ def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
             size, n = np.diff(at), np.diff(begin)
             # buckets of two, all at once: elements of a pair that stand twice
             two = at[:-1][size == 2]
-            pair = np.repeat(np.arange(len(two)), begin[two + 2] - begin[two])
+            owner = np.repeat(np.arange(len(two)), begin[two + 2] - begin[two])
             width = begin[two + 2] - begin[two]
             e = elements[np.repeat(begin[two] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))]
-            order = np.lexsort((e, pair))
-            e, pair = e[order], pair[order]
-            again = np.bincount(pair[1:][(e[1:] == e[:-1]) & (pair[1:] == pair[:-1])], minlength=len(two))
+            order = np.lexsort((e, owner))
+            e, owner = e[order], owner[order]
+            again = np.bincount(owner[1:][(e[1:] == e[:-1]) & (owner[1:] == owner[:-1])], minlength=len(two))
             ok = two[linked(again, n[two], n[two + 1])]
             a, b = ok.tolist(), (ok + 1).tolist()
             every = np.ones(len(n), bool)

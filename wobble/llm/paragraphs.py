@@ -124,6 +124,8 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     p = scratch.keep(numbered.mapInArrow(cut, "row long, doc_id long, th long, start int, n_words int, n int, c1 long, c2 long, keys array<long>"))
     classes = p.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "start", "th", "n_words")).alias("first"), F.count("*").alias("rows"), F.min("row").alias("low"), F.max("row").alias("high"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))  # written, and so fixed
+    wide, p = p, scratch.keep(p.drop("n", "keys"))
+    scratch.free(wide)
     links = near.set_links(classes.select("node", "n", "keys"), lambda nodes: _sets_of(nodes, classes, keyed, shingle), percent, scratch)
     comps = near.components(links, scratch)
     c = scratch.keep(classes.select("c1", "c2", "node", "rows", "low", "high", F.struct("first.doc_id", "first.start").alias("first")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
