@@ -539,7 +539,7 @@ def test_sets_that_link_agree_in_parts():
                 gone = int(rng.integers(0, n // 6 + 2))
                 sets.append(set(list(base)[gone:]) | set(rng.integers(0, 2**63, int(rng.integers(0, n // 6 + 2))).tolist()) or base)
         begin = np.cumsum([0, *map(len, sets)])
-        keys, which = near.agreeing_parts(np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in sets]), begin, 80)
+        keys, which, _ = near.agreeing_parts(np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in sets]), begin, 80)
         own = [set() for _ in sets]
         for k, w in zip(keys.tolist(), which.tolist(), strict=True):
             own[w].add(k)

@@ -22,6 +22,8 @@ from .setsketch import mix, shingle_sets, word_hashes
 BUCKET_ROWS = 1024
 #: Blocks of a family: at least so many rows, a 64th of the family beyond that, and never more words than this.
 BLOCK_ROWS, BLOCKS, BLOCK_WORDS = 128, 64, 4_000_000
+#: Two agreeing parts of so many elements together are a key by themselves; smaller ones only with a hot key that the sets share.
+TELLING = 4
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -158,8 +160,8 @@ def stored_sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint64), (ends - ends[0]) // 8
 
 
-def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of sets, and the set of each: sets with 100 * |intersection| >= percent * |union| have one in common.
+def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sets, the set of each, and how many elements it has in both parts (0 for keys of one part): sets with 100 * |intersection| >= percent * |union| have one in common.
 
     Two such sets of at most x elements differ in d = 2 * x * (100 - percent) / (100 + percent) elements at most. If all elements are dealt to d + 2 parts, the two sets have equal elements in
     two parts at least, so what a set has in each two parts is a key. A set has keys for every x that may be the larger size of a pair. Where d is
@@ -167,7 +169,7 @@ def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tup
     """
     n = np.diff(begin)
     owner = np.repeat(np.arange(len(n)), n)
-    keys, sets = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    keys, sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for x in range(int(n[n > 0].min(initial=1)), 100 * int(n.max(initial=0)) // percent + 1):
         mine = (n <= x) & (100 * n >= percent * x)
         if not mine.any():
@@ -178,13 +180,16 @@ def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tup
         place = np.cumsum(mine) - 1
         inside = mine[owner]
         h = mix(elements[inside] ^ np.uint64(x))
-        held = np.zeros((len(at), m), np.uint64)
-        np.add.at(held, (place[owner[inside]], (h >> np.uint64(32)).astype(np.int64) % m), h)
+        held, count = np.zeros((len(at), m), np.uint64), np.zeros((len(at), m), np.int64)
+        where = place[owner[inside]], (h >> np.uint64(32)).astype(np.int64) % m
+        np.add.at(held, where, h)
+        np.add.at(count, where, 1)
         for i in range(m):
             for j in range(i + 1, m) if d <= 8 else (i,):
                 keys.append(mix(held[:, i] + mix(held[:, j] + np.uint64((x * 4096 + i) * 4096 + j))))
                 sets.append(at)
-    return np.concatenate(keys), np.concatenate(sets)
+                sizes.append(count[:, i] + count[:, j] if i != j else np.zeros(len(at), np.int64))
+    return np.concatenate(keys), np.concatenate(sets), np.concatenate(sizes)
 
 
 def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
@@ -225,14 +230,16 @@ def set_links(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], per
         for b in batches:
             for at in range(0, len(b), 2048):
                 t = pa.Table.from_batches([b.slice(at, 2048)])
-                keys, which = agreeing_parts(*stored_sets(t), percent)
-                # with each of the node's hot keys, as parts may be empty
+                keys, which, size = agreeing_parts(*stored_sets(t), percent)
+                alone = size >= TELLING
+                own_keys, own, keys, which = keys[alone], which[alone], keys[~alone], which[~alone]
+                # others with each of the node's hot keys, as parts may be empty
                 hot = t.column("hot").combine_chunks()
                 each = pa.compute.list_value_length(hot).to_numpy().astype(np.int64)
                 n = each[which]
                 other = hot.flatten().to_numpy()[np.repeat((np.cumsum(each) - each)[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                keys = mix(np.repeat(keys, n) ^ other.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), t.column("node").combine_chunks().take(pa.array(np.repeat(which, n)))], ["key", "node"])
+                keys = np.concatenate([own_keys, mix(np.repeat(keys, n) ^ other.astype(np.uint64))])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), t.column("node").combine_chunks().take(pa.array(np.concatenate([own, np.repeat(which, n)])))], ["key", "node"])
 
     node_type = classes.schema["node"].dataType.simpleString()
     hot_nodes = members.where(F.col("k") > BUCKET_ROWS).groupBy("node").agg(F.collect_list("key").alias("hot"))
