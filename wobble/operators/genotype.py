@@ -45,6 +45,12 @@ def snp_stats(long: DataFrame) -> DataFrame:
     return long.groupBy("snp_idx").agg(F.count("dosage").alias("n_present"), F.avg("dosage").alias("mean_dosage"), (F.avg("dosage") / 2).alias("allele_freq"))
 
 
+def monomorphic(long: DataFrame) -> DataFrame:
+    """Statistics of the features without variation: those whose present calls are all 0 or all 2, or that have none. What embed.standardised leaves out."""
+    p = F.coalesce("allele_freq", F.lit(0.0))
+    return snp_stats(long).where((p <= 0) | (p >= 1))
+
+
 def missing_fraction(long: DataFrame, by: str = "sample_idx") -> DataFrame:
     return long.groupBy(by).agg((F.count_if(F.col("dosage").isNull()) / F.count("*")).alias("missing_fraction"))
 

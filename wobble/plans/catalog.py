@@ -1,12 +1,13 @@
 """Queries of the stability engine over the supplied tables, and DuckDB SQL with the same results.
 
 Samples are suppliers, populations their regions, features parts mod 200; a dosage is the number of their line items mod 3, and none is missing.
-A second matrix is the embeddings table: vectors are samples, their 64 numbers features.
+A second matrix is the embeddings table: vectors are samples, their 64 numbers features. A third has orders as features and line numbers as samples;
+its dosages are return flags, missing where an order has fewer lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,11 @@ from pyspark.sql.window import Window
 
 from wobble.functions import linalg
 from wobble.operators import compare, distance, embed, genotype, resample
+from wobble.shared import written
 
 SNPS = 200
+#: Lines of an order at most, and pairs of an embedding's numbers.
+LINES, PLANES = 7, 32
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,6 +50,21 @@ def packed(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("snp_idx", F.col("s.v").alias("g"))
 
 
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    """snp_idx (order), sample_idx (line number), dosage (by return flag, the largest where a number occurs twice) of all line items."""
+    dosage = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    return table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("snp_idx"), F.col("l_linenumber").cast("int").alias("sample_idx")).agg(F.max(dosage).alias("dosage"))
+
+
+def partial(spark: SparkSession, d: str) -> DataFrame:
+    """Three embeddings of suppliers in the plane (balance and nation), each of those whose balance is in a range of its own."""
+    bal = F.col("s_acctbal").cast("double")
+    held = F.filter(F.array(F.when(bal < 7000, 0), F.when(bal >= 1000, 1), F.when(bal >= 0, 2)), lambda r: r.isNotNull())
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("sample_id"), F.array(bal, F.col("s_nationkey").cast("double")).alias("c"), F.explode(held).alias("replicate_id"))
+    rows = s.groupBy("replicate_id").agg(F.sort_array(F.collect_list(F.struct("sample_id", "c"))).alias("s"))
+    return written(rows.select("replicate_id", F.col("s.sample_id").alias("sample_ids"), F.col("s.c").alias("coords")))
+
+
 def embedding_packed(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("snp_idx", "v"))
     rows = e.groupBy(F.col("snp_idx").cast("long").alias("snp_idx")).agg(F.sort_array(F.collect_list(F.struct("vec_id", F.col("v").cast("double").alias("v")))).alias("s"))
@@ -70,11 +89,13 @@ def impute_mean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impute_remove(spark: SparkSession, d: str) -> DataFrame:
-    return genotype.impute_long(long(spark, d), "remove").select("snp_idx", "sample_id", "dosage")
+    cells = flags(spark, d)
+    every = cells.select("snp_idx").distinct().withColumn("sample_idx", F.explode(F.sequence(F.lit(1), F.lit(LINES))))
+    return genotype.impute_long(every.join(cells, ["snp_idx", "sample_idx"], "left"), "remove").select("snp_idx", "sample_idx", "dosage")
 
 
 def monomorphic_snps(spark: SparkSession, d: str) -> DataFrame:
-    return genotype.snp_stats(long(spark, d)).where("allele_freq <= 0.45 or allele_freq >= 0.55").select("snp_idx", r6("allele_freq").alias("allele_freq"))
+    return genotype.monomorphic(flags(spark, d)).select("snp_idx", "n_present", r6("allele_freq").alias("allele_freq"))
 
 
 def _distances(spark: SparkSession, d: str, metric: str) -> DataFrame:
@@ -163,40 +184,36 @@ def ignore_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pad_missing(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
-    e = s.where("sample_id % 3 <> 0").select("sample_id", F.col("population").cast("string").alias("population"), F.array(F.col("sample_id") * 0.5, F.col("sample_id") * 0.25).alias("coords"))
+    s = table(spark, d, "supplier").withColumn("sample_id", F.col("s_suppkey"))
+    e = s.where("s_acctbal >= 0").select("sample_id", F.col("s_nationkey").cast("string").alias("population"), F.array(F.col("s_acctbal").cast("double"), F.col("s_nationkey").cast("double")).alias("coords"))
     return genotype.pad_missing(s, e, 2).select("sample_id", "population", F.col("coords")[0].alias("d0"), F.col("coords")[1].alias("d1"))
 
 
 def sample_union(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d).select("sample_id")
-    return s.where("sample_id % 2 = 0").union(s.where("sample_id % 3 = 0")).distinct()
+    """Samples of any replicate, and in how many they are."""
+    e = partial(spark, d)
+    return compare.support_values(compare.compare_pairs(e), e).select("sample_id", "n_present")
 
 
 def sample_clip(spark: SparkSession, d: str) -> DataFrame:
-    """Shared samples of two embeddings and the clipping mark."""
-    s = samples(spark, d).select("sample_id")
-    a, b = s.where("sample_id % 4 <> 0"), s.where("sample_id % 5 <> 0")
-    both = a.join(b, "sample_id", "left_semi").agg(F.count("*").alias("shared"))
-    n = a.agg(F.count("*").alias("na")).join(b.agg(F.count("*").alias("nb")), F.lit(True))
-    return both.join(n, F.lit(True)).select("shared", "na", "nb", ((F.col("shared") <= 0.8 * F.col("na")) | (F.col("shared") <= 0.8 * F.col("nb"))).alias("clipped"))
+    """Shared samples of each two embeddings and the clipping mark."""
+    return compare.compare_pairs(partial(spark, d)).select("i", "j", F.size("sample_ids").alias("shared"), "clipped")
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    """Five two-dimensional replicates: neighbouring columns of the embeddings."""
+    """Two-dimensional replicates: neighbouring columns of the embeddings."""
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", F.posexplode(F.array(*[F.struct(F.col("embedding")[2 * r].cast("double").alias("x"), F.col("embedding")[2 * r + 1].cast("double").alias("y")) for r in range(5)])).alias("r", "p")).select("vec_id", "r", "p.x", "p.y")
+    return e.select("vec_id", F.posexplode(F.array(*[F.struct(F.col("embedding")[2 * r].cast("double").alias("x"), F.col("embedding")[2 * r + 1].cast("double").alias("y")) for r in range(PLANES)])).alias("r", "p")).select("vec_id", "r", "p.x", "p.y")
 
 
 def pairwise_ps_2d(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _points(spark, d).alias("a"), _points(spark, d).alias("b")
-    j = a.join(b, (F.col("a.vec_id") == F.col("b.vec_id")) & (F.col("a.r") < F.col("b.r")))
-    p = j.select(F.col("a.r").alias("i"), F.col("b.r").alias("j"), F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
-    return compare.stability_2d(p).select("i", "j", r6("stability").alias("stability"))
+    rows = _points(spark, d).groupBy("r").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("id"), F.array("x", "y").alias("c")))).alias("s"))
+    e = written(rows.select(F.col("r").alias("replicate_id"), F.col("s.id").alias("sample_ids"), F.col("s.c").alias("coords")))
+    return compare.compare_pairs(e).select("i", "j", r6("stability").alias("stability"))
 
 
 def fmi_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("a"), (F.array_position(F.slice("embedding", 1, 4), F.array_max(F.slice("embedding", 1, 4))) - 1).alias("b"))
+    e = table(spark, d, "embeddings").select(F.col("label").alias("a"), (F.array_position("embedding", F.array_max("embedding")) - 1).alias("b"))
     return compare.fowlkes_mallows(e).select(r6("fmi").alias("fmi"))
 
 
@@ -224,9 +241,13 @@ def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def normalised_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("c"))
-    n = F.sqrt(F.col("c")[0] * F.col("c")[0] + F.col("c")[1] * F.col("c")[1])
-    return e.select("vec_id", *[r6(F.when(n > 0, F.col("c")[k] / n).otherwise(0.0)).alias(f"d{k}") for k in range(2)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                yield b.assign(c=list(linalg.normalise_rows(np.stack(b["c"].to_numpy()))))
+
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("c"))
+    return e.mapInPandas(run, e.schema).select("vec_id", F.posexplode("c").alias("pos", "v")).select("vec_id", "pos", r6("v").alias("v"))
 
 
 # --- without SQL: eigenproblems, alignment and clustering
@@ -242,7 +263,7 @@ def _named(spark: SparkSession, d: str) -> list[tuple[str, str]]:
 
 def _replicates(spark: SparkSession, d: str, k: int = 2) -> DataFrame:
     names = _named(spark, d)
-    return embed.pca(packed(spark, d), _weights(spark), names, min(k, len(names)))
+    return written(embed.pca(packed(spark, d), _weights(spark), names, min(k, len(names))))  # read for pairs, blocks and samples
 
 
 def pca_embedding(spark: SparkSession, d: str) -> DataFrame:
@@ -268,13 +289,13 @@ def pairwise_stability(spark: SparkSession, d: str) -> DataFrame:
 
 def window_stability(spark: SparkSession, d: str) -> DataFrame:
     names = _named(spark, d)
-    e = embed.pca(packed(spark, d), resample.window_weights(spark, SNPS, 8), names, 2)
+    e = written(embed.pca(packed(spark, d), resample.window_weights(spark, SNPS, 8), names, 2))
     return compare.compare_pairs(e).select("i", "j", "disparity", "stability")
 
 
 def sample_support(spark: SparkSession, d: str) -> DataFrame:
     e = _replicates(spark, d)
-    return compare.support_values(compare.compare_pairs(e), e)
+    return compare.support_values(written(compare.compare_pairs(e)), e)
 
 
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -306,7 +327,11 @@ _PAIR = "from {t} a join {t} b on a.snp_idx = b.snp_idx and a.sample_id < b.samp
 _stride, _size = resample.window_bounds(SNPS, 7)
 _WIN = f"w as (select range as window_id from range(7))"
 _DRAWS = f"d as (select r.range as replicate_id, p.range as draw_pos, (p.range * p.range * 31 + r.range * 7919 + p.range * 17) % {SNPS} as snp_idx from range(5) r, range({SNPS}) p)"
-_POINTS = "p as (" + " union all ".join(f"select vec_id, {r} as r, embedding[{2 * r + 1}]::double as x, embedding[{2 * r + 2}]::double as y from embeddings" for r in range(5)) + ")"
+_POINTS = "p as (" + " union all ".join(f"select vec_id, {r} as r, embedding[{2 * r + 1}]::double as x, embedding[{2 * r + 2}]::double as y from embeddings" for r in range(PLANES)) + ")"
+
+
+_FLAGS = "with f as (select l_orderkey as snp_idx, l_linenumber::int as sample_idx, max(case l_returnflag when 'R' then 2 when 'A' then 1 else 0 end) as dosage from lineitem group by 1, 2)"
+_PARTIAL = "e as (" + " union all ".join(f"select s_suppkey::varchar as s, {r} as r from supplier where s_acctbal {test}" for r, test in enumerate(("< 7000", ">= 1000", ">= 0"))) + ")"
 
 
 def _popdist_sql(value: str) -> str:
@@ -318,8 +343,8 @@ ORACLE_SQL: dict[str, str] = {
     "snp_stats": f"with {_LONG} select snp_idx, count(dosage) as n_present, round(avg(dosage), 6) as mean_dosage, round(avg(dosage) / 2, 6) as allele_freq from g group by 1",
     "missing_fraction": f"with {_LONG} select sample_id, round((count(*) - count(dosage))::double / count(*), 6) as missing_fraction from g group by 1",
     "impute_mean": f"with {_IMP} select snp_idx, sample_id, round(v, 6) as dosage from mi",
-    "impute_remove": f"with {_LONG} select snp_idx, sample_id, dosage from g where snp_idx in (select snp_idx from g group by 1 having count(*) = count(dosage))",
-    "monomorphic_snps": f"with {_LONG} select snp_idx, round(avg(dosage) / 2, 6) as allele_freq from g group by 1 having avg(dosage) / 2 <= 0.45 or avg(dosage) / 2 >= 0.55",
+    "impute_remove": f"{_FLAGS} select snp_idx, sample_idx, dosage from f where snp_idx in (select snp_idx from f group by 1 having count(*) = {LINES})",
+    "monomorphic_snps": f"{_FLAGS} select snp_idx, count(*) as n_present, round(avg(dosage) / 2, 6) as allele_freq from f group by 1 having min(dosage) = 2 or max(dosage) = 0",
     "dist_euclidean": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
     "dist_manhattan": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sum(abs(a.v - b.v)), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
     "dist_hamming": f"with {_LONG} select a.sample_id as sample_a, b.sample_id as sample_b, coalesce(sum(abs(a.dosage - b.dosage)), 0)::double as d {_PAIR.format(t='g')} group by 1, 2",
@@ -338,13 +363,13 @@ ORACLE_SQL: dict[str, str] = {
     "dedup_snp_ids": f"with {_DRAWS}, k as (select *, row_number() over (partition by replicate_id, snp_idx order by draw_pos) - 1 as k from d) select replicate_id, draw_pos, 'rs' || snp_idx || case when k > 0 then '_r' || k else '' end as dedup_id from k",
     "projected_samples": f"with {_LONG} select sample_id, population from s where population not in (select r_regionkey from region where r_regionkey < 3)",
     "ignore_filter": f"with {_LONG} select sample_id, population::varchar as population from s where population <> 2",
-    "pad_missing": f"with {_LONG} select sample_id, case when sample_id % 3 <> 0 then population::varchar else '_dummy' end as population, case when sample_id % 3 <> 0 then sample_id * 0.5::double else 0 end as d0, case when sample_id % 3 <> 0 then sample_id * 0.25::double else 0 end as d1 from s",
-    "sample_union": f"with {_LONG} select sample_id from s where sample_id % 2 = 0 or sample_id % 3 = 0",
-    "sample_clip": f"with {_LONG}, n as (select count(*) filter (sample_id % 4 <> 0 and sample_id % 5 <> 0) as shared, count(*) filter (sample_id % 4 <> 0) as na, count(*) filter (sample_id % 5 <> 0) as nb from s) select *, shared <= 0.8 * na or shared <= 0.8 * nb as clipped from n",
+    "pad_missing": "select s_suppkey as sample_id, case when s_acctbal >= 0 then s_nationkey::varchar else '_dummy' end as population, case when s_acctbal >= 0 then s_acctbal::double else 0 end as d0, case when s_acctbal >= 0 then s_nationkey::double else 0 end as d1 from supplier",
+    "sample_union": f"with {_PARTIAL} select s as sample_id, count(*) as n_present from e group by 1",
+    "sample_clip": f"with {_PARTIAL}, n as (select r, count(*) as n from e group by 1), k as (select a.r as i, b.r as j, count(*)::int as shared from e a join e b on a.s = b.s and a.r < b.r group by 1, 2) select i, j, shared, shared <= 0.8 * x.n or shared <= 0.8 * y.n as clipped from k join n x on x.r = i join n y on y.r = j",
     "pairwise_ps_2d": f"""with {_POINTS}, z as (select vec_id, r, x - avg(x) over (partition by r) as x, y - avg(y) over (partition by r) as y from p),
       m as (select a.r as i, b.r as j, sum(b.x * a.x) as xx, sum(b.x * a.y) as xy, sum(b.y * a.x) as yx, sum(b.y * a.y) as yy, sum(a.x * a.x + a.y * a.y) as sa, sum(b.x * b.x + b.y * b.y) as sb from z a join z b on a.vec_id = b.vec_id and a.r < b.r group by 1, 2)
       select i, j, round(sqrt((xx * xx + xy * xy + yx * yx + yy * yy + 2 * abs(xx * yy - xy * yx)) / (sa * sb)), 6) as stability from m""",
-    "fmi_labels": """with e as (select label as a, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 as b from embeddings), c as (select a, b, count(*)::double as c from e group by 1, 2),
+    "fmi_labels": """with e as (select label as a, list_position(embedding, list_max(embedding)) - 1 as b from embeddings), c as (select a, b, count(*)::double as c from e group by 1, 2),
       t as (select sum(c * c) - sum(c) as t, sum(c) as n from c), q as (select sum(k * k) as q from (select sum(c) as k from c group by a)), p as (select sum(k * k) as p from (select sum(c) as k from c group by b))
       select round(sqrt(t / (p - n)) * sqrt(t / (q - n)), 6) as fmi from t, p, q""",
     "support_summary": f"with {_LONG}, v as (select sample_id, count(dosage)::double / count(*) as v from g group by 1) select round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 6) as median, round(stddev_samp(v), 6) as stdev from v",
@@ -352,5 +377,5 @@ ORACLE_SQL: dict[str, str] = {
     "replicate_scores": """with p as (select i.range as i, j.range as j from range(6) i, range(6) j where i.range < j.range), a as (select i, j, i::double / (j + 1) as x from p where (i + j) % 3 <> 0), b as (select i, j, 1::double / (i + j + 1) as y from p where (i + j) % 4 <> 0)
       select '(' || i || ', ' || j || ')' as pair, round(x, 6) as stability, round(y, 6) as cluster_stability from a full join b using (i, j)""",
     "embedding_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings",
-    "normalised_rows": "with e as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings) select vec_id, round(case when x = 0 and y = 0 then 0 else x / sqrt(x * x + y * y) end, 6) as d0, round(case when x = 0 and y = 0 then 0 else y / sqrt(x * x + y * y) end, 6) as d1 from e",
+    "normalised_rows": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as c from embeddings), n as (select *, sqrt(list_sum(list_transform(c, lambda x: x * x))) as n, unnest(range(len(c))) as pos from e) select vec_id, pos::int as pos, round(case when n > 0 then c[pos + 1] / n else 0 end, 6) as v from n",
 }
