@@ -76,7 +76,8 @@ def op8_prefix_filtered_decontamination(spark: SparkSession, sf_dir: str) -> Dat
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     odd = "\\### Assistant: </turn> ok"
-    c = c.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn int, role string, text string"))
+    rows = [F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), F.lit(odd).alias("text")) for k, role in enumerate(("user", "assistant"))]
+    c = c.unionByName(spark.range(1).select(F.inline(F.array(*rows))))
     in_turn = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), F.asc_nulls_first("role"), F.asc_nulls_first("text"))
     nodes = c.withColumn("node", F.row_number().over(in_turn)).select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
     out = Scratch(spark, "op9").keep(format_reply_trees(Scratch(spark, "nodes").keep(nodes)))

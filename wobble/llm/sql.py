@@ -36,7 +36,7 @@ f as (
     list_append(list_transform([{", ".join(f"'{x}'" for x in COMMON_WORDS)}], lambda c: len(list_filter(ws, lambda x: x = c))), len(list_filter(ws, lambda x: x not in ({", ".join(f"'{x}'" for x in COMMON_WORDS)})))) as mc
   from n left join c using (rid)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from f),
-refs as (select lang as rlang, sum(n_words) as k, [{_sums("cc", len(CLASSES) + 1)}] as cr, [{_sums("mc", len(COMMON_WORDS) + 1)}] as mr from b where not base_failed and lang is not null group by lang order by k desc, lang limit 64),
+refs as (select lang as rlang, sum(n_words) as k, [{_sums("cc", len(CLASSES) + 1)}] as cr, [{_sums("mc", len(COMMON_WORDS) + 1)}] as mr from b where not base_failed and lang is not null group by lang),
 pool as (select [{_sums("cc", len(CLASSES) + 1)}] as cp, [{_sums("mc", len(COMMON_WORDS) + 1)}] as mp from b where not base_failed),
 j as (select b.*, list_transform(coalesce(cr, cp), lambda x: x::double) as cr, list_transform(coalesce(mr, mp), lambda x: x::double) as mr from b left join refs on lang = rlang cross join pool),
 s as (select *, case when list_sum(cc) > 0 then {_JS.format(c="cc", r="cr")} else 0 end as class_js, case when n_words > 0 then {_JS.format(c="mc", r="mr")} else 0 end as common_js from j)
