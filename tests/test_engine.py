@@ -449,3 +449,14 @@ def test_matrix_interface(spark, tmp_path):
         d.mds(1, means)
     with pytest.raises(WobbleError):
         ReplicateComparison(d.pca(2))
+
+
+def test_monomorphic_features_are_those_that_standardising_leaves_out(spark):
+    m = np.array([[0, 0, 0], [2, 2, np.nan], [0, 1, 2], [np.nan, np.nan, np.nan], [1, 1, 1], [0, 2, np.nan]])
+    rows = [(i, j, None if np.isnan(v) else int(v)) for i, r in enumerate(m) for j, v in enumerate(r)]
+    found = {r.snp_idx for r in genotype.monomorphic(spark.createDataFrame(rows, "snp_idx int, sample_idx int, dosage int")).collect()}
+    x = m / 2
+    p = [np.nanmean(r) if not np.isnan(r).all() else 0 for r in x]
+    assert found == {i for i, q in enumerate(p) if q in (0, 1)} == {0, 1, 3}
+    left_out = np.flatnonzero(~embed.standardised(m).any(1)).tolist()
+    assert found <= set(left_out)
