@@ -1,4 +1,4 @@
-"""The ten queries, and the SQL of those that SQL can express."""
+"""The operators' queries, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 from .base import Scratch, table
 from .chat import format_reply_trees, read_loss, read_turns
 from .decontaminate import contamination
+from .divergence import source_divergence
+from .importance import importance_resample
 from .mixing import mix_sources
 from .neardup import near_duplicates
+from .packing import packed_digest, write_packed
 from .paragraphs import duplicate_paragraphs
 from .quality import quality
 from .sql import ORACLE_SQL  # noqa: F401
@@ -97,6 +100,21 @@ def op10_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op11").root
+    write_packed(table(spark, sf_dir, "documents", "doc_id", "text"), path, tokenizer_json())
+    return packed_digest(spark, path)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simple8b_token_files, op2_trie_token_counts, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op6_noisy_or_toxicity, op7_suffix_buckets, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix)
+    f.__name__: f for f in (op1_simple8b_token_files, op2_trie_token_counts, op3_setsketch_near_duplicates, op4_paragraph_minhash, op5_distribution_divergence, op6_noisy_or_toxicity, op7_suffix_buckets, op8_prefix_filtered_decontamination, op9_reply_trees, op10_weighted_mix, op11_minimum_bin_slack, op12_importance_resampling, op13_source_divergence)
 }

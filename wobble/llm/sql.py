@@ -81,4 +81,41 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_distribution_divergence": OP5, "op8_prefix_filtered_decontamination": OP8, "op9_reply_trees": OP9, "op10_weighted_mix": OP10}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+# crc32 by a table of 256 remainders, over distinct words
+OP12 = rf"""
+with tab as (select list(list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) order by i) as tab from (select range as i from range(256))),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+dw as (select rid, w, count(*) as n from (select rid, unnest(ws) as w from d) group by rid, w),
+bw as (select w, count(*) as n from (select unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark) group by w),
+v as (select w, hex(encode(w)) as x from (select w from dw union select w from bw)),
+k as (select w, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as bucket from v, tab),
+sb as (select bucket, sum(n) as s from dw join k using (w) group by bucket),
+tb as (select bucket, sum(n) as t from bw join k using (w) group by bucket),
+tot as (select coalesce((select sum(s) from sb), 0)::double as ss, coalesce((select sum(t) from tb), 0)::double as tt),
+g as (select bucket, floor(1000 * ln(((coalesce(t, 0)::double + 1) * (ss + 10000.0::double)) / ((coalesce(s, 0)::double + 1) * (tt + 10000.0::double))))::bigint as gain from sb full join tb using (bucket) cross join tot),
+f as (select rid, sum(n)::bigint as n_features, sum(n * gain)::bigint as weight from dw join k using (w) join g using (bucket) group by rid),
+h as (select rid, doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from d left join f using (rid)),
+z as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from h),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last, n_features desc, weight desc) as rank, count(*) over () as n from z where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank from z left join r using (rid)
+"""
+
+OP13 = rf"""
+with d as (select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+w as (select rid, lang, source, term, count(*) as n from (select rid, lang, source, unnest(ts) as term from d) group by all),
+kept as (select lang, term, sum(n) as total from w group by lang, term having count(*) >= 10),
+lv as (select lang, count(*) as v, sum(total) as big from kept group by lang),
+c as (select lang, source, term, sum(n) as n from w semi join kept using (lang, term) group by all),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(big, 0) as big, coalesce(n, 0) as n from (select distinct lang, source from d) left join lv using (lang) left join (select lang, source, sum(n) as n from c group by all) using (lang, source)),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) as had, (1 + 1000000000::hugeint * (coalesce(c.n, 0) + 2) // (g.n + 2 * g.v))::bigint as p, (1 + 1000000000::hugeint * (k.total + 2) // (g.big + 2 * g.v))::bigint as q
+  from g join kept k using (lang) left join c using (lang, source, term)),
+x as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join x on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // (p + q))::bigint as value from p where had > 0 and p > q),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_distribution_divergence": OP5, "op8_prefix_filtered_decontamination": OP8, "op9_reply_trees": OP9, "op10_weighted_mix": OP10, "op12_importance_resampling": OP12, "op13_source_divergence": OP13}
