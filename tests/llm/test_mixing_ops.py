@@ -196,6 +196,7 @@ def brute_divergence(rows, least, top):
 
 def test_divergence(docs, monkeypatch):
     monkeypatch.setattr(divergence, "MERGE_ROWS", 50)
+    monkeypatch.setattr(divergence, "SHARD_TERMS", 20)
     for least, top, shards in ((3, 4, 5), (1, 10, 1), (10**6, 10, 3)):
         got = {tuple(r) for r in source_divergence(docs, least, top, shards).select("lang", "source", "part", "item", "value", "rank").collect()}
         assert got == brute_divergence(ROWS, least, top)

@@ -16,8 +16,10 @@ from .base import Scratch, lean, pieces
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
 COUNTS = "lang string, source string, term string, n long, docs long"
-KEPT = "shard int, lang string, term string, sources array<string>, counts array<long>, total long"
+KEPT = "lang string, term string, sources array<string>, counts array<long>, total long"
 PARTIAL = "part string, lang string, source string, item string, value long, n long"
+#: Kept terms of a shard, on average, when pairs are added up.
+SHARD_TERMS = 2000
 #: Rows of counts that a task merges at once, and bytes of text that it counts at once.
 MERGE_ROWS, TEXT_BYTES = 400_000, 8 << 20
 
@@ -124,13 +126,13 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, shar
     scratch = Scratch(spark, "divergence")
     shards = shards or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    shard = F.pmod(F.xxhash64("lang", "term"), F.lit(shards)).cast("int").alias("shard")
+    shard = lambda n: F.pmod(F.xxhash64("lang", "term"), F.lit(n)).cast("int").alias("shard")
 
-    def keep(key: tuple, t: pa.Table) -> pa.Table:
-        out = run_sql(_KEEP.format(least=least_docs), batch=t)
-        return out.add_column(0, "shard", pa.array([key[0].as_py()] * len(out), pa.int32()))
+    def keep(t: pa.Table) -> pa.Table:
+        return run_sql(_KEEP.format(least=least_docs), batch=t)
 
-    kept = scratch.keep(term_counts(d).select(shard, "*").groupBy("shard").applyInArrow(keep, KEPT))
+    kept = scratch.keep(term_counts(d).select(shard(shards), "*").groupBy("shard").applyInArrow(keep, KEPT))
+    merged = 1 + kept.count() // SHARD_TERMS  # each shard gives a row for each pair, so shards follow the number of terms, not that of partitions
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     each = kept.select("lang", F.inline(F.arrays_zip("sources", "counts"))).groupBy("lang", F.col("sources").alias("source")).agg(F.sum("counts").alias("n"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
@@ -143,8 +145,8 @@ def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, shar
             return schema.empty_table()
         return pa.concat_tables([run_sql(sql, kept=k, groups=g).cast(schema) for sql in (_PAIRS, _TERMS.format(top=top))])
 
-    everywhere = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    parts = scratch.keep(kept.groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInArrow(partial, PARTIAL))
+    everywhere = groups.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(merged - 1))))
+    parts = scratch.keep(kept.select(shard(merged), "*").groupBy("shard").cogroup(everywhere.groupBy("shard")).applyInArrow(partial, PARTIAL))
     a, b = groups.select("lang", "source", "v", "none"), groups.select("lang", F.col("source").alias("item"), F.col("none").alias("other"))
     sums = parts.where("part = 'pair'").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"), F.sum("n").alias("n"))
     pairs = a.join(b, "lang").where("source < item").join(sums, ["lang", "source", "item"], "left")
