@@ -192,6 +192,57 @@ def test_genotype_pca(spark):
         embed.pca(genotype.matrix_to_packed(spark, MATRIX), whole(spark, 7), names, 8)
 
 
+def without_outliers(g, w, k, rule, fit):
+    """Plain numpy: rounds of removal, then coordinates of who is left. g: features x samples."""
+    live, report = list(range(g.shape[1])), []
+    for n in range(rule.rounds + 1):
+        making = [i for i in live if i in fit]
+        p = np.nanmean(g[:, making], 1) / 2
+        ok = (p > 0) & (p < 1)
+        m = np.nan_to_num((g[ok][:, live] - 2 * p[ok, None]) / np.sqrt(p * (1 - p))[ok, None]) * np.sqrt(w[ok])[:, None]
+        at = [live.index(i) for i in making]
+        values, x = np.linalg.eigh(m[:, at].T @ m[:, at])
+        values, x = values[::-1], x[:, ::-1]
+        far = np.abs(x[:, : rule.axes] - x[:, : rule.axes].mean(0)) / x[:, : rule.axes].std(0, ddof=1)
+        out = [(making[i], int(far[i].argmax()), far[i].max()) for i in range(len(making)) if far[i].max() > rule.sigma]
+        if n == rule.rounds or not out:
+            whole = m.T @ m[:, at] @ x[:, :k] / values[:k]
+            whole[at] = x[:, :k]
+            return live, whole, values[:k] / values.sum(), report
+        report += [(n + 1, *o) for o in out]
+        live = [i for i in live if i not in {o[0] for o in out}]
+
+
+def test_outliers_leave_round_by_round(spark):
+    rng = np.random.default_rng(7)
+    n, m, k = 40, 300, 3
+    g = rng.integers(0, 3, (m, n)).astype(float)
+    g[:60, 5], g[60:, 5] = 2, 0  # one sample far out, a second that shows once the first is gone, one that isn't in fit
+    g[:, :30] = np.where(rng.random((m, 30)) < 0.9, np.minimum(g[:, :30], 1), g[:, :30])
+    g[:150, 11] = 2
+    g[:200, 39] = 2
+    g[rng.random((m, n)) < 0.02] = np.nan
+    packed = spark.createDataFrame([(i, [None if v != v else float(v) for v in r]) for i, r in enumerate(g)], "snp_idx long, g array<double>").repartition(3)
+    w = rng.integers(0, 4, (2, m)).astype(float)
+    weights = spark.createDataFrame([(r, i, float(w[r, i])) for r in range(2) for i in range(m) if w[r, i]], "replicate_id int, snp_idx long, w double")
+    samples = [(f"s{i:02d}", "x") for i in range(n)]
+    for rule in (embed.OutlierRule(5, 4, 3.0), embed.OutlierRule(1, 2, 2.5), embed.OutlierRule(0, 4, 0.1)):
+        for fit in (list(range(n)), list(range(36))):
+            e, removed = embed.pca_without_outliers(packed, weights, samples, k, rule, fit=None if len(fit) == n else fit)
+            rows, gone = {r.replicate_id: r for r in e.collect()}, removed.collect()
+            assert sorted(rows) == [0, 1]
+            for r in range(2):
+                live, x, share, report = without_outliers(g, w[r], k, rule, fit)
+                assert rows[r].sample_ids == [f"s{i:02d}" for i in live] and np.allclose(rows[r].explained, share)
+                got = np.array(rows[r].coords)
+                assert np.allclose(np.abs((got * x).sum(0)), np.sqrt((got**2).sum(0) * (x**2).sum(0))) and np.allclose(np.abs(got), np.abs(x), atol=1e-8)
+                mine = sorted((z.round, z.sample_id, z.axis, round(z.deviation, 6)) for z in gone if z.replicate_id == r)
+                assert mine == sorted((a, f"s{b:02d}", c, round(float(v), 6)) for a, b, c, v in report)
+                assert bool(report) == (rule.rounds > 0)
+    with pytest.raises(Exception, match="too few"):
+        embed.pca_without_outliers(packed, weights, samples, k, embed.OutlierRule(3, 4, 0.01))
+
+
 def test_weighted_gram_is_that_of_the_resampled_matrix(spark):
     rng = np.random.default_rng(3)
     m = rng.integers(0, 3, (6, 25)).astype(float)
@@ -354,6 +405,12 @@ def test_config(tmp_path):
     with pytest.raises(ConfigError):
         RunConfig(dataset_prefix="a", result_dir="b", smartpca_optional_settings={"shrinkmode": "YES"}).check_settings()
     RunConfig(dataset_prefix="a", result_dir="b", smartpca_optional_settings={"numoutlieriter": 0}).check_settings()
+    rule = RunConfig(dataset_prefix="a", result_dir="b", smartpca_optional_settings={"numoutlieriter": 2, "outliersigmathresh": "4.5"})
+    rule.check_settings()
+    assert rule.outlier_rule() == (2, 10, 4.5) and RunConfig(dataset_prefix="a", result_dir="b").outlier_rule() == (5, 10, 6.0)
+    for bad in ({"numoutlieriter": -1}, {"numoutlieriter": True}, {"numoutlierevec": 0}, {"outliersigmathresh": "wide"}, {"shrinkmode": True}):
+        with pytest.raises(ConfigError, match="isn't supported"):
+            RunConfig(dataset_prefix="a", result_dir="b", smartpca_optional_settings=bad).check_settings()
 
 
 def test_plot_data(spark):

@@ -12,10 +12,11 @@ import yaml
 from pydantic import BaseModel, ConfigDict, Field, NonNegativeFloat, NonNegativeInt, PositiveInt, ValidationError
 
 from wobble.errors import ConfigError
+from wobble.operators.embed import OutlierRule
 from wobble.types import AnalysisMode, EmbeddingAlgorithm, FileFormat
 
-#: Settings of the external program that are done natively; others are refused rather than ignored.
-NATIVE_SETTINGS = {"numoutlieriter": lambda v: int(v) == 0}
+#: Settings of the external program that are done natively, with what they may be; others are refused rather than ignored.
+NATIVE_SETTINGS = {"numoutlieriter": lambda v: int(v) == float(v) >= 0, "numoutlierevec": lambda v: int(v) == float(v) >= 1, "outliersigmathresh": lambda v: float(v) > 0}
 
 
 class RunConfig(BaseModel):
@@ -61,9 +62,19 @@ class RunConfig(BaseModel):
 
     def check_settings(self) -> None:
         for k, v in (self.smartpca_optional_settings or {}).items():
-            if k not in NATIVE_SETTINGS or not NATIVE_SETTINGS[k](v):
+            try:
+                fits = k in NATIVE_SETTINGS and not isinstance(v, bool) and NATIVE_SETTINGS[k](v)
+            except (TypeError, ValueError):
+                fits = False
+            if not fits:
                 raise ConfigError(f"The setting {k}: {v} isn't supported.")
 
+    def outlier_rule(self) -> OutlierRule:
+        """Outlier removal of the PCA: on, with its usual numbers, unless settings say otherwise."""
+        given = self.smartpca_optional_settings or {}
+        usual = OutlierRule()
+        return OutlierRule(int(given.get("numoutlieriter", usual.rounds)), int(given.get("numoutlierevec", usual.axes)), float(given.get("outliersigmathresh", usual.sigma)))
+
 
 def load_config(path: str | Path) -> RunConfig:
     """A YAML file; enum values in any case."""

@@ -271,6 +271,23 @@ def pca_embedding(spark: SparkSession, d: str) -> DataFrame:
     return embed.per_sample(embed.pca(packed(spark, d), one, _named(spark, d), 2))
 
 
+#: Places of the suppliers that pca_outliers plants: every so many.
+PLANTED = 400
+
+
+def _planted(spark: SparkSession, d: str) -> DataFrame:
+    """The genotypes, with every PLANTED-th sample's calls replaced by 2 at every feature, as no other sample has."""
+    return packed(spark, d).withColumn("g", F.transform("g", lambda v, i: F.when(i % PLANTED == 0, F.lit(2.0)).otherwise(v)))
+
+
+def pca_outliers(spark: SparkSession, d: str) -> DataFrame:
+    """Samples removed from the PCA of the genotypes as outliers, in which round and at which axis."""
+    names = _named(spark, d)
+    one = spark.range(SNPS).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
+    _, removed = embed.pca_without_outliers(written(_planted(spark, d)), one, names, 2, embed.OutlierRule(rounds=5, axes=2, sigma=3.0))
+    return removed.select("round", "sample_id", "axis", r6("deviation").alias("deviation"))
+
+
 def matrix_pca_explained(spark: SparkSession, d: str) -> DataFrame:
     one = spark.range(64).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
     names = [(f"{r.vec_id:09d}", str(r.label)) for r in table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
@@ -313,7 +330,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson,
         windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
-        replicate_scores, embedding_norms, normalised_rows, pca_embedding, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels,
+        replicate_scores, embedding_norms, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels,
     )
 }
 

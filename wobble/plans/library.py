@@ -59,7 +59,7 @@ class MatrixDataset:
         """Embeddings of up to n bootstrap replicates, compared; stops early once converged. keep writes a table and reads it again; it may be given replicates again in another call."""
         seeds = resample.replicate_seeds(seed, n)
         build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_features, {i: seeds[i] for i in ids}), algorithm, k, metric, imputation, by_population)
-        return ReplicateComparison(*run_batches(n, max(10, batch), build, lambda e, ids: compare.compare_pairs(e, only_with=ids), lambda df, name: keep(df), check, tolerance, seed))
+        return ReplicateComparison(*run_batches(n, max(10, batch), build, lambda e, ids: compare.compare_pairs(e, only_with=ids), lambda make, name: keep(make()), check, tolerance, seed))
 
     def windows(self, n: int = 100, algorithm: EmbeddingAlgorithm = EmbeddingAlgorithm.PCA, k: int = 10, metric: str | Callable = "euclidean", imputation: str | None = "mean", by_population: bool | None = None) -> "ReplicateComparison":
         e = self._embed(resample.window_weights(self.spark, self.n_features, n), algorithm, k, metric, imputation, by_population)

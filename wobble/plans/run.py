@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import logging
 import time
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from wobble.functions import linalg
 from wobble.operators import compare, embed, genotype, resample
 from wobble.ship import ship
 from wobble.sources import genotypes as G
-from wobble.streaming.convergence import run_batches
+from wobble.streaming.convergence import batch_name, run_batches
 from wobble.types import AnalysisMode, EmbeddingAlgorithm, FileFormat
 
 from . import plotdata
@@ -87,20 +88,22 @@ class StabilityRun:
     def tables(self, name: str) -> str:
         return self.config.path(f"tables/{name}")
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a table of this run's settings; one that an earlier run with the same settings finished is read instead, unless redo is set."""
+    def keep(self, make: Callable[[], DataFrame], name: str) -> DataFrame:
+        """What make gives, as a table of this run's settings; one that an earlier run with the same settings finished is read instead, and nothing is made, unless redo is set."""
         path = self.tables(f"{self.fingerprint}/{name}")
         if self.config.redo or not self._finished(path):
-            df.write.mode("overwrite").parquet(path)
+            make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def _finished(self, path: str) -> bool:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def _embed(self, weights: DataFrame) -> DataFrame:
+    def _embed(self, weights: DataFrame, name: str) -> DataFrame:
         if self.config.embedding_algorithm is EmbeddingAlgorithm.PCA:
-            return embed.embed_grams(embed.weighted_grams(self.data.packed, weights, len(self.info), fit=self.fit), self.info, self.k, fit=self.fit)
+            e, removed = embed.pca_without_outliers(self.data.packed, weights, self.info, self.k, self.config.outlier_rule(), fit=self.fit)
+            self.keep(lambda: removed, f"{name}_removed")
+            return e
         out = None
         for r in [x.replicate_id for x in weights.select("replicate_id").distinct().collect()]:  # a matrix of populations squared for each
             w = weights.where(F.col("replicate_id") == r)
@@ -111,7 +114,7 @@ class StabilityRun:
 
     def embed(self) -> DataFrame:
         one = self.spark.range(self.n_snps).select(F.lit(0).cast("int").alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
-        self.embedding = self.keep(self._embed(one), "embedding")
+        self.embedding = self.keep(lambda: self._embed(one, "embedding"), "embedding")
         row = self.embedding.first()
         self.kmeans_k = self.config.kmeans_k or linalg.best_k(np.array(row.coords), self.n_populations)
         return self.embedding
@@ -120,15 +123,17 @@ class StabilityRun:
         c = self.config
         if c.analysis_mode is AnalysisMode.BOOTSTRAP:
             seeds = dict(enumerate(resample.replicate_seeds(c.seed, c.n_replicates)))
-            build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_snps, {i: seeds[i] for i in ids}))
+            build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_snps, {i: seeds[i] for i in ids}), batch_name(ids))
             batch, check = max(10, c.threads), c.bootstrap_convergence_check
         else:
             windows = resample.window_weights(self.spark, self.n_snps, c.n_replicates)
-            build = lambda ids: self._embed(windows)
+            build = lambda ids: self._embed(windows, batch_name(ids))
             batch, check = c.n_replicates, False
         e, p = run_batches(c.n_replicates, batch, build, lambda e, ids: compare.compare_pairs(e, self.kmeans_k, ids), self.keep, check, c.bootstrap_convergence_tolerance, c.seed)
         self.embeddings, self.pairs = e, p
-        self.support = self.keep(compare.support_values(p, e), f"support_{e.count()}")
+        self.support = self.keep(lambda: compare.support_values(p, e), f"support_{e.count()}")
+        done = [r.replicate_id for r in e.select("replicate_id").collect()]
+        self.batches = [ids for lo in range(0, c.n_replicates, batch) if (ids := range(lo, min(c.n_replicates, lo + batch)))[0] in done]
         return e, p
 
     def run(self) -> dict[str, float]:
@@ -150,6 +155,8 @@ class StabilityRun:
         projected = genotype.projected_samples(self.data.samples, self.populations)
         if self.populations is not None:
             self._csv(self.support.join(projected.select("sample_id"), "sample_id", "left_semi"), "wobble.supportValues.projected.csv")
+        if c.embedding_algorithm is EmbeddingAlgorithm.PCA:
+            self.outliers().toPandas().sort_values(["replicate_id", "round", "sample_id"], na_position="first").to_csv(c.path("wobble.outliers.csv"), index=False)
         s = compare.support_summary(self.support).first().asDict()
         out = {"stability": float(scores.stability.mean()), "cluster_stability": float(scores.cluster_stability.mean()), "n_replicates": self.embeddings.count(), **s}
         show = lambda k: "-" if out[k] is None or out[k] != out[k] else round(out[k], d)
@@ -161,6 +168,15 @@ class StabilityRun:
             self.write_replicates()
         return out
 
+    def outliers(self) -> DataFrame:
+        """(replicate_id, round, sample_id, axis, deviation) of samples removed as outliers; replicate_id is null for the data themselves."""
+        names = ["embedding", *map(batch_name, self.batches)]
+        tables = [self.spark.read.parquet(self.tables(f"{self.fingerprint}/{n}_removed")) for n in names]
+        out = tables[0].withColumn("replicate_id", F.lit(None).cast("int"))
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
     def _csv(self, support: DataFrame, name: str) -> None:
         pdf = support.select("sample_id", "PSV").toPandas().sort_values("sample_id")
         pdf.set_index("sample_id").rename_axis(None).to_csv(self.config.path(name))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,16 +29,20 @@ def converged(pairs: DataFrame, replicates: list[int], tolerance: float, seed: i
     return worst is not None and worst <= tolerance
 
 
-def run_batches(n: int, batch: int, embed: Callable[[list[int]], DataFrame], compare: Callable[[DataFrame, list[int]], DataFrame], keep: Callable[[DataFrame, str], DataFrame], check: bool = True, tolerance: float = 0.05, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def batch_name(ids: Sequence[int]) -> str:
+    return f"embeddings_{ids[0]}_{ids[-1]}"
+
+
+def run_batches(n: int, batch: int, embed: Callable[[list[int]], DataFrame], compare: Callable[[DataFrame, list[int]], DataFrame], keep: Callable[[Callable[[], DataFrame], str], DataFrame], check: bool = True, tolerance: float = 0.05, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(embeddings, pairs) of up to n replicates, batch by batch in order of their ids. After each batch but the last, stops if the replicates so far have converged. Only pairs with a new replicate are compared.
-    keep writes a table under a name, which tells the replicates that it holds, and reads it again, which cuts lineage between batches; a batch writes its own rows only."""
+    keep writes the table that a function makes under a name, which tells the replicates that it holds, and reads it again, which cuts lineage between batches; a batch writes its own rows only."""
     embedded = pairs = None
     done: list[int] = []
     for lo in range(0, n, batch):
         ids = list(range(lo, min(n, lo + batch)))
-        new = keep(embed(ids), f"embeddings_{ids[0]}_{ids[-1]}")
+        new = keep(partial(embed, ids), batch_name(ids))
         embedded = new if embedded is None else embedded.unionByName(new)
-        fresh = keep(compare(embedded, ids), f"pairs_{ids[0]}_{ids[-1]}")
+        fresh = keep(partial(compare, embedded, ids), f"pairs_{ids[0]}_{ids[-1]}")
         pairs = fresh if pairs is None else pairs.unionByName(fresh)
         done += ids
         if check and len(done) < n and len(done) >= 2 and converged(pairs, done, tolerance, seed):
