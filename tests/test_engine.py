@@ -1,6 +1,9 @@
 """The stability engine: formats, imputation, distances, resampling, embeddings, comparison, runs."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +16,7 @@ from wobble.operators import compare, distance, embed, genotype, pairs, resample
 from wobble.plans import plotdata
 from wobble.plans.run import StabilityRun
 from wobble.sources import genotypes as G
+from wobble.sources import packed
 from wobble.sources.lines import numbered_lines
 from wobble.sources.results import read_evec, read_fst
 from wobble.streaming.convergence import converged
@@ -103,6 +107,114 @@ def test_formats_round_trip(spark, prefix, tmp_path):
     assert cells(back.packed) == want and [r.sample_id for r in back.samples.orderBy("sample_idx").collect()] == [i[0] for i in IND]
 
 
+ROUTE = "EA EP EB EK AP AE PE BE KE AB AK PA BA KA PB PK BP KP BK KB"
+
+
+def test_every_conversion(spark, prefix, tmp_path):
+    """All twenty ordered pairs of formats, in one walk over them."""
+    kinds = dict(zip("EAPBK", (FileFormat.EIGENSTRAT, FileFormat.ANCESTRYMAP, FileFormat.PED, FileFormat.PACKEDANCESTRYMAP, FileFormat.PACKEDPED), strict=True))
+    g = G.read_genotypes(spark, prefix)
+    missing = g.packed.withColumn("g", F.transform("g", lambda v, i: F.when((F.col("snp_idx") == 2) & (i == 1), None).otherwise(v)))
+    want, pairs_left, at, here = cells(missing), {tuple(p) for p in ROUTE.split()}, "E", str(tmp_path / "0")
+    assert len(pairs_left) == 20
+    G.write_eigenstrat(G.Genotypes(missing, g.samples, g.snps), here)
+    trail = []
+    def walk(v):  # Hierholzer's circuit
+        while (nxt := [b for a, b in sorted(pairs_left) if a == v]):
+            pairs_left.discard((v, nxt[0]))
+            walk(nxt[0])
+        trail.append(v)
+    walk("E")
+    trail.reverse()
+    assert len(trail) == 21 and len(set(zip(trail, trail[1:], strict=False))) == 20
+    for k, (a, b) in enumerate(zip(trail, trail[1:], strict=False)):
+        here = G.convert(spark, here, kinds[a], str(tmp_path / f"c{k}"), kinds[b])
+        back = G.read_genotypes(spark, here, kinds[b])
+        assert cells(back.packed) == want, (a, b)
+    assert [(r.sample_id, r.sex, r.population) for r in back.samples.orderBy("sample_idx").collect()] == IND
+    assert [(r.snp_id, r.ref, r.alt) for r in back.snps.orderBy("snp_idx").collect()] == [(s.split()[0], *s.split()[-2:]) for s in SNP]
+
+
+def test_packed_files_by_ranges(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for layout, n in (("bed", 9), ("packed", 9), ("packed", 401)):
+        g = rng.choice([0.0, 1.0, 2.0, np.nan], (500, n))
+        rows = [(i, [None if v != v else float(v) for v in r]) for i, r in enumerate(g)]
+        df = spark.createDataFrame(rows, "snp_idx long, g array<double>").repartition(5)
+        path, head = str(tmp_path / f"{layout}{n}"), b"h" * packed.LAYOUTS[layout].head(n)
+        packed.write_packed(df, path, layout, n, 500, head)
+        assert cells(packed.read_packed(spark, path, layout, n)) == dict(rows)
+        part = spark.read.format("packed_genotypes").options(layout=layout, samples=n, first=3, last=490, range_bytes=900).load(path)
+        assert part.rdd.getNumPartitions() == -(-488 // max(1, 900 // packed.LAYOUTS[layout].width(n))) and cells(part) == dict(rows[3:491])
+        assert cells(packed._whole_file(spark, path, packed.LAYOUTS[layout], n)) == dict(rows)
+        # bad input leaves neither a file nor a part of one, and the old file stays
+        before = sorted(p.name for p in tmp_path.iterdir())
+        for bad in (df.where("snp_idx <> 7"), df.union(df.where("snp_idx = 7")), df.withColumn("snp_idx", F.col("snp_idx") + 1), df.withColumn("g", F.transform("g", lambda v: v + 1)), df.withColumn("g", F.slice("g", 1, n - 1))):
+            with pytest.raises(Exception, match="numbered|number|packed|calls"):
+                packed.write_packed(bad, path, layout, n, 500, head)
+            assert sorted(p.name for p in tmp_path.iterdir()) == before
+        assert cells(packed.read_packed(spark, path, layout, n)) == dict(rows)
+    packed.write_packed(df.where("1 = 0"), str(tmp_path / "none"), "bed", 4, 0, b"\x6c\x1b\x01")
+    assert (tmp_path / "none").read_bytes() == b"\x6c\x1b\x01" and packed.read_packed(spark, str(tmp_path / "none"), "bed", 4).count() == 0
+    with pytest.raises(Exception, match="whole records"):
+        packed.read_packed(spark, str(tmp_path / "bed9"), "bed", 28).count()
+
+
+def test_large_packed_file(spark, tmp_path):
+    """A sparse file of 3 GB: many ranges, and its last records without the others."""
+    n, m = 400_000, 30_000
+    width = n // 4
+    with open(tmp_path / "large.bed", "wb") as f:
+        f.write(b"\x6c\x1b\x01")
+        f.seek(3 + width * m - 1)
+        f.write(b"\xff")
+    df = packed.read_packed(spark, str(tmp_path / "large.bed"), "bed", n)
+    assert df.rdd.getNumPartitions() == -(-m // (packed.RANGE_BYTES // width))
+    last = packed.read_packed(spark, str(tmp_path / "large.bed"), "bed", n, first=m - 2).select("snp_idx", F.size("g").alias("n"), F.element_at("g", 1).alias("a"), F.element_at("g", -1).alias("z"))
+    assert sorted(map(tuple, last.collect())) == [(m - 2, n, 2.0, 2.0), (m - 1, n, 2.0, 0.0)]
+
+
+def test_a_failed_task_writes_again(tmp_path):
+    """In a session that retries tasks: the first attempt of each task fails after it has written some records."""
+    script = f"""
+import sys
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+from wobble.sources import packed
+spark = SparkSession.builder.master("local[2,3]").config("spark.ui.enabled", "false").getOrCreate()
+def fail(batches):
+    for k, b in enumerate(batches):
+        if k and not TaskContext.get().attemptNumber():
+            raise RuntimeError("lost")
+        yield b
+spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+rows = spark.range(200).selectExpr("id as snp_idx", "array(id % 3, null, 2) as g").selectExpr("snp_idx", "cast(g as array<double>) as g")
+spark.dataSource.register(packed.PackedGenotypes)
+broken = rows.repartitionByRange(2, "snp_idx").mapInPandas(fail, rows.schema)
+broken.write.format("packed_genotypes").options(layout="bed", samples=3, snps=200, header="6c1b01").mode("overwrite").save({str(tmp_path / "x")!r})
+got = packed.read_packed(spark, {str(tmp_path / "x")!r}, "bed", 3).orderBy("snp_idx").collect()
+assert [(r.snp_idx, r.g) for r in got] == [(i, [float(i % 3), None, 2.0]) for i in range(200)]
+"""
+    done = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, timeout=200, cwd=Path(__file__).parents[1])
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert [p.name for p in tmp_path.iterdir()] == ["x"]
+
+
+def test_checksum_of_ids(spark):
+    def by_hand(names):
+        out = 0
+        for s in names:
+            own = 0
+            for c in s:
+                own = (own * 23 + ord(c)) & 0xFFFFFFFF
+            out = (out * 17 & 0xFFFFFFFF) ^ own
+        return out
+
+    names = [f"rs{i * 7919}" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(names)), "i long, s string").repartition(4)
+    assert G.ids_hash(df, "i", "s") == by_hand(names) and G.ids_hash(df.limit(0), "i", "s") == 0
+
+
 def test_imputation(spark):
     nan = np.nan
     m = np.array([[nan, 1, 1], [2, nan, 2], [3, 3, 3]])

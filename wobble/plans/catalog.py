@@ -7,6 +7,7 @@ its dosages are return flags, missing where an order has fewer lines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,9 @@ from pyspark.sql.window import Window
 
 from wobble.functions import linalg
 from wobble.operators import compare, distance, embed, genotype, resample
-from wobble.shared import written
+from wobble.shared import shared_folder, written
+from wobble.sources import genotypes as G
+from wobble.types import FileFormat
 
 SNPS = 200
 #: Lines of an order at most, and pairs of an embedding's numbers.
@@ -173,6 +176,38 @@ def dedup_snp_ids(spark: SparkSession, d: str) -> DataFrame:
     return genotype.deduplicate_snp_ids(draws).select("replicate_id", "draw_pos", "dedup_id")
 
 
+def _round_trip(spark: SparkSession, d: str, fmt: FileFormat) -> DataFrame:
+    """The genotypes written as files of a format and read back."""
+    s = samples(spark, d).select(F.col("sample_idx").cast("int").alias("sample_idx"), F.col("sample_id").cast("string").alias("sample_id"), F.lit("U").alias("sex"), F.col("population").cast("string").alias("population"))
+    n = F.col("id")
+    snps = spark.range(SNPS).select(n.alias("snp_idx"), F.concat(F.lit("p"), n).alias("snp_id"), F.lit("1").alias("chrom"), (n / 1000).alias("gpos"), (n * 100).alias("ppos"), F.lit("A").alias("ref"), F.lit("C").alias("alt"))
+    prefix = f"{shared_folder(spark)}/genotypes-{uuid.uuid4().hex}"
+    G.WRITERS[fmt](G.Genotypes(written(packed(spark, d)), s, snps), prefix)
+    back = G.read_genotypes(spark, prefix, fmt)
+    cells = genotype.to_long(back.packed).join(back.samples, "sample_idx").join(back.snps, "snp_idx")
+    return cells.select("sample_id", "population", "snp_id", F.coalesce("dosage", F.lit(9.0)).cast("int").alias("dosage"))
+
+
+def files_eigenstrat(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, FileFormat.EIGENSTRAT)
+
+
+def files_ancestrymap(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, FileFormat.ANCESTRYMAP)
+
+
+def files_packedancestrymap(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, FileFormat.PACKEDANCESTRYMAP)
+
+
+def files_ped(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, FileFormat.PED)
+
+
+def files_packedped(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, FileFormat.PACKEDPED)
+
+
 def projected_samples(spark: SparkSession, d: str) -> DataFrame:
     pops = table(spark, d, "region").where("r_regionkey < 3").select(F.col("r_regionkey").alias("population"))
     return genotype.projected_samples(samples(spark, d), pops).select("sample_id", "population")
@@ -329,7 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson,
-        windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
+        windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, files_eigenstrat, files_ancestrymap, files_packedancestrymap, files_ped, files_packedped, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
         replicate_scores, embedding_norms, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels,
     )
 }
@@ -378,6 +413,7 @@ ORACLE_SQL: dict[str, str] = {
     "bootstrap_weights": f"with {_DRAWS} select replicate_id, snp_idx, count(*) as w from d group by 1, 2",
     "bootstrap_snp_means": f"with {_LONG}, {_DRAWS} select replicate_id, round(avg(dosage), 6) as mean_dosage from d join g using (snp_idx) where dosage is not null group by 1",
     "dedup_snp_ids": f"with {_DRAWS}, k as (select *, row_number() over (partition by replicate_id, snp_idx order by draw_pos) - 1 as k from d) select replicate_id, draw_pos, 'rs' || snp_idx || case when k > 0 then '_r' || k else '' end as dedup_id from k",
+    **dict.fromkeys(("files_eigenstrat", "files_ancestrymap", "files_packedancestrymap", "files_ped", "files_packedped"), f"with {_LONG} select sample_id::varchar as sample_id, population::varchar as population, 'p' || snp_idx as snp_id, coalesce(dosage, 9)::int as dosage from g"),
     "projected_samples": f"with {_LONG} select sample_id, population from s where population not in (select r_regionkey from region where r_regionkey < 3)",
     "ignore_filter": f"with {_LONG} select sample_id, population::varchar as population from s where population <> 2",
     "pad_missing": "select s_suppkey as sample_id, case when s_acctbal >= 0 then s_nationkey::varchar else '_dummy' end as population, case when s_acctbal >= 0 then s_acctbal::double else 0 end as d0, case when s_acctbal >= 0 then s_nationkey::double else 0 end as d1 from supplier",

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import NamedTuple
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from wobble.errors import ConfigError
 from wobble.types import FileFormat
 
 from .lines import numbered_lines, write_lines
+from .packed import LAYOUTS, read_packed, write_packed
 
 SUFFIXES = {FileFormat.EIGENSTRAT: ("geno", "snp", "ind"), FileFormat.ANCESTRYMAP: ("geno", "snp", "ind"), FileFormat.PACKEDANCESTRYMAP: ("geno", "snp", "ind"), FileFormat.PED: ("ped", "map", "fam"), FileFormat.PACKEDPED: ("bed", "bim", "fam")}
 
@@ -125,33 +124,6 @@ def _read_ped(spark: SparkSession, paths: tuple[str, str, str]) -> Genotypes:
     return Genotypes(g, samples, snps)
 
 
-def _binary_rows(spark: SparkSession, path: str, header: int, width: int, n: int, decode) -> DataFrame:
-    """Records of a binary file after its header. The file's bytes come as one value, so a file is at most 2 GB."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for content in pdf["content"]:
-                raw = np.frombuffer(content, np.uint8)[header:].reshape(-1, width)
-                for lo in range(0, len(raw), 4096):
-                    g = decode(raw[lo : lo + 4096], n)
-                    yield pd.DataFrame({"snp_idx": np.arange(lo, lo + len(g)), "g": [[None if v != v else float(v) for v in r] for r in g]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "snp_idx long, g array<double>")
-
-
-def _bits(raw: np.ndarray, low_first: bool) -> np.ndarray:
-    shifts = np.array([0, 2, 4, 6] if low_first else [6, 4, 2, 0], np.uint8)
-    return ((raw[:, :, None] >> shifts) & 3).reshape(len(raw), -1)
-
-
-def _decode_bed(raw: np.ndarray, n: int) -> np.ndarray:
-    return np.array([2.0, np.nan, 1.0, 0.0])[_bits(raw, True)[:, :n]]
-
-
-def _decode_packed(raw: np.ndarray, n: int) -> np.ndarray:
-    return np.array([0.0, 1.0, 2.0, np.nan])[_bits(raw, False)[:, :n]]
-
-
 def read_genotypes(spark: SparkSession, prefix: str, fmt: FileFormat = FileFormat.EIGENSTRAT) -> Genotypes:
     paths = filenames(prefix, fmt)
     if fmt is FileFormat.EIGENSTRAT:
@@ -161,12 +133,11 @@ def read_genotypes(spark: SparkSession, prefix: str, fmt: FileFormat = FileForma
     if fmt is FileFormat.PACKEDPED:
         samples = _read_fam(spark, paths[2])
         n = samples.count()
-        return Genotypes(_binary_rows(spark, paths[0], 3, -(-n // 4), n, _decode_bed), samples, _read_map(spark, paths[1]))
+        return Genotypes(read_packed(spark, paths[0], "bed", n), samples, _read_map(spark, paths[1]))
     samples, snps = read_ind(spark, paths[2]), read_snp(spark, paths[1]).drop("n_fields")
     n = samples.count()
     if fmt is FileFormat.PACKEDANCESTRYMAP:
-        width = max(48, -(-n // 4))
-        return Genotypes(_binary_rows(spark, paths[0], width, width, n, _decode_packed), samples, snps)
+        return Genotypes(read_packed(spark, paths[0], "packed", n), samples, snps)
     f = _fields(F.col("value"))
     calls = spark.read.text(paths[0]).select(f[0].alias("snp_id"), f[1].alias("sample_id"), F.when(f[2] != "9", f[2].cast("double")).alias("d")).where("snp_id is not null and snp_id <> ''")
     long = calls.join(samples.select("sample_id", "sample_idx"), "sample_id").join(snps.select("snp_id", "snp_idx"), "snp_id")
@@ -177,9 +148,14 @@ def read_genotypes(spark: SparkSession, prefix: str, fmt: FileFormat = FileForma
 
 def write_eigenstrat(data: Genotypes, prefix: str) -> None:
     """An EIGENSTRAT triple; each of its three names is a folder of part files, as Spark writes them. read_genotypes reads it back."""
-    geno, snp, ind = filenames(prefix, FileFormat.EIGENSTRAT)
+    geno, _, _ = filenames(prefix, FileFormat.EIGENSTRAT)
     digit = F.array_join(F.transform("g", lambda v: F.coalesce(v.cast("int").cast("string"), F.lit("9"))), "")
     write_lines(data.packed.select(F.col("snp_idx").alias("idx"), digit.alias("value")), geno)
+    _write_snp_ind(data, prefix)
+
+
+def _write_snp_ind(data: Genotypes, prefix: str) -> None:
+    _, snp, ind = filenames(prefix, FileFormat.EIGENSTRAT)
     text = lambda *c: F.concat_ws(" ", *[F.col(x).cast("string") for x in c])
     write_lines(data.snps.select(F.col("snp_idx").alias("idx"), text("snp_id", "chrom", "gpos", "ppos", "ref", "alt").alias("value")), snp)
     write_lines(data.samples.select(F.col("sample_idx").alias("idx"), text("sample_id", "sex", "population").alias("value")), ind)
@@ -192,24 +168,61 @@ def write_ped(data: Genotypes, prefix: str) -> None:
     r, a = F.coalesce("ref", F.lit("1")), F.coalesce("alt", F.lit("2"))
     call = F.when(F.col("d") == 2, F.concat_ws(" ", r, r)).when(F.col("d") == 1, F.concat_ws(" ", r, a)).when(F.col("d") == 0, F.concat_ws(" ", a, a)).otherwise("0 0")
     rows = long.groupBy("sample_idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("snp_idx", call.alias("c")))), lambda x: x["c"]), " ").alias("calls"))
-    sex = F.when(F.col("sex") == "M", "1").when(F.col("sex") == "F", "2").otherwise("0")
-    head = data.samples.select("sample_idx", F.concat_ws(" ", F.col("sample_idx").cast("string"), "sample_id", F.lit("0 0"), sex, F.regexp_replace("population", " ", "_")).alias("head"))
+    head = _fam(data.samples)
     write_lines(head.join(rows, "sample_idx").select(F.col("sample_idx").alias("idx"), F.concat_ws(" ", "head", "calls").alias("value")), ped)
     write_lines(head.select(F.col("sample_idx").alias("idx"), F.col("head").alias("value")), fam)
     write_lines(data.snps.select(F.col("snp_idx").alias("idx"), F.concat_ws(" ", "chrom", "snp_id", F.col("gpos").cast("string"), F.col("ppos").cast("string"), "ref", "alt").alias("value")), map_)
 
 
+def _fam(samples: DataFrame) -> DataFrame:
+    """(sample_idx, head): a sample's first six fields, its place as family and its population as phenotype."""
+    sex = F.when(F.col("sex") == "M", "1").when(F.col("sex") == "F", "2").otherwise("0")
+    return samples.select("sample_idx", F.concat_ws(" ", F.col("sample_idx").cast("string"), "sample_id", F.lit("0 0"), sex, F.regexp_replace("population", " ", "_")).alias("head"))
+
+
 def write_ancestrymap(data: Genotypes, prefix: str) -> None:
     """A line of SNP, sample and dosage for each present call."""
-    geno, snp, ind = filenames(prefix, FileFormat.ANCESTRYMAP)
-    write_eigenstrat(data, prefix)
+    geno, _, _ = filenames(prefix, FileFormat.ANCESTRYMAP)
+    _write_snp_ind(data, prefix)
     calls = data.packed.select("snp_idx", F.posexplode("g").alias("sample_idx", "d")).join(data.snps.select("snp_idx", "snp_id"), "snp_idx").join(data.samples.select("sample_idx", "sample_id"), "sample_idx")
     line = F.concat_ws(" ", "snp_id", "sample_id", F.coalesce(F.col("d").cast("int").cast("string"), F.lit("9")))
     write_lines(calls.select(F.struct("snp_idx", "sample_idx").alias("idx"), line.alias("value")), geno)
 
 
-def convert(spark: SparkSession, prefix: str, fmt: FileFormat, out_prefix: str) -> str:
-    """Any format to EIGENSTRAT, under out_prefix."""
+def ids_hash(ids: DataFrame, order: str, name: str) -> int:
+    """The checksum of ids in order that packed files carry: 32 bits, each id's own by Horner's rule in 23, folded in by 17 and exclusive or. Folding is sequential, so the driver runs through one number for each id."""
+    own = F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda h, c: (h * 23 + F.ascii(c)) % (1 << 32))
+    out = 0
+    for r in ids.select(order, own.alias("h")).orderBy(order).toLocalIterator(prefetchPartitions=True):
+        out = (out * 17 % (1 << 32)) ^ r.h
+    return out
+
+
+def write_packed_ancestrymap(data: Genotypes, prefix: str) -> None:
+    """A packed .geno file with the usual header, and .snp and .ind as in an EIGENSTRAT triple."""
+    geno, _, _ = filenames(prefix, FileFormat.PACKEDANCESTRYMAP)
+    n, m = data.samples.count(), data.snps.count()
+    head = f"GENO {n:7d} {m:7d} {ids_hash(data.samples, 'sample_idx', 'sample_id'):x} {ids_hash(data.snps, 'snp_idx', 'snp_id'):x}".encode()
+    _write_snp_ind(data, prefix)
+    write_packed(data.packed, geno, "packed", n, m, head.ljust(LAYOUTS["packed"].head(n), b"\0"))
+
+
+def write_packed_ped(data: Genotypes, prefix: str) -> None:
+    """bed (by SNP), bim and fam. Alleles that the SNPs don't name are 1 and 2."""
+    bed, bim, fam = filenames(prefix, FileFormat.PACKEDPED)
+    write_lines(_fam(data.samples).select(F.col("sample_idx").alias("idx"), F.col("head").alias("value")), fam)
+    line = F.concat_ws(" ", "chrom", "snp_id", F.col("gpos").cast("string"), F.col("ppos").cast("string"), F.coalesce("ref", F.lit("1")), F.coalesce("alt", F.lit("2")))
+    write_lines(data.snps.select(F.col("snp_idx").alias("idx"), line.alias("value")), bim)
+    write_packed(data.packed, bed, "bed", data.samples.count(), data.snps.count(), b"\x6c\x1b\x01")
+
+
+WRITERS: dict[FileFormat, Callable[[Genotypes, str], None]] = {
+    FileFormat.EIGENSTRAT: write_eigenstrat, FileFormat.ANCESTRYMAP: write_ancestrymap, FileFormat.PACKEDANCESTRYMAP: write_packed_ancestrymap, FileFormat.PED: write_ped, FileFormat.PACKEDPED: write_packed_ped,
+}
+
+
+def convert(spark: SparkSession, prefix: str, fmt: FileFormat, out_prefix: str, to: FileFormat = FileFormat.EIGENSTRAT) -> str:
+    """Any format to any other, under out_prefix."""
     data = read_genotypes(spark, prefix, fmt)
-    write_eigenstrat(Genotypes(data.packed, clean_ids(data.samples), data.snps), out_prefix)
+    WRITERS[to](Genotypes(data.packed, clean_ids(data.samples), data.snps), out_prefix)
     return out_prefix
