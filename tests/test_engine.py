@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wobble.config import RunConfig, load_config
 from wobble.errors import ConfigError, WobbleError
 from wobble.functions import linalg
-from wobble.operators import compare, distance, embed, genotype, pairs, resample
+from wobble.operators import cluster, compare, distance, embed, genotype, pairs, resample
 from wobble.plans import plotdata
 from wobble.plans.run import StabilityRun
 from wobble.sources import genotypes as G
@@ -355,6 +355,108 @@ def test_outliers_leave_round_by_round(spark):
         embed.pca_without_outliers(packed, weights, samples, k, embed.OutlierRule(3, 4, 0.01))
 
 
+def test_subspace_is_that_of_the_dense_problem(spark):
+    rng = np.random.default_rng(4)
+    n, m, k = 70, 240, 4
+    g = rng.integers(0, 3, (m, n)).astype(float)
+    g[:, :20] = np.where(rng.random((m, 20)) < 0.5, 2, g[:, :20])
+    g[:100, 20:35] = 0
+    g[rng.random((m, n)) < 0.03] = np.nan
+    g[:40, 66] = 2
+    packed_ = spark.createDataFrame([(i, [None if v != v else float(v) for v in r]) for i, r in enumerate(g)], "snp_idx long, g array<double>").repartition(3)
+    weights = spark.createDataFrame([(r, i, float(w)) for r in range(3) for i, w in enumerate(rng.integers(0, 4, m)) if w], "replicate_id int, snp_idx long, w double")
+    samples = [(f"s{i:02d}", "x") for i in range(n)]
+    for flavour in ("genotype", "matrix"):
+        for fit, gone, rule in ((None, None, None), (list(range(5, 60)), {1: [7, 66], 2: [0]}, embed.OutlierRule(1, 3, 2.5))):
+            args = (packed_, weights, samples, k, flavour, fit, gone, rule)
+            a, b = ({r.replicate_id: r for r in embed.embed_replicates(*args, dense=d).collect()} for d in (n, n - 1))
+            assert sorted(a) == sorted(b) == [0, 1, 2]
+            for r in a:
+                x, y = np.array(a[r].coords), np.array(b[r].coords)
+                assert a[r].sample_ids == b[r].sample_ids and np.allclose(a[r].explained, b[r].explained, atol=1e-9)
+                assert np.abs(x - y).max() < 1e-6 * np.abs(x).max()
+                q, p = np.linalg.qr(x)[0], np.linalg.qr(y)[0]
+                assert np.linalg.norm(q - p @ (p.T @ q), 2) < 1e-6  # sine of the largest angle
+                if rule:
+                    assert [(z.sample, z.axis) for z in a[r].removed] == [(z.sample, z.axis) for z in b[r].removed]
+    flat = spark.createDataFrame([(0, [1.0] * 30), (1, [0.0, 2.0] * 15)], "snp_idx long, g array<double>")  # of rank one
+    one = embed.embed_subspace(flat, spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0)], "replicate_id int, snp_idx long, w double"), samples[:30], 2, "matrix").first()
+    assert np.allclose(one.explained, [1, 0]) and np.allclose(np.abs(np.array(one.coords)[:, 0]), 1)
+
+
+def test_tiles_are_the_whole(spark):
+    rng = np.random.default_rng(6)
+    n, m = 23, 57
+    g = rng.choice([0.0, 1.0, 2.0, np.nan], (m, n), p=[0.4, 0.3, 0.2, 0.1])
+    packed_ = spark.createDataFrame([(i, [None if v != v else float(v) for v in r]) for i, r in enumerate(g)], "snp_idx long, g array<double>").repartition(4)
+    w = rng.integers(0, 3, (2, m))
+    weights = spark.createDataFrame([(r, i, float(w[r, i])) for r in range(2) for i in range(m) if w[r, i]], "replicate_id int, snp_idx long, w double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 13)  # so that batches end between a feature's sides
+    try:
+        kernels = {"a": distance.absolute, "b": distance.both_present}
+        for tile, by in ((5, weights), (22, weights), (8, None)):
+            got = {(r.replicate_id, r.name, r.i, r.j): r.d for r in pairs.pair_sums(packed_, n, kernels, by, tile=tile).transform(lambda m: pairs_with_names(m)).collect()}
+            assert len(got) == (2 if by is not None else 1) * 2 * n * (n - 1) // 2
+            for (r, name, i, j), d in got.items():
+                v = np.ones(m) if by is None else w[r]
+                both = ~np.isnan(g[:, i]) & ~np.isnan(g[:, j])
+                assert d == pytest.approx((v * both).sum() if name == "b" else (v * np.nan_to_num(np.abs(g[:, i] - g[:, j]))).sum())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def pairs_with_names(rows):
+    return rows.select("replicate_id", "name", "i", "j0", F.posexplode("row").alias("j", "d")).select("replicate_id", "name", "i", (F.col("j") + F.col("j0")).alias("j"), "d").where("i < j")
+
+
+def test_mds_of_replicates_is_that_of_the_resampled_matrix(spark):
+    rng = np.random.default_rng(8)
+    m, n = 40, 9
+    g = rng.integers(0, 3, (m, n)).astype(float)
+    packed_ = genotype.matrix_to_packed(spark, g.T)
+    samples = spark.createDataFrame([(i, f"s{i}", f"p{i % 3}") for i in range(n)], "sample_idx int, sample_id string, population string")
+    seeds = {0: 5, 3: 8}
+    weights = resample.bootstrap_weights(spark, m, seeds)
+
+    def user(x, populations, imputation):
+        return np.abs(x[:, None] - x[None]).sum(2) + np.abs(x.sum(1)[:, None] - x.sum(1)[None]), populations
+
+    for metric in ("fst", "euclidean_population", "manhattan", "missing_corrected_hamming", user):
+        how = None if metric == "fst" else "mean"
+        got = {r.replicate_id: r for r in embed.mds(packed_, samples, 2, metric, how, weights, by_population=False if callable(metric) else None).collect()}
+        assert sorted(got) == [0, 3]
+        for r, seed in seeds.items():
+            drawn = genotype.matrix_to_packed(spark, g[random.Random(seed).choices(range(m), k=m)].T)
+            alone = embed.mds(drawn, samples, 2, metric, how, by_population=False if callable(metric) else None).first()
+            assert got[r].sample_ids == alone.sample_ids and np.allclose(got[r].explained, alone.explained) and np.allclose(np.abs(got[r].coords), np.abs(alone.coords), atol=1e-6)
+
+
+def test_number_of_clusters_by_cross_validation(spark):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(c, 0.3, (14, 2)) for c in ((0, 0), (4, 0), (0, 5), (6, 6))])[rng.permutation(56)]
+    e = spark.createDataFrame([(r, [f"{i:02d}" for i in range(56)], x.tolist() if r == 0 else (x[:, :1] * 0 + rng.normal(0, 1, (56, 2))).tolist()) for r in range(2)], "replicate_id int, sample_ids array<string>, coords array<array<double>>")
+    rows = cluster.held_out_criteria(e, [2, 3, 4, 5, 6]).collect()
+    assert len(rows) == 2 * 5 * 5
+    sizes = [12, 11, 11, 11, 11]
+    means = {}
+    for k in range(2, 7):  # five folds by hand
+        at, found = 0, []
+        for size in sizes:
+            held = list(range(at, at + size))
+            fit = linalg.Mixture(np.delete(x, held, 0), k)
+            dens = sum(fit.weight[j] * np.exp(-0.5 * (np.linalg.solve(c := fit.chol[j] @ fit.chol[j].T, (x[held] - fit.mean[j]).T) * (x[held] - fit.mean[j]).T).sum(0)) / np.sqrt(np.linalg.det(2 * np.pi * c)) for j in range(k))
+            found.append(-2 * np.log(dens).sum() + (k - 1 + 2 * k + 3 * k) * np.log(size))
+            at += size
+        means[k] = np.mean(found)
+        assert np.mean([r.bic for r in rows if r.replicate_id == 0 and r.k == k]) == pytest.approx(means[k])
+    best = {r.replicate_id: r.k for r in cluster.best_k(e, 1, (2, 6)).collect()}
+    assert best[0] == min(means, key=means.get) == 4 and 2 <= best[1] <= 6
+    assert linalg.cluster_numbers(56, 1) == [3, 4, 5, 6, 7] and linalg.cluster_numbers(56, 2) == [2] and linalg.held_out_bic(x[:4], 4, 0) == float("inf")
+    with pytest.raises(WobbleError):
+        linalg.cluster_numbers(10, 3, (5, 4))
+
+
 def test_weighted_gram_is_that_of_the_resampled_matrix(spark):
     rng = np.random.default_rng(3)
     m = rng.integers(0, 3, (6, 25)).astype(float)
@@ -440,11 +542,12 @@ def test_clustering(spark):
     own = np.repeat([0, 1, 2], 30)
     labels = linalg.kmeans(x, 3)
     assert linalg.fowlkes_mallows(own, labels) == pytest.approx(1)
-    assert linalg.best_k(x, 5) == 3
+    one = lambda v: spark.createDataFrame([(0, v.tolist())], "replicate_id int, coords array<array<double>>")
+    mixed = x[rng.permutation(90)]
+    assert cluster.best_k(one(mixed), 5).first().k == 3 and cluster.best_k(one(mixed), 2, (2, 2)).first().k == 2
     df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(own, rng.integers(0, 2, 90), strict=True)], "a int, b int")
     pdf = df.toPandas()
     assert compare.fowlkes_mallows(df).first().fmi == pytest.approx(linalg.fowlkes_mallows(pdf.a.to_numpy(), pdf.b.to_numpy()))
-    assert linalg.best_k(x[:10], 1) in (1, 2, 3) and linalg.best_k(x, 2, (2, 2)) == 2
     with pytest.raises(WobbleError):
         linalg.kmeans(x, 91)
 

@@ -106,36 +106,64 @@ def fowlkes_mallows(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt(t / p) * np.sqrt(t / q)) if t > 0 else 0.0
 
 
-def gaussian_mixture_bic(x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, floor: float = 1e-6) -> float:
-    """Bayesian information criterion of a full-covariance Gaussian mixture fitted by expectation maximisation."""
-    n, d = x.shape
-    own = np.eye(k)[kmeans(x, k, seed, 1)]
-    last = -np.inf
-    for _ in range(rounds):
-        weight = own.sum(0) + 1e-10
-        mean = own.T @ x / weight[:, None]
-        logs = np.empty((n, k))
-        for j in range(k):
-            y = x - mean[j]
-            cov = (own[:, j, None] * y).T @ y / weight[j] + floor * np.eye(d)
-            chol = np.linalg.cholesky(cov)
-            z = np.linalg.solve(chol, y.T)
-            logs[:, j] = np.log(weight[j] / n) - 0.5 * (d * np.log(2 * np.pi) + (z**2).sum(0)) - np.log(np.diag(chol)).sum()
-        top = logs.max(1, keepdims=True)
-        each = top[:, 0] + np.log(np.exp(logs - top).sum(1))
-        own = np.exp(logs - each[:, None])
-        total = each.sum()
-        if abs(total - last) < 1e-3 * n:
-            break
-        last = total
-    return float(-2 * total + ((k - 1) + k * d + k * d * (d + 1) / 2) * np.log(n))
-
-
-def best_k(x: np.ndarray, n_populations: int, bounds: tuple[int, int] | None = None, seed: int = 42) -> int:
-    """The number of clusters with the least criterion, bounds included. By default from 3 (or fewer, if there are fewer) to the number of populations, or to the root of the number of samples if there is but one."""
-    top = n_populations if n_populations > 1 else int(np.sqrt(len(x)))
+class Mixture:
+    """A full-covariance Gaussian mixture, fitted by expectation maximisation from a k-means labelling."""
+
+    def __init__(self, x: np.ndarray, k: int, seed: int = 42, rounds: int = 100, floor: float = 1e-6):
+        self.k, self.d = k, x.shape[1]
+        own = np.eye(k)[kmeans(x, k, seed, 1)]
+        last = -np.inf
+        for _ in range(rounds):
+            size = own.sum(0) + 1e-10
+            self.weight, self.mean = size / len(x), own.T @ x / size[:, None]
+            self.chol = []
+            for j in range(k):
+                y = x - self.mean[j]
+                self.chol.append(np.linalg.cholesky((own[:, j, None] * y).T @ y / size[j] + floor * np.eye(self.d)))
+            logs = self.logs(x)
+            each = np.logaddexp.reduce(logs, axis=1)
+            own = np.exp(logs - each[:, None])
+            if abs(each.mean() - last) < 1e-3:
+                break
+            last = each.mean()
+
+    def logs(self, x: np.ndarray) -> np.ndarray:
+        """Logarithms of each component's weighted density at each row."""
+        out = np.empty((len(x), self.k))
+        for j in range(self.k):
+            z = np.linalg.solve(self.chol[j], (x - self.mean[j]).T)
+            out[:, j] = np.log(self.weight[j]) - 0.5 * (self.d * np.log(2 * np.pi) + (z**2).sum(0)) - np.log(np.diag(self.chol[j])).sum()
+        return out
+
+    def bic(self, x: np.ndarray) -> float:
+        """Bayesian information criterion of rows, which needn't be those of the fit."""
+        free = (self.k - 1) + self.k * self.d + self.k * self.d * (self.d + 1) / 2
+        return float(-2 * np.logaddexp.reduce(self.logs(x), axis=1).sum() + free * np.log(len(x)))
+
+
+def fold(n: int, folds: int, which: int) -> np.ndarray:
+    """Which of n rows a fold holds out: neighbours, and one more in each of the first n % folds."""
+    sizes = np.full(folds, n // folds)
+    sizes[: n % folds] += 1
+    at = sizes[:which].sum()
+    return (np.arange(n) >= at) & (np.arange(n) < at + sizes[which])
+
+
+def held_out_bic(x: np.ndarray, k: int, which: int, folds: int = 5, seed: int = 42) -> float:
+    """Criterion of the rows that a fold holds out, under a mixture fitted to the others; infinite if these are fewer than k."""
+    out = fold(len(x), folds, which)
+    if not out.any() or (~out).sum() < max(k, 2):
+        return float("inf")
+    return Mixture(x[~out], k, seed).bic(x[out])
+
+
+def cluster_numbers(n: int, n_populations: int, bounds: tuple[int, int] | None = None) -> list[int]:
+    """Numbers of clusters to try for n rows, both bounds included. By default from 3 (or fewer, if there are fewer) to the number of populations, or to the root of the number of samples if there is but one.
+
+    The upper bound is tried as well: without it, no number would be left for two or three populations."""
+    top = n_populations if n_populations > 1 else int(np.sqrt(n))
     lo, hi = bounds if bounds else (min(3, top), top)
-    ks = [k for k in range(max(1, lo), min(hi, len(x)) + 1)]
+    ks = list(range(max(1, lo), min(hi, n) + 1))
     if not ks:
         raise WobbleError("No number of clusters is left to try.")
-    return min(ks, key=lambda k: (gaussian_mixture_bic(x, k, seed), k))
+    return ks

@@ -1,4 +1,4 @@
-"""Sums over features of sample-by-sample matrices: partial sums per task, then one row of the matrix per group."""
+"""Sums over features of sample-by-sample matrices, for replicates that weigh features: partial sums per task, then one row of the matrix per group; in tiles where the matrix is too large for a task."""
 
 from __future__ import annotations
 
@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 #: Features are stacked to blocks of at most so many cells before a kernel sees them.
 BLOCK_CELLS = 1 << 21
+#: Samples on a side of a tile. Up to so many, a task adds whole matrices up.
+TILE = 2048
+#: Matrices that a task adds up before it emits them.
+HELD_BYTES = 256 << 20
+
+#: (features x samples, features x other samples, weights of features) -> samples x other samples; NaN is missing.
+Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def blocks(batches: Iterator[pd.DataFrame], n: int) -> Iterator[tuple[np.ndarray, pd.DataFrame]]:
@@ -38,26 +45,114 @@ def summed(rows: DataFrame, keys: list[str], together: int = 64) -> DataFrame:
     return rows.groupBy(*outer, F.floor(F.col(i) / together).alias("_block")).applyInPandas(add, f"{schema}, row array<double>")
 
 
-def pair_sums(packed: DataFrame, n: int, kernels: dict[str, Callable[[np.ndarray], np.ndarray]], partials: int | None = None) -> DataFrame:
-    """(name, i, row) of each kernel's n x n matrix, summed over all features.
+def replicate_lists(weights: DataFrame) -> DataFrame:
+    """(snp_idx, rs, ws): the replicates that have a feature, and its weights there."""
+    return weights.groupBy("snp_idx").agg(F.collect_list("replicate_id").alias("rs"), F.collect_list("w").alias("ws"))
+
+
+def by_replicate(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(replicate, places of its features in part, their weights)."""
+    row = np.repeat(np.arange(len(part)), [len(r) for r in part["rs"]])
+    rep = np.concatenate([np.asarray(r) for r in part["rs"]])
+    w = np.concatenate([np.asarray(x, float) for x in part["ws"]])
+    for r in np.unique(rep).tolist():
+        of = rep == r
+        yield r, row[of], w[of]
+
+
+ROWS = "replicate_id int, name string, j0 int, i int, row array<double>"
 
-    A task adds its features up before it emits n rows per kernel, so what is shuffled grows with tasks times n squared, not
-    with features. partials: at most so many tasks (default: the session's parallelism times four).
+
+def pair_sums(packed: DataFrame, n: int, kernels: dict[str, Kernel], weights: DataFrame | None = None, partials: int | None = None, tile: int | None = None) -> DataFrame:
+    """ROWS: row i of each kernel's n x n matrix from column j0 on, summed over the features that a replicate has, by weight. weights: replicate_id, snp_idx, w; without them, replicate 0 has each feature once.
+
+    Up to TILE samples, rows are whole: a task adds its features up before it emits n rows per kernel and replicate, so what is shuffled grows with tasks times n squared, not
+    with features. partials: at most so many tasks (default: the session's parallelism times four). Beyond, see tiled_sums: rows are parts, on and above the diagonal.
     """
+    tile = tile or TILE
     most = partials or 4 * packed.sparkSession.sparkContext.defaultParallelism
+    if n > tile:
+        return tiled_sums(packed, n, kernels, weights, tile, most)
+    rows = packed.select("snp_idx", "g")
+    rows = rows.join(replicate_lists(weights), "snp_idx") if weights is not None else rows.withColumns({"rs": F.array(F.lit(0)), "ws": F.array(F.lit(1.0))})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[str, np.ndarray] = {}
-        for g, _ in blocks(batches, n):
-            for name, kernel in kernels.items():
-                m = kernel(g)
-                acc[name] = acc[name] + m if name in acc else m
-        for name, m in acc.items():
-            yield pd.DataFrame({"name": name, "i": np.arange(n, dtype=np.int32), "row": list(m)})
+        acc: dict[tuple[int, str], np.ndarray] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for (r, name), m in acc.items():
+                yield pd.DataFrame({"replicate_id": np.int32(r), "name": name, "j0": np.int32(0), "i": np.arange(n, dtype=np.int32), "row": list(m)})
+            acc.clear()
 
-    return summed(packed.select("snp_idx", "g").coalesce(most).mapInPandas(run, "name string, i int, row array<double>"), ["name", "i"])
+        for g, part in blocks(batches, n):
+            for r, of, w in by_replicate(part):
+                for name, kernel in kernels.items():
+                    m = kernel(g[of], g[of], w)
+                    if (r, name) not in acc and (len(acc) + 1) * m.nbytes > HELD_BYTES:
+                        yield from flush()
+                    acc[r, name] = acc[r, name] + m if (r, name) in acc else m
+        yield from flush()
+
+    return summed(rows.coalesce(most).mapInPandas(run, ROWS), ["replicate_id", "name", "j0", "i"])
+
+
+def tiled_sums(packed: DataFrame, n: int, kernels: dict[str, Kernel], weights: DataFrame | None, tile: int, most: int) -> DataFrame:
+    """pair_sums by tiles of the matrix, for as many samples as a feature's row can hold.
+
+    Each feature is cut into runs of `tile` samples, and a run goes to every tile of the matrix that it is a side of. A tile's features come sorted, both sides next to each other, so a task
+    holds one tile and one block of features, however many features or samples there are. Features of a tile are dealt to so many groups that all tiles together keep `most` tasks busy.
+    """
+    tiles = -(-n // tile)
+    groups = max(1, -(-most // (tiles * (tiles + 1) // 2)))
+    rows = packed.select("snp_idx", "g")
+    rows = rows.join(weights.select("snp_idx", "replicate_id", "w"), "snp_idx") if weights is not None else rows.withColumns({"replicate_id": F.lit(0), "w": F.lit(1.0)})
+    cut = rows.select("replicate_id", "snp_idx", "w", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda t: F.slice("g", t * tile + 1, tile))).alias("t", "part"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("o")
+    sides = cut.select("replicate_id", "snp_idx", "w", "t", "part", other).select("replicate_id", F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b"), F.pmod(F.xxhash64("snp_idx"), F.lit(groups)).cast("int").alias("grp"), "snp_idx", "t", "w", "part")
+    key = ["replicate_id", "a", "b", "grp"]
+    dealt = sides.repartition(*key).sortWithinPartitions(*key, "snp_idx", "t")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now: tuple | None = None
+        acc: dict[str, np.ndarray] = {}
+        held: pd.DataFrame | None = None
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for name, m in acc.items():
+                for lo in range(0, len(m), 256):
+                    hi = min(lo + 256, len(m))
+                    yield pd.DataFrame({"replicate_id": np.int32(now[0]), "name": name, "j0": np.int32(now[2] * tile), "i": np.arange(now[1] * tile + lo, now[1] * tile + hi, dtype=np.int32), "row": list(m[lo:hi])})
+            acc.clear()
+
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            held = None
+            bounds = [0, *(np.flatnonzero((pdf[key].to_numpy()[1:] != pdf[key].to_numpy()[:-1]).any(1)) + 1).tolist(), len(pdf)]
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                part = pdf.iloc[lo:hi]
+                k = tuple(part[key].iloc[0])
+                if hi == len(pdf) and k[1] != k[2] and len(part) % 2:  # the last feature's other side comes in the next batch
+                    held, part = part.iloc[-1:], part.iloc[:-1]
+                if not len(part):
+                    continue
+                if k != now:
+                    yield from flush()
+                    now = k
+                pair = 1 if k[1] == k[2] else 2
+                step = pair * max(1, BLOCK_CELLS // (pair * tile))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at : at + step]
+                    x = np.array([np.asarray(v, float) for v in some["part"].iloc[::pair]])
+                    y = x if pair == 1 else np.array([np.asarray(v, float) for v in some["part"].iloc[1::2]])
+                    w = some["w"].to_numpy()[::pair]
+                    for name, kernel in kernels.items():
+                        m = kernel(x, y, w)
+                        acc[name] = acc[name] + m if name in acc else m
+        yield from flush()
+
+    return summed(dealt.mapInPandas(run, ROWS), ["replicate_id", "name", "j0", "i"])
 
 
 def upper(rows: DataFrame, value: str = "d") -> DataFrame:
-    """(i, j, value) for i < j of matrix rows."""
-    return rows.select("i", F.posexplode("row").alias("j", value)).where("i < j")
+    """(replicate_id, i, j, value) for i < j of matrix rows."""
+    return rows.select("replicate_id", "i", "j0", F.posexplode("row").alias("j", value)).select("replicate_id", "i", (F.col("j") + F.col("j0")).alias("j"), value).where("i < j")

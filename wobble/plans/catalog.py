@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wobble.functions import linalg
-from wobble.operators import compare, distance, embed, genotype, resample
+from wobble.operators import cluster, compare, distance, embed, genotype, pairs, resample
 from wobble.shared import shared_folder, written
 from wobble.sources import genotypes as G
 from wobble.types import FileFormat
@@ -147,6 +147,27 @@ def fst_patterson(spark: SparkSession, d: str) -> DataFrame:
     return distance.fst(distance.allele_counts(long(spark, d))).select("p1", "p2", r6("fst").alias("fst"))
 
 
+def fst_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The same in each of seven windows, all in one pass."""
+    return distance.fst(distance.allele_counts(long(spark, d)), resample.window_weights(spark, SNPS, 7)).select("replicate_id", "p1", "p2", r6("fst").alias("fst"))
+
+
+def popdist_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Mean Manhattan distances between populations in each of seven windows, all in one pass."""
+    s = samples(spark, d)
+    rows = distance.population_distance(distance.manhattan(packed(spark, d), s.count(), "mean", resample.window_weights(spark, SNPS, 7)), s)
+    return rows.select("replicate_id", F.least("p1", "p2").alias("p1"), F.greatest("p1", "p2").alias("p2"), r6("d").alias("d"))
+
+
+def dist_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """Euclidean distances by tiles of 64 samples."""
+    s = samples(spark, d)
+    g = genotype.impute(packed(spark, d), "mean")
+    rows = pairs.upper(pairs.pair_sums(g, s.count(), {"d": distance.squared}, tile=64))
+    a, b = (s.select(F.col("sample_idx").alias(i), F.col("sample_id").alias(name)) for i, name in (("i", "sample_a"), ("j", "sample_b")))
+    return rows.join(a, "i").join(b, "j").select("sample_a", "sample_b", r6(F.sqrt(F.greatest("d", F.lit(0.0)))).alias("d"))
+
+
 def windows(spark: SparkSession, d: str) -> DataFrame:
     return resample.windows(long(spark, d).select("snp_idx").distinct(), SNPS, 7).select("window_id", "snp_idx")
 
@@ -351,21 +372,27 @@ def sample_support(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_labels(spark: SparkSession, d: str) -> DataFrame:
-    e = pca_embedding(spark, d)
+    return cluster.kmeans_labels(_replicates(spark, d), 3)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        return pd.DataFrame({"sample_id": pdf["sample_id"], "cluster": linalg.kmeans(np.stack(pdf["coords"].to_numpy()), min(3, len(pdf)))})
+def cluster_number(spark: SparkSession, d: str) -> DataFrame:
+    """The number of clusters of each bootstrap replicate by five-fold cross-validation."""
+    return cluster.best_k(_replicates(spark, d), 5)
 
-    return e.groupBy("replicate_id").applyInPandas(run, "sample_id string, cluster int")
+
+def pca_subspace(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of variance of the bootstrap replicates, without Gram matrices."""
+    names = _named(spark, d)
+    e = embed.embed_subspace(written(packed(spark, d)), _weights(spark), names, 2)
+    return e.select("replicate_id", F.posexplode("explained").alias("component", "explained_variance"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson,
+        genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson, fst_windows, popdist_windows, dist_tiled,
         windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, files_eigenstrat, files_ancestrymap, files_packedancestrymap, files_ped, files_packedped, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
-        replicate_scores, embedding_norms, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels,
+        replicate_scores, embedding_norms, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels, cluster_number, pca_subspace,
     )
 }
 
@@ -408,6 +435,13 @@ ORACLE_SQL: dict[str, str] = {
       h as (select *, alt / n as p, alt * (n - alt) / (n * (n - 1)) as h from k where n >= 2),
       t as (select a.population as p1, b.population as p2, pow(a.p - b.p, 2) - a.h / a.n - b.h / b.n as num, a.h + b.h as hh from h a join h b on a.snp_idx = b.snp_idx and a.population < b.population)
       select p1, p2, round(sum(num) / sum(num + hh), 6) as fst from t group by 1, 2""",
+    "fst_windows": f"""with {_LONG}, {_WIN}, k as (select population, snp_idx, sum(dosage)::double as alt, 2 * count(dosage)::double as n from g group by 1, 2),
+      h as (select *, alt / n as p, alt * (n - alt) / (n * (n - 1)) as h from k where n >= 2),
+      t as (select a.snp_idx, a.population as p1, b.population as p2, pow(a.p - b.p, 2) - a.h / a.n - b.h / b.n as num, a.h + b.h as hh from h a join h b on a.snp_idx = b.snp_idx and a.population < b.population)
+      select window_id::int as replicate_id, p1, p2, round(sum(num) / sum(num + hh), 6) as fst from t join w on snp_idx >= window_id * {_stride} and snp_idx < window_id * {_stride} + {_size} group by 1, 2, 3""",
+    "popdist_windows": f"""with {_IMP}, {_WIN}, d as (select window_id::int as replicate_id, a.sample_id as i, b.sample_id as j, any_value(a.population) as pa, any_value(b.population) as pb, sum(abs(a.v - b.v)) as d {_PAIR.format(t='mi')}
+      join w on a.snp_idx >= window_id * {_stride} and a.snp_idx < window_id * {_stride} + {_size} group by 1, 2, 3) select replicate_id, least(pa, pb) as p1, greatest(pa, pb) as p2, round(avg(d), 6) as d from d where pa <> pb group by 1, 2, 3""",
+    "dist_tiled": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
     "windows": f"with {_WIN} select window_id::int as window_id, range as snp_idx from w, range({SNPS}) s where s.range >= window_id * {_stride} and s.range < least(window_id * {_stride} + {_size}, {SNPS})",
     "window_missing": f"with {_LONG}, {_WIN} select window_id::int as window_id, count(*) as cells, count(*) - count(dosage) as missing from g join w on snp_idx >= window_id * {_stride} and snp_idx < window_id * {_stride} + {_size} group by 1",
     "bootstrap_weights": f"with {_DRAWS} select replicate_id, snp_idx, count(*) as w from d group by 1, 2",

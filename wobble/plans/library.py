@@ -47,13 +47,7 @@ class MatrixDataset:
         if algorithm is EmbeddingAlgorithm.PCA:
             # features are centred before they are weighted: a replicate's Gram matrix is a weighted sum of theirs
             return embed.pca(self.packed, weights, self.names, k, "matrix", imputation)
-        out = None
-        for r in sorted(x.replicate_id for x in weights.select("replicate_id").distinct().collect()):
-            w = weights.where(F.col("replicate_id") == r)
-            drawn = self.packed.join(w, "snp_idx").select("snp_idx", "g", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).select((F.col("snp_idx") * self.n_features + F.col("copy")).alias("snp_idx"), "g")
-            one = embed.mds(drawn, self.samples, k, metric, imputation, r, by_population)
-            out = one if out is None else out.unionByName(one)
-        return out
+        return embed.mds(self.packed, self.samples, k, metric, imputation, weights, by_population)
 
     def bootstrap(self, keep: Callable[[DataFrame], DataFrame], n: int = 100, algorithm: EmbeddingAlgorithm = EmbeddingAlgorithm.PCA, k: int = 10, seed: int = 42, metric: str | Callable = "euclidean", imputation: str | None = "mean", check: bool = True, tolerance: float = 0.05, batch: int = 10, by_population: bool | None = None) -> "ReplicateComparison":
         """Embeddings of up to n bootstrap replicates, compared; stops early once converged. keep writes a table and reads it again; it may be given replicates again in another call."""

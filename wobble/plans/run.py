@@ -8,15 +8,13 @@ import time
 from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wobble.config import RunConfig
 from wobble.errors import ConfigError
-from wobble.functions import linalg
-from wobble.operators import compare, embed, genotype, resample
+from wobble.operators import cluster, compare, embed, genotype, resample
 from wobble.ship import ship
 from wobble.sources import genotypes as G
 from wobble.streaming.convergence import batch_name, run_batches
@@ -104,19 +102,12 @@ class StabilityRun:
             e, removed = embed.pca_without_outliers(self.data.packed, weights, self.info, self.k, self.config.outlier_rule(), fit=self.fit)
             self.keep(lambda: removed, f"{name}_removed")
             return e
-        out = None
-        for r in [x.replicate_id for x in weights.select("replicate_id").distinct().collect()]:  # a matrix of populations squared for each
-            w = weights.where(F.col("replicate_id") == r)
-            drawn = self.data.packed.join(w, "snp_idx").select("snp_idx", "g", F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))).alias("copy")).select((F.col("snp_idx") * self.n_snps + F.col("copy")).alias("snp_idx"), "g")
-            one = embed.mds(drawn, self.data.samples, self.k, replicate=r)
-            out = one if out is None else out.unionByName(one)
-        return out
+        return embed.mds(self.data.packed, self.data.samples, self.k, weights=weights)
 
     def embed(self) -> DataFrame:
         one = self.spark.range(self.n_snps).select(F.lit(0).cast("int").alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
         self.embedding = self.keep(lambda: self._embed(one, "embedding"), "embedding")
-        row = self.embedding.first()
-        self.kmeans_k = self.config.kmeans_k or linalg.best_k(np.array(row.coords), self.n_populations)
+        self.kmeans_k = self.config.kmeans_k or self.keep(lambda: cluster.best_k(self.embedding, self.n_populations), "best_k").first().k
         return self.embedding
 
     def replicates(self) -> tuple[DataFrame, DataFrame]:
