@@ -1,6 +1,7 @@
 """The stability engine: formats, imputation, distances, resampling, embeddings, comparison, runs."""
 
 import random
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -686,6 +687,57 @@ def test_finished_tables_are_reused(spark, prefix, tmp_path):
     assert not set(when) & set((tmp_path / "out" / "tables").rglob("*.parquet"))
 
 
+def test_draws_are_a_store(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(resample.DrawStore, "CHUNK", 3)
+    folder, seeds = str(tmp_path / "draws"), {0: 11, 1: 12, 5: 11}
+    by_hand = lambda s: random.Random(s).choices(range(10), k=10)
+    store = resample.DrawStore(spark, folder, 10)
+    assert store.whole([11, 12]) == set() and store.ensure(seeds) == 2 and resample.DrawStore(spark, folder, 10).ensure(seeds) == 0
+    rows = store.draws(seeds).collect()
+    assert all([r.snp_idx for r in sorted((x for x in rows if x.replicate_id == k), key=lambda r: r.draw_pos)] == by_hand(s) for k, s in seeds.items())
+    same = {(r.replicate_id, r.snp_idx): r.w for r in resample.bootstrap_weights(spark, 10, seeds).collect()}
+    assert {(r.replicate_id, r.snp_idx): r.w for r in store.weights(seeds).collect()} == same
+    assert resample.DrawStore(spark, folder, 9).ensure({0: 11}) == 1  # of other features
+    for part in (tmp_path / "draws" / "features=10" / "seed=12").glob("part-*"):
+        part.unlink()  # a lost draw is made again, the other stays
+    assert store.ensure(seeds) == 1 and store.whole([11, 12, 13]) == {11, 12} and store.ensure(seeds, anew=True) == 2
+    (tmp_path / "bootstrap_1.ckp").write_text("77;" + ", ".join(["3"] * 10) + "\n")
+    other = resample.DrawStore(spark, str(tmp_path / "new"), 10, str(tmp_path / "bootstrap_*.ckp"))
+    assert other.ensure({0: 11, 1: 12}) == 1 and {(r.replicate_id, r.snp_idx, r.seed) for r in other.draws({0: 11, 1: 12}).where("replicate_id = 1").collect()} == {(1, 3, 77)}
+    assert [tuple(r) for r in other.weights({1: 12}).collect()] == [(1, 3, 10.0)]
+    for text in ("77;1, 2", "77;" + ", ".join(["10"] * 10), "x;" + ", ".join(["1"] * 10), "77;" + ", ".join(["a"] * 10), "\n"):
+        (tmp_path / "bootstrap_1.ckp").write_text(text)
+        with pytest.raises(ConfigError, match="checkpoint"):
+            resample.DrawStore(spark, folder, 10, str(tmp_path / "bootstrap_*.ckp"))
+
+
+def test_content_decides_what_is_reused(spark, prefix, tmp_path):
+    g = G.read_genotypes(spark, prefix)
+    digest = G.content_digest(g, 3)
+    assert G.content_digest(G.Genotypes(g.packed.repartition(3), g.samples.repartition(2), g.snps), 3) == digest
+    for name, df in (("packed", g.packed.withColumn("g", F.reverse("g"))), ("samples", g.samples.withColumn("population", F.lit("x"))), ("snps", g.snps.withColumn("alt", F.lit(None).cast("string")))):
+        assert G.content_digest(g._replace(**{name: df}), 3) != digest
+    G.write_ped(g, str(tmp_path / "in"))
+    first = StabilityRun(spark, settings(str(tmp_path / "in"), tmp_path, file_format=FileFormat.PED))
+    first.run()
+    assert first.drawn == 3
+    files = {p: p.stat().st_mtime_ns for kind in ("tables", "converted") for p in (tmp_path / "out" / kind).rglob("part-*")}
+    (tmp_path / "copy").mkdir()
+    for kind in ("ped", "map", "fam"):
+        shutil.copytree(tmp_path / f"in.{kind}", tmp_path / "copy" / f"in.{kind}")
+    again = StabilityRun(spark, settings(str(tmp_path / "copy" / "in"), tmp_path, file_format=FileFormat.PED, plot_results=True))
+    again.run()
+    assert again.fingerprint == first.fingerprint and again.drawn == 0
+    assert {p: p.stat().st_mtime_ns for kind in ("tables", "converted") for p in (tmp_path / "out" / kind).rglob("part-*")} == files
+    other = StabilityRun(spark, settings(str(tmp_path / "in"), tmp_path, file_format=FileFormat.PED, n_components=1))
+    other.embed()
+    other.replicates()
+    assert other.fingerprint != first.fingerprint and other.drawn == 0  # other settings, the same draws
+    (tmp_path / "out" / "bootstrap").mkdir(exist_ok=True)
+    (tmp_path / "out" / "bootstrap" / "bootstrap_0.ckp").write_text("1;0, 0, 1, 1, 2, 2, 3")
+    assert StabilityRun(spark, settings(str(tmp_path / "in"), tmp_path, file_format=FileFormat.PED)).fingerprint != first.fingerprint
+
+
 def test_matrix_interface(spark, tmp_path):
     from wobble.plans.library import MatrixDataset, ReplicateComparison
 

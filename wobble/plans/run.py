@@ -33,9 +33,9 @@ class StabilityRun:
         ship(spark)
         self.spark, self.config, self.began = spark, config, time.time()
         c = config
-        prefix = c.dataset_prefix
+        prefix, self.content = c.dataset_prefix, None
         if c.file_format is not FileFormat.EIGENSTRAT:
-            prefix = G.convert(spark, prefix, c.file_format, c.path("converted"))
+            prefix = self._converted()
         self.prefix = prefix
         self.data = G.read_genotypes(spark, prefix)
         geno, snp, ind = G.filenames(prefix, FileFormat.EIGENSTRAT)
@@ -45,7 +45,7 @@ class StabilityRun:
             raise ConfigError("The genotype and SNP files differ in their number of SNPs.")
         if self.data.packed.where(F.size("g") != n).limit(1).count():
             raise ConfigError("The genotype file's lines don't have a call for each sample.")
-        self.populations = G.read_populations(spark, c.embedding_populations)
+        self.populations, whole = G.read_populations(spark, c.embedding_populations), self.data
         if c.embedding_algorithm is EmbeddingAlgorithm.MDS:
             self.data = self._without_ignored(n)
         samples = self.data.samples
@@ -60,8 +60,33 @@ class StabilityRun:
         embedded = self.n_populations if c.embedding_algorithm is EmbeddingAlgorithm.MDS else len(self.info) if self.fit is None else len(self.fit)
         embed.check_components(c.n_components, self.n_snps, embedded)
         self.k = c.n_components
-        inputs = self._stamps(*G.filenames(prefix, FileFormat.EIGENSTRAT), *([c.embedding_populations] if c.embedding_populations else []))
-        self.fingerprint = hashlib.sha256(repr(inputs + sorted((k, v) for k, v in c.as_mapping().items() if k not in ("redo", "threads", "verbosity", "plot_results", "plot_dim_x", "plot_dim_y", "result_decimals", "support_value_rogue_cutoff", "keep_replicates"))).encode()).hexdigest()[:16]
+        self.content = self.content or G.content_digest(whole)
+        self.fingerprint = self._fingerprint()
+
+    #: Settings that no table depends on, and those whose files' content counts instead of their names.
+    ANY = ("redo", "threads", "verbosity", "plot_results", "plot_dim_x", "plot_dim_y", "result_decimals", "support_value_rogue_cutoff", "keep_replicates", "convertf", "smartpca", "dataset_prefix", "result_dir", "file_format", "embedding_populations")
+
+    def _fingerprint(self) -> str:
+        """What the tables of a run depend on: the content of its inputs, wherever they are, and its settings."""
+        listed = sorted(r.population for r in self.populations.collect()) if self.populations is not None else None  # names of a list file
+        decided = None
+        if self.config.analysis_mode is AnalysisMode.BOOTSTRAP:
+            self.draws = resample.DrawStore(self.spark, self.tables("draws"), self.n_snps, self.config.path("bootstrap/bootstrap_*.ckp"))
+            if self.draws.foreign is not None and not self.config.redo:
+                rows = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("draw_pos", "snp_idx"))), lambda z: z["snp_idx"].cast("string")), ","), 256)
+                decided = sorted(map(tuple, self.draws.foreign.groupBy("replicate_id", F.floor(F.col("draw_pos") / 4096).alias("b")).agg(rows).collect()))
+        own = sorted((k, v) for k, v in self.config.as_mapping().items() if k not in self.ANY)
+        return hashlib.sha256(repr((self.content, listed, decided, own)).encode()).hexdigest()[:16]
+
+    def _converted(self) -> str:
+        """The input as an EIGENSTRAT triple, made once for its content: a later run, or one with a copy of the input, finds it by its digest."""
+        raw = G.read_genotypes(self.spark, self.config.dataset_prefix, self.config.file_format)
+        data = G.Genotypes(raw.packed, G.clean_ids(raw.samples), raw.snps)
+        self.content = G.content_digest(data)
+        prefix = self.config.path(f"converted/{self.content[:16]}")
+        if self.config.redo or not self._finished(G.filenames(prefix, FileFormat.EIGENSTRAT)[2]):  # the last of the three that are written
+            G.write_eigenstrat(data, prefix)
+        return prefix
 
     def _without_ignored(self, n: int) -> G.Genotypes:
         """The data without samples of the population Ignore, numbered anew."""
@@ -73,16 +98,6 @@ class StabilityRun:
         samples = self.data.samples.where(F.col("sample_idx").isin(kept)).withColumn("sample_idx", F.element_at(place, F.col("sample_idx")).cast("int"))
         return G.Genotypes(self.data.packed.withColumn("g", g), samples, self.data.snps)
 
-    def _stamps(self, *paths: str) -> list[tuple]:
-        """Sizes and times of files, or of the files in a folder: tables of other inputs aren't reused."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        out = []
-        for p in paths:
-            at = hadoop.Path(p)
-            found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
-            out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in found]
-        return sorted(out)
-
     def tables(self, name: str) -> str:
         return self.config.path(f"tables/{name}")
 
@@ -112,9 +127,15 @@ class StabilityRun:
 
     def replicates(self) -> tuple[DataFrame, DataFrame]:
         c = self.config
+        self.drawn = 0
         if c.analysis_mode is AnalysisMode.BOOTSTRAP:
             seeds = dict(enumerate(resample.replicate_seeds(c.seed, c.n_replicates)))
-            build = lambda ids: self._embed(resample.bootstrap_weights(self.spark, self.n_snps, {i: seeds[i] for i in ids}), batch_name(ids))
+
+            def build(ids: list[int]) -> DataFrame:
+                own = {i: seeds[i] for i in ids}
+                self.drawn += self.draws.ensure(own, c.redo)
+                return self._embed(self.draws.weights(own), batch_name(ids))
+
             batch, check = max(10, c.threads), c.bootstrap_convergence_check
         else:
             windows = resample.window_weights(self.spark, self.n_snps, c.n_replicates)
@@ -178,8 +199,7 @@ class StabilityRun:
         ids = [r.replicate_id for r in self.embeddings.select("replicate_id").collect()]
         seeds = resample.replicate_seeds(c.seed, c.n_replicates)
         if c.analysis_mode is AnalysisMode.BOOTSTRAP:
-            resample.write_checkpoint(resample.bootstrap_draws(spark, self.n_snps, {i: seeds[i] for i in ids}), c.path("bootstrap/draws"))
-            draws = resample.read_checkpoint(spark, c.path("bootstrap/draws"))
+            draws = self.draws.draws({i: seeds[i] for i in ids})
         for r in sorted(ids):
             if c.analysis_mode is AnalysisMode.BOOTSTRAP:
                 g, snps, prefix = *resample.gather(self.data.packed, self.data.snps, draws.where(F.col("replicate_id") == r)), c.path(f"bootstrap/bootstrap_{r}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -189,6 +190,20 @@ def write_ancestrymap(data: Genotypes, prefix: str) -> None:
     write_lines(calls.select(F.struct("snp_idx", "sample_idx").alias("idx"), line.alias("value")), geno)
 
 
+def content_digest(data: Genotypes, block: int = 4096) -> str:
+    """A digest of calls, SNPs and samples in their order, the same for copies of a set wherever and in how many files they are. Rows are hashed where they are read, blocks of rows next, and the digest is that of the blocks' in order: the driver sees one for each block."""
+    text = lambda *c: F.concat_ws("\t", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c])
+    calls = F.array_join(F.transform("g", lambda v: F.coalesce(v.cast("int").cast("string"), F.lit("9"))), "")
+    out = hashlib.sha256()
+    for df, order, value in ((data.packed, "snp_idx", calls), (data.snps, "snp_idx", text("snp_id", "chrom", "gpos", "ppos", "ref", "alt")), (data.samples, "sample_idx", text("sample_id", "sex", "population"))):
+        rows = df.select(F.col(order).alias("i"), F.sha2(value, 256).alias("h"))
+        blocks = rows.groupBy(F.floor(F.col("i") / block).alias("b")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "h"))), lambda z: F.concat(z["i"].cast("string"), F.lit(":"), z["h"])), ","), 256).alias("h"))
+        out.update(f"{order}\n".encode())
+        for r in blocks.orderBy("b").collect():
+            out.update(r.h.encode())
+    return out.hexdigest()
+
+
 def ids_hash(ids: DataFrame, order: str, name: str) -> int:
     """The checksum of ids in order that packed files carry: 32 bits, each id's own by Horner's rule in 23, folded in by 17 and exclusive or. Folding is sequential, so the driver runs through one number for each id."""
     own = F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda h, c: (h * 23 + F.ascii(c)) % (1 << 32))
