@@ -23,10 +23,10 @@ from wobble.sources.results import read_evec, read_fst
 from wobble.streaming.convergence import converged
 from wobble.types import AnalysisMode, EmbeddingAlgorithm, FileFormat
 
-# A 5 x 7 genotype matrix, its individuals and SNPs, its first two principal components and eigenvalues.
+# A 5 x 7 genotype matrix, its individuals, its first two principal components and eigenvalues.
 GENO = "11100 01212 21101 00122 21100 00111 22110".split()
 IND = [("SAMPLE0", "F", "Pop1"), ("SAMPLE1", "M", "Pop2"), ("SAMPLE2", "F", "Pop3"), ("SAMPLE3", "M", "Pop4"), ("SAMPLE4", "F", "Pop4")]
-SNP = [f"rs{str(i) * 4} 11 0.00{i} {i * 100000} {a}" for i, a in enumerate(["A C", "A G", "A T", "C A", "G A", "T A", "G T"])]
+SNP = ["m1 3 0.11 1200 T C", "m2 3 0.25 3400 C G", "m3 3 0.4 5600 G A", "m4 3 0.52 9100 A T", "m5 3 0.7 12000 T G", "m6 3 0.83 15500 C A", "m7 3 0.97 21000 A G"]
 EVEC = np.array([[-0.6493, -0.0942], [-0.3599, -0.0754], [0.0780, 0.6092], [0.3980, -0.7286], [0.5333, 0.2890]])
 EVAL = [3.144925, 0.479073, 0.278742, 0.097261]
 # A 5 x 40 genotype matrix cut to ten windows, some of the 45 pairs' scores and the means of all.

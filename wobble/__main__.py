@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -20,12 +21,16 @@ def main(argv: list[str] | None = None) -> int:
     try:
         config = load_config(args.config)
         logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(max(config.verbosity, 0), 2)], format="%(asctime)s %(message)s")
-        spark = SparkSession.builder.appName("wobble").getOrCreate()
-        out = StabilityRun(spark, config).run()
+        for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # a task has one core
+            os.environ.setdefault(name, "1")
+        spark = SparkSession.builder.appName("wobble").config("spark.executorEnv.OMP_NUM_THREADS", "1").config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1").getOrCreate()
+        run = StabilityRun(spark, config)
+        out = run.run()
     except WobbleError as e:
         print(f"wobble: {e}", file=sys.stderr)
         return 1
     print(f"stability {out['stability']:.4f}, cluster stability {out['cluster_stability']:.4f}, {out['n_replicates']} replicates; results in {config.result_dir}")
+    print("\n".join(run.result_files()))
     return 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wobble.errors import WobbleError
@@ -70,11 +70,22 @@ def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: l
     return shipped.groupBy("p", "q").applyInPandas(run, PAIRS)
 
 
+def row_norm(coords: str) -> Column:
+    """Euclidean length of a sample's coordinates."""
+    return F.sqrt(F.aggregate(coords, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+
+
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """(pair, stability, cluster_stability) as the results file lists them: a row for each pair that has either score."""
+    a, b = pairs.where("stability is not null").select("i", "j", "stability"), pairs.where("cluster_stability is not null").select("i", "j", "cluster_stability")
+    return a.join(b, ["i", "j"], "full").select(F.format_string("(%d, %d)", "i", "j").alias("pair"), "i", "j", "stability", "cluster_stability")
+
+
 def support_values(pairs: DataFrame, embedded: DataFrame) -> DataFrame:
     """(sample_id, PSV, n_present): one minus a Gini coefficient of the sample's aligned places. Replicates without the sample count as zero vectors in the norms and add no difference."""
     n = F.lit(1.0) * embedded.count()
     diff = pairs.select(F.explode(F.arrays_zip("sample_ids", "difference")).alias("z")).groupBy(F.col("z.sample_ids").alias("sample_id")).agg((2 * F.sum("z.difference")).alias("d"))
-    norm = F.sqrt(F.aggregate("z.coords", F.lit(0.0), lambda a, x: a + x * x))
+    norm = row_norm("z.coords")
     there = embedded.select(F.explode(F.arrays_zip("sample_ids", "coords")).alias("z")).groupBy(F.col("z.sample_ids").alias("sample_id")).agg(F.count("*").alias("n_present"), F.sum(F.when(norm > 0, 1.0).otherwise(0.0)).alias("norms"))
     return there.join(diff, "sample_id", "left").select("sample_id", (1 - F.coalesce("d", F.lit(0.0)) / (2 * n * F.col("norms") + 1e-6)).alias("PSV"), "n_present")
 

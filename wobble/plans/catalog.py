@@ -7,6 +7,7 @@ its dosages are return flags, missing where an order has fewer lines.
 
 from __future__ import annotations
 
+import random
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,6 +19,7 @@ from pyspark.sql.window import Window
 
 from wobble.functions import linalg
 from wobble.operators import cluster, compare, distance, embed, genotype, pairs, resample
+from wobble.plans import plotdata
 from wobble.shared import shared_folder, written
 from wobble.sources import genotypes as G
 from wobble.types import FileFormat
@@ -176,24 +178,34 @@ def window_missing(spark: SparkSession, d: str) -> DataFrame:
     return resample.windows(long(spark, d), SNPS, 7).groupBy("window_id").agg(F.count("*").alias("cells"), F.count_if(F.col("dosage").isNull()).alias("missing"))
 
 
-def _draws(spark: SparkSession, d: str) -> DataFrame:
-    """Five replicates of 200 draws by a fixed rule that both engines can follow."""
-    r = spark.range(5).select(F.col("id").alias("replicate_id"))
-    return r.withColumn("draw_pos", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SNPS - 1).cast("long")))).withColumn("snp_idx", (F.col("draw_pos") * F.col("draw_pos") * 31 + F.col("replicate_id") * 7919 + F.col("draw_pos") * 17) % SNPS)
+#: Replicates whose draws the queries below make, by seed.
+SEEDS = dict(enumerate(resample.replicate_seeds(42, 5)))
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """snp_idx (dense) and snp_id of the features that parts make."""
+    f = table(spark, d, "part").groupBy((F.col("p_partkey") % SNPS).alias("snp_idx")).agg(F.min("p_partkey").alias("first"))
+    return f.select("snp_idx", F.concat(F.lit("part"), F.col("first").cast("string")).alias("snp_id"))
 
 
 def bootstrap_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _draws(spark, d).groupBy("replicate_id", "snp_idx").agg(F.count("*").alias("w"))
+    """How often each replicate drew each of the features, which stored draws give."""
+    f = _features(spark, d)
+    store = resample.DrawStore(spark, f"{shared_folder(spark)}/draws", f.count())
+    store.ensure(SEEDS)
+    return store.weights(SEEDS).join(f, "snp_idx").select("replicate_id", "snp_id", "w")
 
 
 def bootstrap_snp_means(spark: SparkSession, d: str) -> DataFrame:
-    w = bootstrap_weights(spark, d)
+    w = resample.bootstrap_weights(spark, _features(spark, d).count(), SEEDS)
     x = long(spark, d).where("dosage is not null").groupBy("snp_idx").agg(F.sum("dosage").alias("s"), F.count("*").alias("n"))
     return w.join(x, "snp_idx").groupBy("replicate_id").agg(r6(F.sum(F.col("w") * F.col("s")) / F.sum(F.col("w") * F.col("n"))).alias("mean_dosage"))
 
 
 def dedup_snp_ids(spark: SparkSession, d: str) -> DataFrame:
-    draws = _draws(spark, d).withColumn("snp_id", F.concat(F.lit("rs"), F.col("snp_idx").cast("string")))
+    """Ids of the features that each replicate drew, in order, with repeats told apart."""
+    f = _features(spark, d)
+    draws = resample.bootstrap_draws(spark, f.count(), SEEDS).join(f, "snp_idx")
     return genotype.deduplicate_snp_ids(draws).select("replicate_id", "draw_pos", "dedup_id")
 
 
@@ -280,20 +292,64 @@ def support_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def rogue_samples(spark: SparkSession, d: str) -> DataFrame:
     s = genotype.missing_fraction(long(spark, d), "sample_id").select("sample_id", (1 - F.col("missing_fraction")).alias("PSV"))
-    return s.where("PSV < 0.95").select("sample_id", r6("PSV").alias("PSV"))
+    return plotdata.rogue(s, 0.95).select("sample_id", r6("PSV").alias("PSV"))
 
 
 def replicate_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Two score series by pair, joined outer, as in the results file."""
-    pairs = spark.range(6).select(F.col("id").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long")))).where("i < j")
-    a = pairs.where("(i + j) % 3 <> 0").select("i", "j", (F.col("i") / (F.col("j") + 1)).alias("stability"))
-    b = pairs.where("(i + j) % 4 <> 0").select("i", "j", (1 / (F.col("j") + F.col("i") + 1)).alias("cluster_stability"))
-    return a.join(b, ["i", "j"], "full").select(F.format_string("(%d, %d)", "i", "j").alias("pair"), r6("stability").alias("stability"), r6("cluster_stability").alias("cluster_stability"))
+    """Scores of pairs as in the results file: three embeddings of the suppliers, and one cluster, which any two agree on."""
+    e = partial(spark, d)
+    return compare.pair_scores(written(compare.compare_pairs(e, kmeans_k=1))).select("pair", r6("stability").alias("stability"), r6("cluster_stability").alias("cluster_stability"))
+
+
+def support_values_2d(spark: SparkSession, d: str) -> DataFrame:
+    """Support values of the vectors over eight two-dimensional replicates."""
+    rows = _points(spark, d).where("r < 8").groupBy("r").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id").cast("string").alias("id"), F.array("x", "y").alias("c")))).alias("s"))
+    e = written(rows.select(F.col("r").alias("replicate_id"), F.col("s.id").alias("sample_ids"), F.col("s.c").alias("coords")))
+    return compare.support_values(compare.compare_pairs(e), e).select("sample_id", r6("PSV").alias("PSV"), "n_present")
 
 
 def embedding_norms(spark: SparkSession, d: str) -> DataFrame:
-    v = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", r6(F.sqrt(v)).alias("norm"))
+    return table(spark, d, "embeddings").select("vec_id", r6(compare.row_norm("embedding")).alias("norm"))
+
+
+def window_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Features and calls of each of seven windows."""
+    return resample.windows(long(spark, d), SNPS, 7).groupBy("window_id").agg(F.count_distinct("snp_idx").alias("features"), F.count("dosage").alias("calls"))
+
+
+def _coordinates(e: DataFrame) -> DataFrame:
+    """(a, b, x, y, explained) of each two samples, a < b, of one embedding."""
+    z = e.select("explained", F.explode(F.arrays_zip("sample_ids", "coords")).alias("z")).select("explained", F.col("z.sample_ids").cast("long").alias("s"), F.col("z.coords").alias("c"))
+    z = written(z)
+    return z.select(F.col("s").alias("a"), F.col("c").alias("x"), "explained").join(z.select(F.col("s").alias("b"), F.col("c").alias("y")), F.col("a") < F.col("b"))
+
+
+def _between() -> F.Column:
+    return F.sqrt(F.aggregate(F.zip_with("x", "y", lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
+
+
+def pcoa_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between all principal coordinates of samples: those that the coordinates were made from."""
+    s = samples(spark, d).select("sample_idx", F.col("sample_id").cast("string").alias("sample_id"), F.col("population").cast("string").alias("population"))
+    e = embed.mds(written(packed(spark, d)), s, s.count(), "euclidean", "mean")
+    return _coordinates(e).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"), F.round(_between(), 4).alias("d"))
+
+
+def pca_gram(spark: SparkSession, d: str) -> DataFrame:
+    """Products of standardised samples, from all components of the genotype PCA, as shares of the total variance."""
+    names = _named(spark, d)
+    one = spark.range(SNPS).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
+    e = embed.pca(packed(spark, d), one, names, min(len(names), SNPS))
+    product = F.aggregate(F.zip_with("explained", F.zip_with("x", "y", lambda u, v: u * v), lambda w, p: w * p), F.lit(0.0), lambda s, v: s + v)
+    return _coordinates(e).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"), F.round(product, 8).alias("share"))
+
+
+def matrix_pca_distances(spark: SparkSession, d: str) -> DataFrame:
+    """Distances between all scores of the vectors' PCA: those between the vectors."""
+    one = spark.range(64).select(F.lit(0).alias("replicate_id"), F.col("id").alias("snp_idx"), F.lit(1.0).alias("w"))
+    names = [(str(r.vec_id), str(r.label)) for r in table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").collect()]
+    e = embed.pca(embedding_packed(spark, d), one, names, 64, "matrix")
+    return _coordinates(e).select(F.col("a").alias("vec_a"), F.col("b").alias("vec_b"), F.round(_between(), 4).alias("d"))
 
 
 def normalised_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -392,7 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         genotype_long, snp_stats, missing_fraction, impute_mean, impute_remove, monomorphic_snps, dist_euclidean, dist_manhattan, dist_hamming, dist_hamming_corrected, popdist_euclidean, popdist_manhattan, allele_counts, fst_patterson, fst_windows, popdist_windows, dist_tiled,
         windows, window_missing, bootstrap_weights, bootstrap_snp_means, dedup_snp_ids, files_eigenstrat, files_ancestrymap, files_packedancestrymap, files_ped, files_packedped, projected_samples, ignore_filter, pad_missing, sample_union, sample_clip, pairwise_ps_2d, fmi_labels, support_summary, rogue_samples,
-        replicate_scores, embedding_norms, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels, cluster_number, pca_subspace,
+        replicate_scores, support_values_2d, embedding_norms, window_sizes, pcoa_distances, pca_gram, matrix_pca_distances, normalised_rows, pca_embedding, pca_outliers, matrix_pca_explained, mds_fst, pairwise_stability, window_stability, sample_support, kmeans_labels, cluster_number, pca_subspace,
     )
 }
 
@@ -405,7 +461,9 @@ _IMP = f"{_LONG}, m as (select snp_idx, sample_id, population, coalesce(dosage::
 _PAIR = "from {t} a join {t} b on a.snp_idx = b.snp_idx and a.sample_id < b.sample_id"
 _stride, _size = resample.window_bounds(SNPS, 7)
 _WIN = f"w as (select range as window_id from range(7))"
-_DRAWS = f"d as (select r.range as replicate_id, p.range as draw_pos, (p.range * p.range * 31 + r.range * 7919 + p.range * 17) % {SNPS} as snp_idx from range(5) r, range({SNPS}) p)"
+# the draws of Python's generator, as it gives them
+_DRAWS = "v as (select * from (values " + ", ".join(f"({r}, {random.Random(seed).choices(range(SNPS), k=SNPS)})" for r, seed in SEEDS.items()) + ") v(replicate_id, drawn)), d as (select replicate_id, unnest(range(len(drawn))) as draw_pos, unnest(drawn) as snp_idx from v)"
+_FEATURES = f"f as (select p_partkey % {SNPS} as snp_idx, 'part' || min(p_partkey) as snp_id from part group by 1)"
 _POINTS = "p as (" + " union all ".join(f"select vec_id, {r} as r, embedding[{2 * r + 1}]::double as x, embedding[{2 * r + 2}]::double as y from embeddings" for r in range(PLANES)) + ")"
 
 
@@ -444,9 +502,9 @@ ORACLE_SQL: dict[str, str] = {
     "dist_tiled": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) as d {_PAIR.format(t='mi')} group by 1, 2",
     "windows": f"with {_WIN} select window_id::int as window_id, range as snp_idx from w, range({SNPS}) s where s.range >= window_id * {_stride} and s.range < least(window_id * {_stride} + {_size}, {SNPS})",
     "window_missing": f"with {_LONG}, {_WIN} select window_id::int as window_id, count(*) as cells, count(*) - count(dosage) as missing from g join w on snp_idx >= window_id * {_stride} and snp_idx < window_id * {_stride} + {_size} group by 1",
-    "bootstrap_weights": f"with {_DRAWS} select replicate_id, snp_idx, count(*) as w from d group by 1, 2",
+    "bootstrap_weights": f"with {_DRAWS}, {_FEATURES} select replicate_id, snp_id, count(*)::double as w from d join f using (snp_idx) group by 1, 2",
     "bootstrap_snp_means": f"with {_LONG}, {_DRAWS} select replicate_id, round(avg(dosage), 6) as mean_dosage from d join g using (snp_idx) where dosage is not null group by 1",
-    "dedup_snp_ids": f"with {_DRAWS}, k as (select *, row_number() over (partition by replicate_id, snp_idx order by draw_pos) - 1 as k from d) select replicate_id, draw_pos, 'rs' || snp_idx || case when k > 0 then '_r' || k else '' end as dedup_id from k",
+    "dedup_snp_ids": f"with {_DRAWS}, {_FEATURES}, k as (select *, row_number() over (partition by replicate_id, snp_idx order by draw_pos) - 1 as k from d join f using (snp_idx)) select replicate_id, draw_pos, snp_id || case when k > 0 then '_r' || k else '' end as dedup_id from k",
     **dict.fromkeys(("files_eigenstrat", "files_ancestrymap", "files_packedancestrymap", "files_ped", "files_packedped"), f"with {_LONG} select sample_id::varchar as sample_id, population::varchar as population, 'p' || snp_idx as snp_id, coalesce(dosage, 9)::int as dosage from g"),
     "projected_samples": f"with {_LONG} select sample_id, population from s where population not in (select r_regionkey from region where r_regionkey < 3)",
     "ignore_filter": f"with {_LONG} select sample_id, population::varchar as population from s where population <> 2",
@@ -461,8 +519,24 @@ ORACLE_SQL: dict[str, str] = {
       select round(sqrt(t / (p - n)) * sqrt(t / (q - n)), 6) as fmi from t, p, q""",
     "support_summary": f"with {_LONG}, v as (select sample_id, count(dosage)::double / count(*) as v from g group by 1) select round(min(v), 6) as min, round(max(v), 6) as max, round(avg(v), 6) as mean, round(quantile_cont(v, 0.5), 6) as median, round(stddev_samp(v), 6) as stdev from v",
     "rogue_samples": f'with {_LONG}, v as (select sample_id, 1 - (count(*) - count(dosage))::double / count(*) as v from g group by 1) select sample_id, round(v, 6) as "PSV" from v where v < 0.95',
-    "replicate_scores": """with p as (select i.range as i, j.range as j from range(6) i, range(6) j where i.range < j.range), a as (select i, j, i::double / (j + 1) as x from p where (i + j) % 3 <> 0), b as (select i, j, 1::double / (i + j + 1) as y from p where (i + j) % 4 <> 0)
-      select '(' || i || ', ' || j || ')' as pair, round(x, 6) as stability, round(y, 6) as cluster_stability from a full join b using (i, j)""",
+    "replicate_scores": f"""with {_PARTIAL}, p as (select e.r, s, s_acctbal::double as x, s_nationkey::double as y from e join supplier on s_suppkey::varchar = s),
+      q as (select a.r as i, b.r as j, a.x as ax, a.y as ay, b.x as ux, b.y as uy from p a join p b on a.s = b.s and a.r < b.r),
+      z as (select i, j, ax - avg(ax) over w as ax, ay - avg(ay) over w as ay, ux - avg(ux) over w as ux, uy - avg(uy) over w as uy from q window w as (partition by i, j)),
+      m as (select i, j, sum(ux * ax) as xx, sum(ux * ay) as xy, sum(uy * ax) as yx, sum(uy * ay) as yy, sum(ax * ax + ay * ay) as sa, sum(ux * ux + uy * uy) as sb from z group by 1, 2)
+      select '(' || i || ', ' || j || ')' as pair, round(sqrt(least(1, (xx * xx + xy * xy + yx * yx + yy * yy + 2 * abs(xx * yy - xy * yx)) / (sa * sb))), 6) as stability, 1.0::double as cluster_stability from m""",
+    "support_values_2d": f"""with {_POINTS}, c as (select vec_id, r, x, y, x - avg(x) over w as cx, y - avg(y) over w as cy from p where r < 8 window w as (partition by r)),
+      m as (select a.r as i, b.r as j, sum(b.cx * a.cx) as a, sum(b.cx * a.cy) as b, sum(b.cy * a.cx) as c, sum(b.cy * a.cy) as d from c a join c b on a.vec_id = b.vec_id and a.r < b.r group by 1, 2),
+      q as (select i, j, a + sign(a * d - b * c) * d as q1, b - sign(a * d - b * c) * c as q2, c - sign(a * d - b * c) * b as q3, d + sign(a * d - b * c) * a as q4 from m),
+      t as (select a.vec_id, a.cx, a.cy, b.cx * q1 + b.cy * q3 as rx, b.cx * q2 + b.cy * q4 as ry from q join c a on a.r = i join c b on b.r = j and a.vec_id = b.vec_id),
+      f as (select vec_id, sum(sqrt(power(cx / sqrt(cx * cx + cy * cy) - rx / sqrt(rx * rx + ry * ry), 2) + power(cy / sqrt(cx * cx + cy * cy) - ry / sqrt(rx * rx + ry * ry), 2))) as d from t group by 1),
+      n as (select vec_id, count(*) as k, sum(case when x <> 0 or y <> 0 then 1.0 else 0.0 end)::double as norms from c group by 1)
+      select vec_id::varchar as sample_id, round(1 - 2 * d / (2 * 8 * norms + 1e-6), 6) as "PSV", k as n_present from f join n using (vec_id)""",
+    "window_sizes": f"with {_LONG}, {_WIN} select window_id::int as window_id, count(distinct snp_idx) as features, count(dosage) as calls from g join w on snp_idx >= window_id * {_stride} and snp_idx < window_id * {_stride} + {_size} group by 1",
+    "pcoa_distances": f"with {_IMP} select a.sample_id as sample_a, b.sample_id as sample_b, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 4) as d {_PAIR.format(t='mi')} group by 1, 2",
+    "pca_gram": f"""with {_LONG}, t as (select *, avg(dosage) over (partition by snp_idx) / 2 as p from g),
+      z as (select sample_id, snp_idx, case when dosage is null then 0 else (dosage - 2 * p) / sqrt(p * (1 - p)) end as v from t where p > 0 and p < 1), all_of as (select sum(v * v) as total from z)
+      select a.sample_id as sample_a, b.sample_id as sample_b, round(sum(a.v * b.v) / any_value(total), 8) as share from z a join z b on a.snp_idx = b.snp_idx and a.sample_id < b.sample_id cross join all_of group by 1, 2""",
+    "matrix_pca_distances": "select a.vec_id as vec_a, b.vec_id as vec_b, round(list_distance(a.embedding::double[], b.embedding::double[]), 4) as d from embeddings a join embeddings b on a.vec_id < b.vec_id",
     "embedding_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm from embeddings",
     "normalised_rows": "with e as (select vec_id, list_transform(embedding, lambda x: x::double) as c from embeddings), n as (select *, sqrt(list_sum(list_transform(c, lambda x: x * x))) as n, unnest(range(len(c))) as pos from e) select vec_id, pos::int as pos, round(case when n > 0 then c[pos + 1] / n else 0 end, 6) as v from n",
 }

@@ -15,8 +15,6 @@ from wobble.errors import WobbleError
 from wobble.functions import linalg
 from wobble.operators.compare import Compared
 
-POSITIONS = ("top left", "top center", "top right", "bottom left", "bottom center", "bottom right")
-
 
 def distinct_colours(n: int) -> list[str]:
     """n colours of evenly spread hue."""
@@ -44,10 +42,10 @@ def _colour_index(group: str) -> F.Column:
 
 
 def populations(e: DataFrame, x: int = 0, y: int = 1) -> DataFrame:
-    """x, y, label, group (population), colour (its number), text_position."""
+    """x, y, label, group (population), colour (its number), anchor: the end of the label's text that stands beside the point, in turn, so that labels of neighbours part."""
     names = e.select("population").distinct().withColumn("colour", _colour_index("population"))
-    position = F.get(F.array(*[F.lit(p) for p in POSITIONS]), F.pmod(F.xxhash64("sample_id"), F.lit(len(POSITIONS))).cast("int"))
-    return e.join(F.broadcast(names), "population").select(*_xy(e, x, y), F.col("sample_id").alias("label"), F.col("population").alias("group"), "colour", position.alias("text_position"))
+    turn = F.row_number().over(Window.partitionBy("population").orderBy("sample_id")) % 2
+    return e.join(names, "population").select(*_xy(e, x, y), F.col("sample_id").alias("label"), F.col("population").alias("group"), "colour", F.when(turn == 0, "end").otherwise("start").alias("anchor"))
 
 
 def projections(e: DataFrame, embedding_populations: DataFrame, x: int = 0, y: int = 1) -> DataFrame:
@@ -67,10 +65,16 @@ def clusters(e: DataFrame, k: int, x: int = 0, y: int = 1) -> DataFrame:
     return c.select(*_xy(c, x, y), F.col("sample_id").alias("label"), F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("group"), F.col("cluster").alias("colour"))
 
 
+def rogue(support: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """Samples whose support value is under the cutoff."""
+    return support.where(F.col("PSV") < cutoff)
+
+
 def support_values(e: DataFrame, support: DataFrame, cutoff: float = 0.5, x: int = 0, y: int = 1, only: DataFrame | None = None) -> DataFrame:
     """x, y, label, group (rogue or stable), value. Samples of only, if given; others are the group other. Samples of one side alone are left out; unmatched() lists them."""
-    s = e.join(support, "sample_id")
-    group = F.when(F.col("PSV") < cutoff, "rogue").otherwise("stable")
+    low = rogue(support, cutoff).select("sample_id", F.lit(True).alias("_low"))
+    s = e.join(support, "sample_id").join(low, "sample_id", "left")
+    group = F.when(F.col("_low"), "rogue").otherwise("stable")
     if only is not None:
         s = s.join(only.select("sample_id", F.lit(True).alias("_in")), "sample_id", "left")
         group = F.when(F.col("_in"), group).otherwise("other")
@@ -92,12 +96,12 @@ def embedding_comparison(embedded: DataFrame, i: int, j: int, support: DataFrame
     df = spark.createDataFrame(data, "x double, y double, label string, group string")
     if support is None:
         return df.withColumn("rogue", F.lit(False))
-    rogue = support.where(F.col("PSV") < cutoff).select(F.col("sample_id").alias("label"), F.lit(True).alias("rogue"))
-    return df.join(rogue, "label", "left").withColumn("rogue", F.coalesce("rogue", F.lit(False)))
+    marked = rogue(support, cutoff).select(F.col("sample_id").alias("label"), F.lit(True).alias("rogue"))
+    return df.join(marked, "label", "left").withColumn("rogue", F.coalesce("rogue", F.lit(False)))
 
 
-def svg(points: pd.DataFrame, title: str, explained: list[float], dims: tuple[int, int], size: int = 640) -> str:
-    """An HTML page with a scatter plot."""
+def svg(points: pd.DataFrame, title: str, explained: list[float] | None, dims: tuple[int, int], size: int = 640) -> str:
+    """An HTML page with a scatter plot. Points with a column value are coloured from red to green, those marked rogue have a ring, and those with an anchor a label."""
     pad = 60
     span = lambda v: (v.min(), max(v.max() - v.min(), 1e-12))
     (x0, xs), (y0, ys) = span(points["x"]), span(points["y"])
@@ -107,8 +111,11 @@ def svg(points: pd.DataFrame, title: str, explained: list[float], dims: tuple[in
     for r in points.itertuples():
         colour = red_green(r.value) if hasattr(r, "value") else colours[r.group]
         cx, cy = pad + (r.x - x0) / xs * (size - 2 * pad), size - pad - (r.y - y0) / ys * (size - 2 * pad)
-        dots.append(f'<circle cx="{cx:.1f}" cy="{cy:.1f}" r="5" fill="{colour}"><title>{html.escape(f"{r.label}: {r.group}")}</title></circle>')
+        ring = ' stroke="#000000" stroke-width="2"' if getattr(r, "rogue", False) else ""
+        dots.append(f'<circle cx="{cx:.1f}" cy="{cy:.1f}" r="5" fill="{colour}"{ring}><title>{html.escape(f"{r.label}: {r.group}")}</title></circle>')
+        if hasattr(r, "anchor"):
+            dots.append(f'<text x="{cx + (8 if r.anchor == "start" else -8):.1f}" y="{cy + 4:.1f}" font-size="9" text-anchor="{r.anchor}">{html.escape(str(r.label))}</text>')
     legend = [f'<text x="{size}" y="{40 + 18 * k}" fill="{colours[g]}">{html.escape(str(g))}</text>' for k, g in enumerate(groups)]
-    share = lambda d: f"dimension {d + 1} ({100 * explained[d]:.1f} %)"
+    share = lambda d: f"dimension {d + 1}" + (f" ({100 * explained[d]:.1f} %)" if explained else "")
     axes = f'<text x="{size / 2}" y="{size - 15}">{share(dims[0])}</text><text transform="translate(20 {size / 2}) rotate(-90)">{share(dims[1])}</text>'
     return f'<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(title)}</title><svg xmlns="http://www.w3.org/2000/svg" width="{size + 200}" height="{size}" font-family="sans-serif" font-size="13">{"".join(dots + legend)}{axes}</svg>\n'

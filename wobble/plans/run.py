@@ -160,9 +160,8 @@ class StabilityRun:
     def save(self) -> dict[str, float]:
         """CSVs, the summary text and, if asked for, plots; the numbers of the summary."""
         c, d = self.config, self.config.result_decimals
-        scores = self.pairs.select("i", "j", "stability", "cluster_stability").toPandas().sort_values(["i", "j"])
-        scores.index = [f"({i}, {j})" for i, j in zip(scores.i, scores.j, strict=True)]
-        scores[["stability", "cluster_stability"]].to_csv(c.path("wobble.replicates.csv"))
+        scores = compare.pair_scores(self.pairs).toPandas().sort_values(["i", "j"])
+        scores.set_index("pair").rename_axis(None)[["stability", "cluster_stability"]].to_csv(c.path("wobble.replicates.csv"))
         self._csv(self.support, "wobble.supportValues.csv")
         projected = genotype.projected_samples(self.data.samples, self.populations)
         if self.populations is not None:
@@ -220,3 +219,17 @@ class StabilityRun:
             plots["projections"] = plotdata.projections(e, self.populations, *dims)
         for name, df in plots.items():
             (folder / f"{name}.html").write_text(plotdata.svg(df.toPandas(), name, explained, dims))
+        for r in self.embeddings.select("replicate_id", "explained").collect():
+            one = embed.per_sample(self.embeddings.where(F.col("replicate_id") == r.replicate_id))
+            (folder / f"replicate_{r.replicate_id}.html").write_text(plotdata.svg(plotdata.populations(one, *dims).toPandas(), f"replicate {r.replicate_id}", r.explained, dims))
+        # the two replicates that agree least, and the two that agree most
+        for name, order in (("least", F.asc("stability")), ("most", F.desc("stability"))):
+            pair = self.pairs.orderBy(order, "i", "j").first()
+            if pair:
+                points = plotdata.embedding_comparison(self.embeddings, pair.i, pair.j, self.support, c.support_value_rogue_cutoff, *dims)
+                (folder / f"comparison_{name}_stable.html").write_text(plotdata.svg(points.toPandas(), f"replicates {pair.i} and {pair.j}", None, dims))
+
+    def result_files(self) -> list[str]:
+        """Files that this run leaves for its user, without its tables."""
+        top = Path(self.config.result_dir)
+        return sorted(str(f) for f in top.rglob("*") if f.is_file() and not f.name.startswith((".", "_")) and f.relative_to(top).parts[0] not in ("tables", "converted"))
