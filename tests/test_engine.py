@@ -128,10 +128,12 @@ def test_every_conversion(spark, prefix, tmp_path):
     walk("E")
     trail.reverse()
     assert len(trail) == 21 and len(set(zip(trail, trail[1:], strict=False))) == 20
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
     for k, (a, b) in enumerate(zip(trail, trail[1:], strict=False)):
         here = G.convert(spark, here, kinds[a], str(tmp_path / f"c{k}"), kinds[b])
         back = G.read_genotypes(spark, here, kinds[b])
         assert cells(back.packed) == want, (a, b)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert [(r.sample_id, r.sex, r.population) for r in back.samples.orderBy("sample_idx").collect()] == IND
     assert [(r.snp_id, r.ref, r.alt) for r in back.snps.orderBy("snp_idx").collect()] == [(s.split()[0], *s.split()[-2:]) for s in SNP]
 
@@ -595,7 +597,8 @@ def test_run_bootstrap(spark, prefix, tmp_path):
     lines = lambda n: (tmp_path / "out" / n).read_text().splitlines()
     assert lines("wobble.replicates.csv")[0] == ",stability,cluster_stability" and len(lines("wobble.replicates.csv")) == 4
     assert lines("wobble.supportValues.csv")[0] == ",PSV" and len(lines("wobble.supportValues.csv")) == 6 and len(lines("wobble.supportValues.projected.csv")) == 3
-    assert {p.name for p in (tmp_path / "out" / "plots").iterdir()} == {"populations.html", "clusters.html", "support_values.html", "projections.html"}
+    assert {p.name for p in (tmp_path / "out" / "plots").iterdir()} == {"populations.html", "clusters.html", "support_values.html", "projections.html", "replicate_0.html", "replicate_1.html", "replicate_2.html", "comparison_least_stable.html", "comparison_most_stable.html"}
+    assert lines("wobble.outliers.csv") == ["replicate_id,round,sample_id,axis,deviation"]  # five samples can't be six deviations apart
     again = StabilityRun(spark, settings(prefix, tmp_path, result_dir=str(tmp_path / "two"), embedding_populations=str(tmp_path / "pops"))).run()
     assert again["stability"] == pytest.approx(out["stability"])
 
