@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ class TrieCounter:
     A character that no piece covers costs one token for each of its UTF-8 bytes, at byte_score each.
     """
 
-    def __init__(self, scores: dict[str, float], byte_score: float = -20.0, most: int = 1_000_000):
+    def __init__(self, scores: dict[str, float], byte_score: float = -20.0, most: int = 300_000):
         self.byte_score, self.most = byte_score, most
         self.scores = scores
         lengths: dict[str, set[int]] = {}
@@ -85,26 +86,31 @@ class TrieCounter:
         return np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
 
 
-_counters: dict[int, TrieCounter] = {}
+_counters: dict[str, TrieCounter] = {}
+
+
+def counter_for(key: str, scores: dict[str, float], byte_score: float) -> TrieCounter:
+    """A worker's counter for the scores that key stands for, with what it has learnt in earlier tasks; one at a time."""
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = TrieCounter(scores, byte_score)
+    return _counters[key]
 
 
 def token_counts(docs: DataFrame, scores: dict[str, float], byte_score: float = -20.0) -> DataFrame:
     """docs with n_pre_tokens and n_tokens (long), without text.
 
     Pre-tokens are the words between ASCII white space, each after a space mark. Null, empty and blank texts have none.
-    Repeated rows are counted each. Columns of docs named like those added are replaced. A worker remembers the counts of pre-tokens it has
-    met; what is new in a batch goes through the trie together. No shuffle.
+    Repeated rows are counted each. Columns of docs named like those added are replaced. A worker remembers the counts of up to 300,000 pre-tokens it has
+    met, in earlier tasks as well; what is new in a batch goes through the trie together. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scores)
-    key = hash((len(scores), byte_score, tuple(sorted(scores.items())[:50])))
+    key = hashlib.sha256(repr((byte_score, sorted(scores.items()))).encode()).hexdigest()
     own = [c for c in docs.columns if c.lower() not in ("n_pre_tokens", "n_tokens", "text")]
     df = docs.select(*own, "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _counters:
-            _counters.clear()
-            _counters[key] = TrieCounter(shared.value, byte_score)
-        counter = _counters[key]
+        counter = counter_for(key, shared.value, byte_score)
         for b in pieces(batches, "text"):
             split = pc.ascii_split_whitespace(pc.fill_null(b.column(b.schema.get_field_index("text")), ""))
             coded = split.flatten().dictionary_encode()
