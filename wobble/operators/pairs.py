@@ -16,7 +16,7 @@ TILE = 2048
 #: Matrices that a task adds up before it emits them.
 HELD_BYTES = 256 << 20
 
-#: (features x samples, features x other samples, weights of features) -> samples x other samples; NaN is missing.
+#: (features x samples, features x other samples, weights of features) -> samples x other samples; NaN is missing. Where both sides are the same samples, they are the same array.
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -86,8 +86,9 @@ def pair_sums(packed: DataFrame, n: int, kernels: dict[str, Kernel], weights: Da
 
         for g, part in blocks(batches, n):
             for r, of, w in by_replicate(part):
+                x = g[of]
                 for name, kernel in kernels.items():
-                    m = kernel(g[of], g[of], w)
+                    m = kernel(x, x, w)
                     if (r, name) not in acc and (len(acc) + 1) * m.nbytes > HELD_BYTES:
                         yield from flush()
                     acc[r, name] = acc[r, name] + m if (r, name) in acc else m
