@@ -164,14 +164,19 @@ def agreeing_parts(elements: np.ndarray, begin: np.ndarray, percent: int) -> tup
     """Keys of sets, the set of each, and how many elements it has in both parts (0 for keys of one part): sets with 100 * |intersection| >= percent * |union| have one in common.
 
     Two such sets of at most x elements differ in d = 2 * x * (100 - percent) / (100 + percent) elements at most. If all elements are dealt to d + 2 parts, the two sets have equal elements in
-    two parts at least, so what a set has in each two parts is a key. A set has keys for every x that may be the larger size of a pair. Where d is
-    large, d + 1 parts and a key for each will do.
+    two parts at least, so what a set has in each two parts is a key. Where d is large, d + 1 parts and a key for each will do.
+
+    x goes through the upper bounds of classes of sizes. Each is 100 / percent times the one below, so the larger size of a pair is in a set's own class or the next one, and a set
+    has keys for these two only.
     """
     n = np.diff(begin)
     owner = np.repeat(np.arange(len(n)), n)
     keys, sets, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for x in range(int(n[n > 0].min(initial=1)), 100 * int(n.max(initial=0)) // percent + 1):
-        mine = (n <= x) & (100 * n >= percent * x)
+    bounds = [0, 1]
+    while bounds[-2] < n.max(initial=0):
+        bounds.append(max(bounds[-1] + 1, 100 * bounds[-1] // percent))
+    for below, x in zip([0, *bounds[:-2]], bounds[1:], strict=True):
+        mine = (n <= x) & (n > below)
         if not mine.any():
             continue
         d = 2 * x * (100 - percent) // (100 + percent)

@@ -12,13 +12,16 @@ from pyspark.sql.window import Window
 
 from . import near
 from .base import Scratch, lean, pieces
+from .extend import stretches
 from .neardup import NULL_ID
 from .setsketch import mix, shingle_sets, word_hashes
 
 #: A paragraph begins where a word pair's hash is the least of REACH pairs on either side; longer ones than MOST words are halved, or cut in three, and so on.
-REACH, MOST = 10, 32
+REACH, MOST = 8, 32
 #: Two linked paragraphs are part of a result if their passage has so many words. Strings about a paragraph are compared at every STRIDE-th place.
 PASSAGE, STRIDE = 50, 3
+#: Words on either side of a linked paragraph that are compared as well.
+BESIDE = 32
 
 
 def pair_hashes(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -75,7 +78,7 @@ def lists(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> pa.ListArr
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[at].astype(np.int64)))
 
 
-def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 5, passage: int = PASSAGE, reach: int = REACH, most: int = MOST) -> DataFrame:
+def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, min_words: int = 5, passage: int = PASSAGE, reach: int = REACH, most: int = MOST, beside: int = BESIDE) -> DataFrame:
     """Rows of paragraphs that occur in another row of docs, alike or nearly so, within a passage of at least `passage` words: doc_id, start (first word, from 0), n_words,
     cluster_doc_id and cluster_start (the cluster's first member, by doc_id and place), cluster_rows, passage_start, passage_words, kept (is that first member).
 
@@ -86,7 +89,11 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     Equal sets are one class. A class of n shingles has n - ceil(percent * n / 100) + 1 bands: its least hash values, one to a band. Two
     sets that link share so many shingles that one of these is common to both: no link is missed. Classes that share a band are compared on their full sets (near.set_links).
 
-    Neighbouring paragraphs with partners elsewhere make a passage. The outer parts of one may lie in paragraphs that begin or end outside, so one of fewer than `passage` words stays as well if
+    Linked paragraphs are seeds. A changed word keeps a paragraph of some 20 words from linking, so the `beside` words on either side of a seed are compared with those beside the seed's partners, as bags of words at the same
+    similarity, and make rows of their own where they lie between linked paragraphs (extend.stretches). In those rows start and n_words are the stretch's, cluster_doc_id and cluster_start the
+    doc_id and first word of the first of the windows that are alike.
+
+    Neighbouring paragraphs and stretches make a passage. The outer parts of one may lie in paragraphs that begin or end outside, so one of fewer than `passage` words stays as well if
     one of its paragraphs stands in a string of words that another row holds about a paragraph of the cluster: every string of `passage` words counts, and none of fewer than passage - STRIDE + 1.
     With passage=1, all linked paragraphs are rows.
 
@@ -131,8 +138,12 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     c = scratch.keep(classes.select("c1", "c2", "node", "rows", "low", "high", F.struct("first.doc_id", "first.start").alias("first")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
     clusters = c.groupBy("component").agg(F.min("first").alias("head"), F.sum("rows").alias("cluster_rows"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     of_class = c.select("c1", "c2", "component").join(clusters.select("component", "head", "cluster_rows"), "component").select("c1", "c2", "component", "head", "cluster_rows")
-    found = scratch.keep(p.select("row", "doc_id", "th", "start", "n_words", "c1", "c2").join(of_class, ["c1", "c2"]).drop("c1", "c2"))
+    found = p.select("row", "doc_id", "th", "start", "n_words", "c1", "c2").join(of_class, ["c1", "c2"]).drop("c1", "c2")
+    found = scratch.keep(found.withColumn("first", (F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))))
     scratch.only(found)
+    beside_them = stretches(found, keyed, percent, beside, scratch)
+    scratch.only(found, beside_them)
+    found = found.unionByName(beside_them.withColumn("component", F.lit(None).cast("long")))
     # neighbours with partners: passages
     in_row = Window.partitionBy("row").orderBy("start")
     runs = found.withColumn("new", F.coalesce((F.col("start") != F.lag(F.col("start") + F.col("n_words")).over(in_row)).cast("int"), F.lit(1)))
@@ -149,7 +160,7 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     real = lambda x: F.when(F.col(x) != NULL_ID, F.col(x))
     return out.select(
         real("doc_id").alias("doc_id"), "start", "n_words", real("head.doc_id").alias("cluster_doc_id"), F.col("head.start").alias("cluster_start"), "cluster_rows", "passage_start", "passage_words",
-        ((F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))).alias("kept"),
+        F.col("first").alias("kept"),
     )
 
 
