@@ -13,6 +13,8 @@ from wobble.functions import linalg
 PAIRS = "i int, j int, disparity double, stability double, cluster_stability double, clipped boolean, sample_ids array<string>, difference array<double>"
 #: Replicates per block: a task aligns all pairs of two blocks, so an embedding is shipped once per block, not once per pair.
 BLOCK = 8
+#: Samples of a block's embeddings together. Where one has more, blocks are smaller, down to one embedding, so tasks are more and hold less.
+BLOCK_SAMPLES = 1 << 16
 
 
 class Compared:
@@ -40,12 +42,15 @@ class Compared:
         return linalg.fowlkes_mallows(linalg.kmeans(self.reference, k), linalg.kmeans(self.comparable, k))
 
 
-def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: list[int] | None = None, block: int = BLOCK) -> DataFrame:
+def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: list[int] | None = None, block: int | None = None) -> DataFrame:
     """PAIRS of all replicates i < j. With only_with, just pairs that hold one of these replicates: what a new batch adds.
 
     One alignment gives stability, cluster stability (if kmeans_k is given) and each shared sample's difference. A pair whose shared samples
     are 80 % or less of either side's is marked clipped.
     """
+    if block is None:
+        n = embedded.agg(F.max(F.size("sample_ids"))).first()[0] or 1
+        block = max(1, min(BLOCK, BLOCK_SAMPLES // n))
     e = embedded.select("replicate_id", "sample_ids", "coords").withColumn("b", F.floor(F.col("replicate_id") / block).cast("int"))
     ids = e.select("b").distinct()
     lo, hi = ids.select(F.col("b").alias("p")), ids.select(F.col("b").alias("q"))
