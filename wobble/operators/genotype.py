@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,8 +40,25 @@ def to_long(packed: DataFrame) -> DataFrame:
 
 def to_packed(long: DataFrame, n_samples: int) -> DataFrame:
     """Long rows, packed by feature; cells without a row are NULL. The array has a place per sample, so a feature's rows are at most n_samples."""
-    cells = long.groupBy("snp_idx").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", F.col("dosage").cast("double")))).alias("m"))
-    return cells.select("snp_idx", F.transform(F.sequence(F.lit(0), F.lit(n_samples - 1)), lambda i: F.element_at("m", i)).alias("g"))
+    cells = long.groupBy("snp_idx").agg(F.collect_list(F.struct("sample_idx", F.col("dosage").cast("double").alias("v"))).alias("s"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                s = batch.column("s")[k].values
+                at = s.field("sample_idx").to_numpy(zero_copy_only=False)
+                g = np.full(n_samples, np.nan)
+                ok = (at >= 0) & (at < n_samples)
+                if len(np.unique(at)) < len(at):
+                    raise WobbleError(f"Feature {batch.column('snp_idx')[k].as_py()} has several values for a sample.")
+                g[at[ok]] = s.field("v").to_numpy(zero_copy_only=False)[ok]
+                rows.append(g)
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * n_samples, pa.array(flat, mask=np.isnan(flat)))
+            yield pa.RecordBatch.from_arrays([batch.column("snp_idx"), lists], ["snp_idx", "g"])
+
+    return cells.select("snp_idx", F.col("s")).mapInArrow(place, f"snp_idx {long.schema['snp_idx'].dataType.simpleString()}, g array<double>")
 
 
 def snp_stats(long: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wobble.errors import ConfigError
+from wobble.operators.genotype import to_packed
 from wobble.types import FileFormat
 
 from .lines import numbered_lines, write_lines
@@ -142,9 +143,7 @@ def read_genotypes(spark: SparkSession, prefix: str, fmt: FileFormat = FileForma
     f = _fields(F.col("value"))
     calls = spark.read.text(paths[0]).select(f[0].alias("snp_id"), f[1].alias("sample_id"), F.when(f[2] != "9", f[2].cast("double")).alias("d")).where("snp_id is not null and snp_id <> ''")
     long = calls.join(samples.select("sample_id", "sample_idx"), "sample_id").join(snps.select("snp_id", "snp_idx"), "snp_id")
-    cells = long.groupBy("snp_idx").agg(F.map_from_entries(F.collect_list(F.struct("sample_idx", F.coalesce("d", F.lit(-1.0))))).alias("m"))
-    g = cells.select("snp_idx", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.element_at("m", i) >= 0, F.element_at("m", i))).alias("g"))
-    return Genotypes(g, samples, snps)
+    return Genotypes(to_packed(long.withColumnRenamed("d", "dosage"), n), samples, snps)
 
 
 def write_eigenstrat(data: Genotypes, prefix: str) -> None:
