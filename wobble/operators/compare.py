@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from wobble.errors import WobbleError
 from wobble.functions import linalg
+from wobble.shared import written
+
+from .pairs import summed
 
 PAIRS = "i int, j int, disparity double, stability double, cluster_stability double, clipped boolean, sample_ids array<string>, difference array<double>"
 #: Replicates per block: a task aligns all pairs of two blocks, so an embedding is shipped once per block, not once per pair.
@@ -75,6 +80,42 @@ def compare_pairs(embedded: DataFrame, kmeans_k: int | None = None, only_with: l
     return shipped.groupBy("p", "q").applyInPandas(run, PAIRS)
 
 
+def shared_stabilities(rows: DataFrame, replicates: int, k: int) -> DataFrame:
+    """(i, j, stability) of each two replicates that all have the same samples, for any number of them. rows: x array<double>, a sample's coordinates in replicate 0, then in 1, and so on, k in each.
+
+    An alignment is decided by products of the centred coordinates, summed over samples: tasks and driver hold (replicates times k) squared numbers, no embedding."""
+    spark, width = rows.sparkSession, replicates * k
+    rows = written(rows.select("x"))
+
+    def stacked(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), 4096):
+                yield np.stack(pdf["x"].iloc[lo : lo + 4096].to_numpy())
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in stacked(batches):
+            yield pd.DataFrame({"n": [len(x)], "s": [x.sum(0).tolist()]})
+
+    parts = rows.mapInPandas(sums, "n long, s array<double>").select("n", F.posexplode("s").alias("at", "s")).groupBy("at").agg((F.sum("s") / F.sum("n")).alias("mean")).orderBy("at").collect()
+    if not parts:
+        raise WobbleError("No samples left for comparison after clipping.")
+    mean = np.array([r["mean"] for r in parts])
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for x in stacked(batches):
+            total += (x - mean).T @ (x - mean)
+        yield pd.DataFrame({"i": np.arange(width, dtype=np.int32), "row": list(total)}).assign(one=np.int32(0))[["one", "i", "row"]]
+
+    got = summed(rows.mapInPandas(products, "one int, i int, row array<double>"), ["one", "i"]).toPandas().sort_values("i")
+    m = np.stack(got["row"].to_numpy()).reshape(replicates, k, replicates, k)
+    size = np.sqrt([np.trace(m[r, :, r]) for r in range(replicates)])
+    if (size == 0).any():
+        raise WobbleError("An embedding whose points all coincide can't be aligned.")
+    out = [(i, j, linalg.stability(1 - float(np.linalg.svd(m[j, :, i], compute_uv=False).sum() / (size[i] * size[j])) ** 2)) for i in range(replicates) for j in range(i + 1, replicates)]
+    return spark.createDataFrame(out, "i int, j int, stability double")
+
+
 def row_norm(coords: str) -> Column:
     """Euclidean length of a sample's coordinates."""
     return F.sqrt(F.aggregate(coords, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
