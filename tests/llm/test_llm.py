@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from wobble.llm import queries as Q
 from wobble.llm import decontaminate, near, paragraphs, simple8b, substrings, suffixes, tokencount
-from wobble.llm.base import GAP
+from wobble.llm.base import GAP, Scratch
 from wobble.llm.chat import escape, format_reply_trees, unescape
 from wobble.llm.decontaminate import contamination
 from wobble.llm.mixing import mix_sources, source_targets
@@ -617,3 +617,43 @@ def test_sets_that_link_agree_in_parts():
         assert len(links) >= 20 and all(own[a] & own[b] for a, b in links)
         alien = [bool(own[a] & own[b]) for a in range(0, len(sets), 5) for b in range(0, a, 5)]
         assert n not in (17, 28) or np.mean(alien) < 0.05
+
+
+def test_small_buckets_are_searched_whole():
+    """Spanning forests of buckets searched together join what all pairs join."""
+    rng = np.random.default_rng(41)
+    sets, sizes = [], [1, 2, 3, 9, 64, 5, 30]
+    for size in sizes:
+        base = [set(rng.integers(0, 2**63, 12).tolist()) for _ in range(3)]
+        for k in range(size):
+            x = list(base[k % 3])
+            sets.append(set(x[int(rng.integers(0, 3)) :]) | set(rng.integers(0, 2**63, int(rng.integers(0, 2))).tolist()))
+    begin, at = np.cumsum([0, *map(len, sets)]), np.cumsum([0, *sizes])
+    linked = lambda shared, nx, ny: 100 * shared >= 80 * (nx + ny - shared)
+    a, b = near.links_among(np.concatenate([np.sort(np.array(list(x), np.uint64)) for x in sets]), begin, at[:-1], at[1:], linked)
+    assert all(linked(len(sets[x] & sets[y]), len(sets[x]), len(sets[y])) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    assert (bucket[a] == bucket[b]).all()
+
+    def trees(edges):
+        label = list(range(len(sets)))
+        for x, y in edges:
+            label = [label[x] if v == label[y] else v for v in label]
+        return len(set(label))
+
+    every = [(x, y) for x in range(len(sets)) for y in range(x) if bucket[x] == bucket[y] and linked(len(sets[x] & sets[y]), len(sets[x]), len(sets[y]))]
+    assert len(every) > len(a) == len(sets) - trees(every) == len(sets) - trees(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_buckets_of_the_same_sets_are_searched_once(spark):
+    """A pair that shares several keys gives one link, not one for each."""
+    rng = np.random.default_rng(43)
+    rows = []
+    for k in range(40):
+        base = np.sort(rng.integers(0, 2**63, 28, dtype=np.uint64))
+        for i in range(2):
+            s = base[np.arange(28) != 27 - i]  # the six least are the same in both
+            rows.append((2 * k + i, 27, s[:6].astype(np.int64).tolist(), s.tobytes()))
+    t = spark.createDataFrame(rows, "node long, n int, keys array<long>, set binary")
+    links = near.set_links(t.select("node", "n", "keys"), lambda nodes: nodes.join(t.select("node", "set"), "node"), 80, Scratch(spark, "links"))
+    assert sorted(tuple(sorted((r.a, r.b))) for r in links.collect()) == [(2 * k, 2 * k + 1) for k in range(40)]

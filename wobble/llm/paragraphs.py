@@ -133,12 +133,21 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()))  # written, and so fixed
     wide, p = p, scratch.keep(p.drop("n", "keys"))
     scratch.free(wide)
-    links = near.set_links(classes.select("node", "n", "keys"), lambda nodes: _sets_of(nodes, classes, keyed, shingle), percent, scratch)
+    some: list[DataFrame] = []
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """Sets of nodes that share a key. These classes, and those of several rows, are all that matters from here on."""
+        some.append(scratch.keep(classes.drop("keys").join(nodes.withColumn("wanted", F.lit(True)).hint("shuffle_hash"), "node", "left").where("wanted or low < high")))
+        scratch.free(classes)
+        return _sets_of(some[0].where("wanted"), keyed, shingle)
+
+    links = near.set_links(classes.select("node", "n", "keys"), sets_of, percent, scratch)
     comps = near.components(links, scratch)
-    c = scratch.keep(classes.select("c1", "c2", "node", "rows", "low", "high", F.struct("first.doc_id", "first.start").alias("first")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    c = scratch.keep(some[0].select("c1", "c2", "node", "rows", "low", "high", F.struct("first.doc_id", "first.start").alias("first")).join(comps, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    scratch.free(*some)
     clusters = c.groupBy("component").agg(F.min("first").alias("head"), F.sum("rows").alias("cluster_rows"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
     of_class = c.select("c1", "c2", "component").join(clusters.select("component", "head", "cluster_rows"), "component").select("c1", "c2", "component", "head", "cluster_rows")
-    found = p.select("row", "doc_id", "th", "start", "n_words", "c1", "c2").join(of_class, ["c1", "c2"]).drop("c1", "c2")
+    found = p.select("row", "doc_id", "th", "start", "n_words", "c1", "c2").join(of_class.hint("shuffle_hash"), ["c1", "c2"]).drop("c1", "c2")
     found = scratch.keep(found.withColumn("first", (F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))))
     scratch.only(found)
     beside_them = stretches(found, keyed, percent, beside, scratch)
@@ -164,9 +173,9 @@ def duplicate_paragraphs(docs: DataFrame, percent: int = 80, shingle: int = 5, m
     )
 
 
-def _sets_of(nodes: DataFrame, classes: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
-    """node, set (its hashes, 8 bytes each, ascending) of nodes, cut from the texts of the classes' first members."""
-    wanted = nodes.join(classes.select("node", "first"), "node").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("node", "first.start", "first.n_words")).alias("parts"))
+def _sets_of(classes: DataFrame, keyed: DataFrame, shingle: int) -> DataFrame:
+    """node, set (its hashes, 8 bytes each, ascending) of classes (node, first), cut from the texts of their first members."""
+    wanted = classes.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("node", "first.start", "first.n_words")).alias("parts"))
 
     @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
